@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import chat, html_text, packing, pii, token_counts
 from ._common import table
 
 
@@ -17,9 +18,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest_chats(chat.format_chats(turns))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    everything = F.array_sort(F.concat("base", "found"), pii.by_start)
+    return found.select("doc_id", *counts, F.sha2(pii.spell(F.col("base")), 256).alias("base_sha256"), pii.spell(everything).alias("spans"), F.size("found").cast("bigint").alias("n_found"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
