@@ -31,26 +31,30 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A bounded memo of ``make``: it forgets everything once ``limit`` keys are held, so results never depend on it."""
+    """A bounded memo of ``make``. Once ``limit`` keys are held they become the old generation, which keeps only what is asked for again; results never depend on it."""
 
-    def __init__(self, make: Callable, limit: int = 200_000):
+    def __init__(self, make: Callable, limit: int = 400_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
 def text_groups(rows: list[tuple], most: int = 2_000_000) -> Iterator[list[tuple]]:
-    """Consecutive rows of (id, text) in groups of about ``most`` characters, so that numpy work arrays stay small."""
+    """Consecutive rows of (id, text) in groups of about ``most`` characters and 4000 rows at most, so that numpy work arrays stay small."""
     group, size = [], 0
     for row in rows:
         group.append(row)
         size += len(row[1])
-        if size >= most:
+        if size >= most or len(group) >= 4000:
             yield group
             group, size = [], 0
     if group:

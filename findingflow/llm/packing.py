@@ -10,6 +10,7 @@ of their input partition plus their place in it, so no key, however hot, is sort
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,15 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._common import Memo, materialise
+from .token_counts import ODD_SPACE, PLAIN, byte_alphabet, byte_shower
 
 _loaded: dict[int, tuple] = {}
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+# Fixed value: the pre-token pattern of the tokenizer file handled here, which drops white space and ignores case.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Plan:
@@ -170,8 +174,14 @@ def _encoder(spec: str) -> tuple[Tokenizer, Memo, re.Pattern]:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
+        pre_tokens, merge, show = regex.compile(PRE_TOKEN).findall, tokenizer.model.tokenize, byte_shower(byte_alphabet())
+
         def ids(word: str) -> bytes:
-            return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            if PLAIN.fullmatch(word):
+                found = [t.id for p in pre_tokens(word.lower()) for t in merge(show(p))]
+            else:
+                found = tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
 
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         _loaded[key] = tokenizer, Memo(ids), re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
@@ -182,8 +192,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end
     """Tokenise whole texts, append ``end_id``, and cut only what exceeds ``max_tokens``.
 
     Gives ``id_col``, piece, start, length, ids_crc32, and the piece's place: ``part`` and ``rank`` within its length
-    there. The tokenizer must split at white space (its pre-tokens never cross it), so words are encoded once and
-    memoised; texts with a special token's string are encoded whole. A null text counts as empty: one piece, ``end_id``.
+    there. The tokenizer must drop white space and split as ``PRE_TOKEN`` does, so that words are merged once and
+    memoised; words beyond Latin-1, and whole texts that hold a special token's string, are encoded by the library. A null text counts as empty: one piece, ``end_id``.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())

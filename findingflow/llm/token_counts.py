@@ -8,7 +8,7 @@ only the rest goes through the library's merges. The set and the tokenizer file
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +23,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # Pre-tokens never cross these chunks: each starts and ends where a pre-token does.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # Letters and digits here are classed alike by every Unicode version; other chunks go to the library whole.
-PLAIN = re.compile(r"[\t\n\r -~\xa0-ſ]*")
+PLAIN = re.compile(r"[\t\n\r -~\xa0-\xff]*")
 # White space to Python, but not to the library.
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
@@ -37,6 +37,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def byte_shower(alphabet: dict[str, int]) -> Callable[[str], str]:
+    """Text to the visible characters of its bytes, as the merges of a byte-level vocabulary take them."""
+    table = {b: c for c, b in alphabet.items()}
+
+    def show(text: str) -> str:
+        return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(table)
+
+    return show
+
+
 def prove_whole_tokens(tokenizer: Tokenizer) -> frozenset[str]:
     """Vocabulary strings that, encoded alone, give exactly one token: their own id."""
     alphabet, texts, ids = byte_alphabet(), [], []
@@ -57,17 +67,14 @@ def _counter(spec: str, whole: frozenset[str]) -> tuple[Tokenizer, Memo, re.Patt
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        pre_token = regex.compile(PRE_TOKEN)
-
-        def merged(text: str) -> int:
-            return len(tokenizer.encode(text, add_special_tokens=False).ids)
+        pre_tokens, merge, show = regex.compile(PRE_TOKEN).findall, tokenizer.model.tokenize, byte_shower(byte_alphabet())
 
         def count(chunk: str) -> int:
             if chunk in whole:
                 return 1
             if not PLAIN.fullmatch(chunk):
-                return merged(chunk)
-            return sum(1 if p in whole else merged(p) for p in pre_token.findall(chunk))
+                return len(tokenizer.encode(chunk, add_special_tokens=False).ids)
+            return sum(1 if p in whole else len(merge(show(p))) for p in pre_tokens(chunk))
 
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         odd = re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
