@@ -38,7 +38,6 @@ def shingles(words: np.ndarray, starts: np.ndarray, size: int = 5) -> tuple[np.n
 
     A text of fewer words, but at least one, has one shingle: all its words.
     """
-    n = len(words)
     counts = np.diff(starts)
     made = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     begins = np.concatenate([[0], np.cumsum(made)]).astype(np.int64)
@@ -56,5 +55,4 @@ def shingles(words: np.ndarray, starts: np.ndarray, size: int = 5) -> tuple[np.n
             part = np.where(k < length, part, np.uint64(k + 1))
         out = (out ^ part) * MIX
         out ^= out >> np.uint64(29)
-    del n
     return stir(out), begins
