@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, html_text, near_dedup, packing, pii, token_counts, toxicity
+from . import chat, decontaminate, fingerprints, html_text, lm_score, near_dedup, packing, pii, token_counts, toxicity
 from ._common import table
 
 
@@ -30,8 +30,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("node", "kept")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_token_counts": op5_token_counts,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_html_extraction": op9_html_extraction,
