@@ -65,7 +65,7 @@ BINDINGS = {
     "history": """
         SELECT concat('F', cast(user_id as string)) AS fingerprint, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) as int) AS sequence,
           CASE event_type WHEN 'click' THEN 'open' WHEN 'view' THEN 'acknowledged' WHEN 'purchase' THEN 'resolved' WHEN 'signup' THEN 'suppressed' ELSE 'false_positive' END AS to_state,
-          ts AS at, CASE WHEN event_id % 3 = 0 THEN value END AS expires_at, event_id % 4 = 0 AS approved
+          ts AS changed_at, CASE WHEN event_id % 3 = 0 THEN value END AS expires_at, event_id % 4 = 0 AS approved
         FROM {events}""",
 }
 
@@ -96,4 +96,5 @@ def with_bindings(sql: str) -> str:
         if re.search(rf"\b{name}\b", sql):
             want(name)
     parts = [f"{n} AS ({re.sub(r'{(\w+)}', lambda m: m[1], BINDINGS[n])})" for n in wanted]
-    return "WITH " + ",\n".join(parts) + ("," + sql.strip()[4:] if sql.strip()[:5].upper() == "WITH " else "\n" + sql) if parts else sql
+    head, rest = re.match(r"(WITH RECURSIVE |WITH |)(.*)", sql.strip(), re.S).groups()
+    return (head or "WITH ") + ",\n".join(parts) + ("," if head else "") + "\n" + rest if parts else sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import findings, policy, portfolio, runs  # noqa: F401
+from .plans import benchmark, findings, lifecycle, policy, portfolio, runs, threat  # noqa: F401
 from .plans._registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

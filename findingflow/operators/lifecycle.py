@@ -19,16 +19,16 @@ def audit_history(history: DataFrame, status: DataFrame) -> DataFrame:
     """(fingerprint, sequence, code) of every breach of the rules of a state history. ``status`` has each finding's current state."""
     w = Window.partitionBy("fingerprint").orderBy("sequence")
     before = lambda c: F.lag(c).over(w)
-    checked = history.withColumns({"_n": F.row_number().over(w), "_to": before("to_state"), "_at": before("at"), "_last": F.lead("sequence").over(w).isNull()})
+    checked = history.withColumns({"_n": F.row_number().over(w), "_to": before("to_state"), "_at": before("changed_at"), "_last": F.lead("sequence").over(w).isNull()})
     joined = checked.join(status, "fingerprint", "left")
     found = codes(
         ("sequence", F.col("sequence") != F.col("_n")),
         ("transition", F.col("_to").isNotNull() & ~F.col("from_state").eqNullSafe(F.col("_to"))),
-        ("chronology", F.col("at") < F.col("_at")),
+        ("chronology", F.col("changed_at") < F.col("_at")),
         ("approval", F.col("to_state").isin(*APPROVAL_REQUIRED) & F.col("approved_at").isNull()),
-        ("approval_late", F.col("approved_at") > F.col("at")),
+        ("approval_late", F.col("approved_at") > F.col("changed_at")),
         ("open_expires", (F.col("to_state") == "open") & F.col("expires_at").isNotNull()),
-        ("expiry", F.col("expires_at") <= F.col("at")),
+        ("expiry", F.col("expires_at") <= F.col("changed_at")),
         ("status", F.col("_last") & ~F.col("status").eqNullSafe(F.col("to_state"))),
     )
     return joined.select("fingerprint", "sequence", F.explode(found).alias("code"))
@@ -81,18 +81,18 @@ def append_transitions(history: DataFrame, requests: DataFrame) -> tuple[DataFra
     Each request starts in the state the one before it, accepted or not, asked for.
     """
     last = history.groupBy("fingerprint").agg(F.max("sequence").alias("last"), F.max_by("to_state", "sequence").alias("state"))
-    w = Window.partitionBy("fingerprint").orderBy("at", "request_id")
+    w = Window.partitionBy("fingerprint").orderBy("changed_at", "request_id")
     placed = requests.join(last, "fingerprint", "left").withColumn("from_state", F.coalesce(F.lag("to_state").over(w), "state", F.lit("open")))
     reason = (
         F.when(F.col("from_state") == F.col("to_state"), "already in this state")
         .when(F.col("to_state").isin(*APPROVAL_REQUIRED) & F.col("approved_at").isNull(), "approval required")
         .when((F.col("to_state") == "suppressed") & F.col("expires_at").isNull() & ~F.coalesce("allow_permanent", F.lit(False)), "permanent not authorised")
         .when((F.col("to_state") == "open") & F.col("expires_at").isNotNull(), "open cannot expire")
-        .when(F.col("expires_at") <= F.col("at"), "expiry not after transition")
+        .when(F.col("expires_at") <= F.col("changed_at"), "expiry not after transition")
     )
     judged = placed.withColumn("reason", reason)
     ok = judged.where("reason is null").withColumn("sequence", F.coalesce("last", F.lit(0)) + F.row_number().over(w))
-    return ok.select("fingerprint", "sequence", "from_state", "to_state", "at", "expires_at"), judged.where("reason is not null").select("fingerprint", "request_id", "reason")
+    return ok.select("fingerprint", "sequence", "from_state", "to_state", "changed_at", "expires_at"), judged.where("reason is not null").select("fingerprint", "request_id", "reason")
 
 
 def reopen_expired(history: DataFrame, now: float) -> DataFrame:
@@ -110,7 +110,7 @@ def append_once(stored: DataFrame, incoming: DataFrame, key: str, order: str) ->
 
 def close_by_tickets(events: DataFrame) -> DataFrame:
     """Finding status by its ticket's latest event: only validated closes change it (wont_fix: suppressed, else resolved)."""
-    last = events.groupBy("ticket_key").agg(F.max_by(F.struct("state", "resolution", "validated", "fingerprint"), F.struct("at", "event_id")).alias("x"))
+    last = events.groupBy("ticket_key").agg(F.max_by(F.struct("state", "resolution", "validated", "fingerprint"), F.struct("changed_at", "event_id")).alias("x"))
     closed = (F.col("x.state") == "closed") & F.coalesce(F.col("x.validated"), F.lit(False))
     status = F.when(closed & (F.col("x.resolution") == "wont_fix"), "suppressed").when(closed, "resolved").otherwise("open")
     return last.select("ticket_key", F.col("x.fingerprint").alias("fingerprint"), status.alias("status"))
