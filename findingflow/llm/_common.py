@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,7 +49,13 @@ class Memo(dict):
         return value
 
 
-def text_groups(rows: list[tuple], most: int = 2_000_000) -> Iterator[list[tuple]]:
+def values(column: pa.Array, step: int = 500) -> Iterator:
+    """The values of an Arrow column as Python objects, a few hundred at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
+def text_groups(rows: Iterable[tuple], most: int = 1_000_000) -> Iterator[list[tuple]]:
     """Consecutive rows of (id, text) in groups of about ``most`` characters and 4000 rows at most, so that numpy work arrays stay small."""
     group, size = [], 0
     for row in rows:

@@ -14,7 +14,7 @@ WORDS = re.compile(r"\w+").findall
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
-_hashes = Memo(xxhash.xxh64_intdigest, limit=300_000)
+_hashes = Memo(xxhash.xxh64_intdigest, limit=80_000)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

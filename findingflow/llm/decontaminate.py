@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_groups
+from ._common import materialise, text_groups, values
 from ._words import shingles, stir, word_hashes
 
 SIZE, CONTAINMENT = 5, 0.8
@@ -127,10 +127,10 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iter
             yield [r.item for r in part], [np.frombuffer(r.hashes, np.uint64) for r in part]
 
 
-def _hits(texts: list, shared: Items, least: float) -> Iterator[tuple[int, int, int]]:
+def _hits(texts: Iterator, shared: Items, least: float) -> Iterator[tuple[int, int, int]]:
     """(row, item, shared shingles) of contained items, for all texts of a batch."""
     base = 0
-    for group in text_groups([(None, t or "") for t in texts]):
+    for group in text_groups((None, t or "") for t in texts):
         for row, item, both in shared.search([t for _, t in group]):
             if both >= least * len(shared.items[item]):
                 yield base + row, item, both
@@ -157,7 +157,7 @@ def find_contaminated(
             names, hashes = shared.value
             items = Items(hashes)
             for batch in batches:
-                found = list(_hits(batch.column(1).to_pylist(), items, containment))
+                found = list(_hits(values(batch.column(1)), items, containment))
                 sizes, both = np.array([len(hashes[i]) for _, i, _ in found], np.int64), np.array([n for _, _, n in found], np.int64)
                 rows = batch.column(0).take(pa.array([r for r, _, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
@@ -180,7 +180,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             items = Items(shared.value)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[row for row, _, _ in _hits(batch.column(at).to_pylist(), items, containment)]] = False
+                clean[[row for row, _, _ in _hits(values(batch.column(at)), items, containment)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import Memo, materialise
+from ._common import Memo, materialise, values
 from .token_counts import ODD_SPACE, PLAIN, byte_alphabet, byte_shower
 
 _loaded: dict[int, tuple] = {}
@@ -184,7 +184,7 @@ def _encoder(spec: str) -> tuple[Tokenizer, Memo, re.Pattern]:
             return struct.pack(f"<{len(found)}I", *found)
 
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _loaded[key] = tokenizer, Memo(ids), re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
+        _loaded[key] = tokenizer, Memo(ids, limit=150_000), re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
     return _loaded[key]
 
 
@@ -204,7 +204,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end
         of, seen, part = memo.__getitem__, [0] * (max_tokens + 1), TaskContext.get().partitionId()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 text = text or ""
                 if odd.search(text):
                     ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end

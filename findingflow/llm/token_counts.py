@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from ._common import Memo
+from ._common import Memo, values
 
 # Fixed value: the byte-level pre-token pattern of the tokenizer files handled here.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,7 +101,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
             counts = [
                 len(tokenizer.encode(t, add_special_tokens=False).ids) if odd.search(t) else sum(map(of, chunks(t)))
-                for t in texts.to_pylist()
+                for t in values(texts)
             ]
             n = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays(

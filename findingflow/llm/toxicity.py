@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_groups
+from ._common import materialise, text_groups, values
 from ._words import MIX, stir, word_hashes
 
 BITS = 20
@@ -131,12 +131,12 @@ def score_toxicity(
     rows = training_rows(docs, labels, id_col, text_col, label_col, sample, bits)
     shared = docs.sparkSession.sparkContext.broadcast(train(rows, bits) if rows else (np.empty(0, np.int64), np.empty(0, np.float32), -1e-6))
 
-    def scores(texts: list[str]) -> np.ndarray:
+    def scores(texts: Iterator) -> np.ndarray:
         slots, values, bias = shared.value
         table = np.zeros(1 << bits, np.float32)
         table[slots] = values
         out = []
-        for group in text_groups([(None, t or "") for t in texts], 1_000_000):
+        for group in text_groups(((None, t or "") for t in texts), 1_000_000):
             found, owner = features(*word_hashes([t for _, t in group]), bits)
             hit = table[found] != 0
             pairs = np.unique(owner[hit] << bits | found[hit])
@@ -144,9 +144,11 @@ def score_toxicity(
             out.append(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
         return np.concatenate(out) if out else np.empty(0)
 
+    at = docs.columns.index(text_col) if passthrough else 1
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = scores(batch.column(batch.schema.get_field_index(text_col) if not passthrough else at).to_pylist())
+            s = scores(values(batch.column(at)))
             predicted = pa.array((s >= 0.5).astype(np.int32))
             if passthrough:
                 yield pa.RecordBatch.from_arrays([*batch.columns, predicted], names=[*batch.schema.names, "predicted_toxic"])
@@ -154,7 +156,6 @@ def score_toxicity(
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), predicted], names=[id_col, "held_out", "score", "predicted"])
 
     if passthrough:
-        at = docs.columns.index(text_col)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
         return docs.mapInArrow(score, f"{fields}, predicted_toxic int")
     rows_in = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
