@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import benchmark, export, findings, lifecycle, policy, portfolio, runs, threat  # noqa: F401
+from .plans import benchmark, export, findings, lifecycle, policy, portfolio, runs, sources, threat  # noqa: F401
 from .plans._registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a16_multi_repository_dashboard"](spark, sf_dir)
+    return QUERIES["g1_gate"](spark, sf_dir)
