@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,6 +33,31 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Per-process caches that a worker gives back after each task.
+caches: list[dict] = []
+
+
+def release() -> None:
+    """Give back this process's caches and free memory."""
+    for cache in caches:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker releases its memory: the process lives on for other stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 class Memo(dict):
     """A bounded memo of ``make``. Once ``limit`` keys are held they become the old generation, which keeps only what is asked for again; results never depend on it."""
 
@@ -38,10 +65,15 @@ class Memo(dict):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def __missing__(self, key):
         if len(self) >= self.limit:
-            self.old = dict(self)
+            kept = dict(self)
             self.clear()
+            self.old = kept
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

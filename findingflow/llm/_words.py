@@ -7,7 +7,7 @@ import re
 import numpy as np
 import xxhash
 
-from ._common import Memo
+from ._common import Memo, caches
 
 WORDS = re.compile(r"\w+").findall
 # Odd 64-bit multipliers that mix hashes.
@@ -15,6 +15,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 STIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 _hashes = Memo(xxhash.xxh64_intdigest, limit=80_000)
+caches.append(_hashes)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
