@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._common import tidy
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small strike strong sub sup time tt u var".split())
 REGION = frozenset("article main body div section td".split())
@@ -206,4 +208,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     rows = pages.select(id_col, *keep, html_col)
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    return rows.mapInArrow(extract, f"{fields}, text string, n_chars bigint")
+    return rows.mapInArrow(tidy(extract), f"{fields}, text string, n_chars bigint")

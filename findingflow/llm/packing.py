@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import Memo, materialise, values
+from ._common import caches, materialise, Memo, tidy, values
 from .token_counts import ODD_SPACE, PLAIN, byte_alphabet, byte_shower
 
 _loaded: dict[int, tuple] = {}
+caches.append(_loaded)
 # Fixed value: the pre-token pattern of the tokenizer file handled here, which drops white space and ignores case.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -184,7 +185,7 @@ def _encoder(spec: str) -> tuple[Tokenizer, Memo, re.Pattern]:
             return struct.pack(f"<{len(found)}I", *found)
 
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _loaded[key] = tokenizer, Memo(ids, limit=150_000), re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
+        _loaded[key] = tokenizer, Memo(ids, limit=100_000), re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
     return _loaded[key]
 
 
@@ -222,7 +223,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end
 
     rows = docs.select(id_col, text_col)
     names = [id_col, "piece", "start", "length", "ids_crc32", "rank", "part"]
-    return rows.mapInArrow(cut, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, rank bigint, part int")
+    return rows.mapInArrow(tidy(cut), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, rank bigint, part int")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -124,7 +124,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seeds, pa.list_(_MENTION)), pa.array(loose, pa.list_(_MENTION))], names=[id_col, "text_key", "seeds", "loose"])
 
     rows = docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col)
-    return rows.mapInArrow(scan, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text_key bigint, seeds array<{MENTION}>, loose array<{MENTION}>")
+    return rows.mapInArrow(tidy(scan), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text_key bigint, seeds array<{MENTION}>, loose array<{MENTION}>")
 
 
 def score_patterns(seen: DataFrame, rounds: int, min_known: float, min_score: float) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_groups, values
+from ._common import materialise, text_groups, tidy, values
 from ._words import MIX, stir, word_hashes
 
 BITS = 20
@@ -113,7 +113,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             found = [distinct_features(t, bits).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(found, pa.binary())], names=["id", "label", "slots"])
 
-    made = materialise(chosen.mapInArrow(turn, "id bigint, label int, slots binary"), "toxicity-features")
+    made = materialise(chosen.mapInArrow(tidy(turn), "id bigint, label int, slots binary"), "toxicity-features")
     rows = sorted((r.id, r.slots, r.label) for r in made.toLocalIterator())
     return [(np.frombuffer(s, np.int32), label) for _, s, label in rows]
 
@@ -157,9 +157,9 @@ def score_toxicity(
 
     if passthrough:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(score, f"{fields}, predicted_toxic int")
+        return docs.mapInArrow(tidy(score), f"{fields}, predicted_toxic int")
     rows_in = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
-    return rows_in.mapInArrow(score, f"`{id_col}` {rows_in.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows_in.mapInArrow(tidy(score), f"`{id_col}` {rows_in.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def crc_mod5(doc_id: int) -> int:
