@@ -1,8 +1,11 @@
-"""Ingest and write queries over reports that Spark derives from the tables and keeps in the shared folder: S4, S7, S9, S10."""
+"""Ingest and write queries over reports that Spark derives from the tables and keeps in the shared folder: S1 to S10."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
@@ -57,3 +60,147 @@ def s10_write_findings(findings):
     path = shared_path(findings.sparkSession, "findings")
     reports.write_findings(findings.select("repository", "row_id"), path)
     return findings.sparkSession.read.parquet(path).groupBy("repository").agg(F.count("*").alias("n"))
+
+
+def as_reports(results: DataFrame, wrap: Callable[[Column], Column], tag: str) -> str:
+    """Write one report a file, each of the results ``r`` of one block of a thousand orders, and give the path."""
+    path = shared_path(results.sparkSession, tag)
+    made = results.groupBy("block").agg(F.collect_list("r").alias("l")).select(F.to_json(wrap(F.col("l"))))
+    made.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def named(name: str) -> Callable[[Column], Column]:
+    return lambda found: F.struct(found.alias(name))
+
+
+def blocks(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("block", F.expr("row_id div 10000"))
+
+
+def shown(raw: DataFrame) -> DataFrame:
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return raw.select("scanner", *[text(c).alias(c) for c in ("rule_id", "severity", "file", "start_line", "package")], F.coalesce(F.array_join("cwe", ","), F.lit("")).alias("cwe"))
+
+
+SHOWN = "coalesce(cast({} AS varchar), '') AS {}"
+
+
+def plain(scanner: str, where: str, rule_id: str = "rule_id", severity: str = "NULL", file: str = "file", start_line: str = "start_line", package: str = "NULL", cwe: str = "NULL") -> str:
+    """The SQL of what a reader gives for the findings of ``where``."""
+    given = {"rule_id": rule_id, "severity": severity, "file": file, "start_line": start_line, "package": package, "cwe": cwe}
+    return f"SELECT '{scanner}' AS scanner, " + ", ".join(SHOWN.format(e, c) for c, e in given.items()) + f" FROM findings WHERE {where}"
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            plain("bandit", "row_id % 9 = 0", severity="original_severity", cwe="cwe"),
+            plain("semgrep", "row_id % 9 = 1", severity="original_severity", cwe="cwe"),
+            plain("pip-audit", "row_id % 9 = 2 AND cve IS NOT NULL", rule_id="cve", file="NULL", start_line="NULL", package="dep_name"),
+            plain("gitleaks", "row_id % 9 = 3"),
+            plain("checkov", "row_id % 9 = 4", severity="original_severity"),
+            plain("hadolint", "row_id % 9 = 5", severity="original_severity"),
+            plain("gosec", "row_id % 9 = 6", severity="original_severity", cwe="cwe"),
+            plain("brakeman", "row_id % 9 = 7", cwe="cwe"),
+            plain("eslint-security", "row_id % 9 = 8 AND start_line % 3 > 0", severity="CASE start_line % 3 WHEN 2 THEN 'ERROR' ELSE 'WARNING' END"),
+        ]
+    ),
+    findings="findings",
+)
+def s1_ingest_json(findings):
+    spark, f = findings.sparkSession, blocks(findings)
+    number, line, level = F.substring("cwe", 5, 9), F.col("start_line"), F.col("original_severity")
+
+    def put(k: int, tag: str, wrap: Callable[[Column], Column], **fields: Column) -> str:
+        return as_reports(f.where(f"row_id % 9 = {k}").select("block", F.struct(*[v.alias(n) for n, v in fields.items()]).alias("r")), wrap, tag)
+
+    rule, file = F.col("rule_id"), F.col("file")
+    at = lambda n: F.struct(n.alias("line"))
+    found = [
+        reports.bandit(spark, put(0, "bandit", named("results"), test_id=rule, issue_severity=level, filename=file, line_number=line, issue_cwe=F.struct(number.cast("int").alias("id")))),
+        reports.semgrep(spark, put(1, "semgrep", named("results"), check_id=rule, path=file, start=at(line), end=at(line), extra=F.struct(level.alias("severity"), F.struct(F.array(F.concat("cwe", F.lit(": named"))).alias("cwe")).alias("metadata")))),
+        reports.gitleaks(spark, put(3, "gitleaks", lambda found: found, RuleID=rule, File=file, StartLine=line)),
+        reports.checkov(spark, put(4, "checkov", lambda found: F.struct(F.struct(found.alias("failed_checks")).alias("results")), check_id=rule, severity=level, file_path=file, file_line_range=F.array(line, line + 2))),
+        reports.hadolint(spark, put(5, "hadolint", lambda found: found, code=rule, level=level, file=file, line=line)),
+        reports.gosec(spark, put(6, "gosec", named("Issues"), rule_id=rule, severity=level, file=file, line=F.concat(line.cast("string"), F.lit("-"), (line + 3).cast("string")), cwe=F.struct(number.alias("id")))),
+        reports.brakeman(spark, put(7, "brakeman", named("warnings"), check_name=rule, file=file, line=line, cwe_id=F.when(number.isNotNull(), F.array(number.cast("int"))))),
+    ]
+    vulns = f.where("row_id % 9 = 2 and cve is not null").groupBy("block", "dep_name").agg(F.collect_list(F.struct(F.col("cve").alias("id"))).alias("vulns"))
+    found.append(reports.pip_audit(spark, as_reports(vulns.select("block", F.struct(F.col("dep_name").alias("name"), F.lit("1").alias("version"), "vulns").alias("r")), named("dependencies"), "pip-audit")))
+    messages = f.where("row_id % 9 = 8").groupBy("block", "file").agg(F.collect_list(F.struct(rule.alias("ruleId"), (line % 3).alias("severity"), line.alias("line"))).alias("messages"))
+    found.append(reports.eslint(spark, as_reports(messages.select("block", F.struct(file.alias("filePath"), "messages").alias("r")), lambda found: found, "eslint")))
+    return reduce(DataFrame.unionByName, map(shown, found))
+
+
+@query(
+    plain("trivy", "scanner = 'trivy' AND cve IS NOT NULL", rule_id="cve", severity="original_severity", start_line="NULL", package="dep_name", cwe="cwe") + " UNION ALL " + plain("trivy", "scanner = 'trivy' AND cve IS NULL", severity="original_severity"),
+    findings="findings",
+)
+def s2_ingest_two_branches(findings):
+    rated = F.col("original_severity").alias("Severity")
+    vuln = F.struct(F.col("cve").alias("VulnerabilityID"), F.col("dep_name").alias("PkgName"), rated, F.array_compact(F.array("cwe")).alias("CweIDs"))
+    conf = F.struct(F.col("rule_id").alias("ID"), rated, F.struct(F.col("start_line").alias("StartLine")).alias("CauseMetadata"))
+    targets = blocks(findings.where("scanner = 'trivy'")).groupBy("block", F.col("file").alias("Target")).agg(
+        F.collect_list(F.when(F.col("cve").isNotNull(), vuln)).alias("Vulnerabilities"), F.collect_list(F.when(F.col("cve").isNull(), conf)).alias("Misconfigurations")
+    )
+    return shown(reports.trivy(findings.sparkSession, as_reports(targets.select("block", F.struct("Target", "Vulnerabilities", "Misconfigurations").alias("r")), named("Results"), "trivy")))
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            plain("zap", "scanner = 'zap'", severity="upper(severity)", file="CASE WHEN row_id % 4 > 0 THEN file END", start_line="NULL", cwe="cwe"),
+            plain("zap", "scanner = 'zap' AND row_id % 4 = 1", severity="upper(severity)", file="'again'", start_line="NULL", cwe="cwe"),
+            plain("osv-scanner", "scanner = 'pip-audit' AND cve IS NOT NULL", rule_id="cve", severity="original_severity", file="'lock'", start_line="NULL", package="dep_name"),
+            plain("grype", "scanner = 'gosec' AND cve IS NOT NULL", rule_id="cve", severity="original_severity", file="NULL", start_line="NULL", package="dep_name"),
+        ]
+    ),
+    findings="findings",
+)
+def s3_ingest_three_levels(findings):
+    spark, f = findings.sparkSession, blocks(findings)
+    place = lambda uri: F.struct(uri.alias("uri"))
+    instances = F.when(F.col("row_id") % 4 == 1, F.array(place(F.col("file")), place(F.lit("again")))).when(F.col("row_id") % 4 > 0, F.array(place(F.col("file"))))
+    alert = F.struct(F.col("rule_id").alias("pluginid"), F.concat(F.upper("severity"), F.lit(" (Low)")).alias("riskdesc"), F.substring("cwe", 5, 9).alias("cweid"), instances.alias("instances"))
+    sites = f.where("scanner = 'zap'").groupBy("block", "run_id").agg(F.collect_list(alert).alias("alerts"))
+    zap = reports.zap(spark, as_reports(sites.select("block", F.struct("alerts").alias("r")), named("site"), "zap"))
+    vuln = F.struct(F.col("cve").alias("id"), F.struct(F.col("original_severity").alias("severity")).alias("database_specific"))
+    packages = f.where("scanner = 'pip-audit' and cve is not null").groupBy("block", "dep_name").agg(F.collect_list(vuln).alias("vulnerabilities"))
+    each = F.struct(F.struct(F.lit("lock").alias("path")).alias("source"), F.array(F.struct(F.struct(F.col("dep_name").alias("name")).alias("package"), "vulnerabilities")).alias("packages"))
+    osv = reports.osv(spark, as_reports(packages.select("block", each.alias("r")), named("results"), "osv-scanner"))
+    match = F.struct(F.struct(F.col("cve").alias("id"), F.col("original_severity").alias("severity")).alias("vulnerability"), F.struct(F.col("dep_name").alias("name")).alias("artifact"))
+    grype = reports.grype(spark, as_reports(f.where("scanner = 'gosec' and cve is not null").select("block", match.alias("r")), named("matches"), "grype"))
+    return shown(zap).unionByName(shown(osv)).unionByName(shown(grype))
+
+
+@query(plain("codeql-sarif", "scanner = 'semgrep'", severity="CASE rule_id WHEN 'R4' THEN 'CRITICAL' WHEN 'R5' THEN 'MEDIUM' ELSE 'WARNING' END", cwe="CASE WHEN rule_id IN ('R4', 'R5') THEN 'CWE-79' END"), findings="findings")
+def s5_ingest_sarif(findings):
+    """Two rules carry a score and a tag, the others only the level of their results."""
+    f = blocks(findings.where("scanner = 'semgrep'"))
+    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))
+    result = F.struct(F.col("rule_id").alias("ruleId"), F.lit("warning").alias("level"), F.array(place).alias("locations"))
+    scored = F.struct(F.when(F.col("rule_id") == "R4", "9.8").otherwise("5.0").alias("security-severity"), F.array(F.lit("external/cwe/cwe-079")).alias("tags"))
+    rule = F.struct(F.col("rule_id").alias("id"), F.when(F.col("rule_id").isin("R4", "R5"), scored).alias("properties"))
+    run = f.groupBy("block").agg(F.collect_list(result).alias("results"), F.collect_set(F.to_json(rule)).alias("rules"))
+    rules = F.transform("rules", lambda r: F.from_json(r, "id string, properties struct<`security-severity`:string,tags:array<string>>"))
+    made = run.select("block", F.struct(F.struct(F.struct(rules.alias("rules")).alias("driver")).alias("tool"), "results").alias("r"))
+    return shown(reports.sarif(findings.sparkSession, as_reports(made, named("runs"), "sarif")))
+
+
+@query(plain("spotbugs", "scanner = 'bandit'", severity="CASE WHEN severity = 'high' THEN 1 ELSE 2 END", cwe="cwe"), findings="findings")
+def s6_ingest_xml(findings):
+    path = shared_path(findings.sparkSession, "spotbugs")
+    line = lambda file, start: F.struct(file.alias("_sourcepath"), start.alias("_start"), start.alias("_end"))
+    lines = F.array(line(F.col("file"), F.col("start_line")), line(F.lit("later"), F.lit(1)))
+    bugs = findings.where("scanner = 'bandit'").select(F.col("rule_id").alias("_type"), F.when(F.col("severity") == "high", 1).otherwise(2).alias("_priority"), F.substring("cwe", 5, 9).alias("_cweid"), F.lit("m").alias("LongMessage"), lines.alias("SourceLine"))
+    bugs.write.format("xml").option("rootTag", "BugCollection").option("rowTag", "BugInstance").save(path)
+    return shown(reports.spotbugs(findings.sparkSession, path))
+
+
+@query("SELECT sha256(concat(string_agg(c_name, ',' ORDER BY c_name), chr(10))) AS sha256 FROM customer GROUP BY c_custkey // 100", customer="customer")
+def s8_report_digests(customer):
+    path = shared_path(customer.sparkSession, "digests")
+    named_in = customer.groupBy(F.expr("c_custkey div 100")).agg(F.array_join(F.array_sort(F.collect_list("c_name")), ",").alias("value"))
+    named_in.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return reports.report_digests(customer.sparkSession, path).select("sha256")
