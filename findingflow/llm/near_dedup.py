@@ -4,10 +4,12 @@
 2. One scan gives every text a signature: ``BANDS * ROWS`` consistent weighted samples of its TF-IDF shingles, whose
    chance of agreeing in each place is the weighted Jaccard similarity of two texts.
 3. Texts that agree in a whole band are candidates. Equal texts were joined to one node before, by their digest. In
-   a bucket of up to ``SMALL`` nodes all pairs are compared. A larger bucket is dealt out again by further samples;
-   what is still larger is compared with one centre, a different one in each band, so no group is ever expanded.
+   a bucket of up to ``SMALL`` nodes all pairs are compared. A larger bucket is dealt out again by further samples
+   and its parts are compared with one centre each; this only finds classes early.
 4. Candidate pairs whose signatures agree enough are verified by the weighted Jaccard similarity of the whole texts.
-5. Classes are the connected components of verified pairs, found by label propagation with pointer jumping.
+5. All texts of larger buckets are then joined exactly: two similar texts share a shingle among the rarest of each
+   (prefix filter). Only pairs that are already in one class are left out.
+6. Classes are the connected components of verified pairs, found by label propagation with pointer jumping.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ BANDS, ROWS = 12, 3
 HASHES = BANDS * ROWS
 REFINE = 6  # further samples by which a large bucket is dealt out
 SMALL = 32
+BLOCK = 512  # members of a prefix group that meet in one row
 AGREE = 19  # of the 36 samples: 1 in 10,000 pairs at 0.8 agrees in fewer
 DF_BITS = 20  # 1 MB of weights
 SLOT_BITS = 15
@@ -163,8 +166,8 @@ def _all_pairs(groups: DataFrame) -> DataFrame:
     return gathered.select("members").mapInArrow(tidy(pair), "a binary, b binary")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes, a < b or a the centre, that share a bucket and whose signatures agree enough."""
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of nodes, a < b, that share a bucket and whose signatures agree enough; and the nodes of buckets above SMALL, of which only pairs with a centre are given."""
     rows = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
     shared = materialise(_sized(rows), "dedup-buckets")
     hit = shared.join(nodes.select("node", "signature"), "node")
@@ -172,11 +175,81 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     again = hit.where(F.col("size") > SMALL).select("node", "signature", F.explode(F.transform(_refined(F.col("signature")), lambda k: F.xxhash64("key", k))).alias("key"))
     large = materialise(again, "dedup-large")
     sized = large.join(large.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "node").alias("by"), "node", "signature")).alias("centre")).where("size > 1"), "key")
-    finer = _all_pairs(sized.where(F.col("size") <= SMALL).select("key", "node", "signature"))
-    star = sized.where((F.col("size") > SMALL) & (F.col("node") != F.col("centre.node")))
+    star = sized.where(F.col("node") != F.col("centre.node"))
     spoke = star.where(agreement("signature", "centre.signature") >= AGREE).select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
     spoke = spoke.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return small.unionByName(finer).unionByName(spoke).distinct()
+    return small.unionByName(spoke).distinct(), large.select("node").distinct()
+
+
+def prefix(weights: np.ndarray, rarity: np.ndarray, hashes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places of a text's rarest shingles, of which any text as alike as ``similarity`` shares one, the weight from each on in order of rarity, and the text's weight.
+
+    Let e be the first shingle, rarest first, that two texts share. What they share comes at or after e in both, so it
+    weighs no more than the rest from e on, and it weighs at least ``similarity`` of either text.
+    """
+    order = np.lexsort((hashes, -rarity))
+    ordered = weights[order].astype(np.float64)
+    total = float(ordered.sum())
+    rest = total - np.concatenate([[0.0], np.cumsum(ordered)[:-1]])
+    n = int(np.count_nonzero(rest >= similarity * total * (1 - 1e-6)))
+    return order[:n], rest[:n], total
+
+
+def prefixes(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """key, node, label, total and rest for each shingle in the prefix of each of ``texts`` (node, label, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for group in text_groups((None, t) for t in values(batch.column(2))):
+                hashes, times, starts = vectors([t for _, t in group])
+                weights, rarity = weigh(hashes, times, shared.value), shared.value[df_slot(hashes)]
+                keys, rests, totals, counts = [], [], [], []
+                for i, j in zip(starts[:-1], starts[1:], strict=True):
+                    found, rest, total = prefix(weights[i:j], rarity[i:j], hashes[i:j], similarity)
+                    keys.append(hashes[i:j][found])
+                    rests.append(rest)
+                    totals.append(np.full(len(found), total))
+                    counts.append(len(found))
+                owner = pa.array(np.repeat(np.arange(at, at + len(group)), counts))
+                columns = [pa.array(np.concatenate(keys).astype(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(totals)), pa.array(np.concatenate(rests))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "label", "total", "rest"])
+                at += len(group)
+
+    return texts.select("node", "label", "text").mapInArrow(tidy(run), "key bigint, node binary, label bigint, total double, rest double")
+
+
+def exact_pairs(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """All pairs (a, b), a < b, of ``texts`` (node, label, text) of different labels that can be as alike as ``similarity``."""
+    rows = materialise(prefixes(texts, idf, similarity), "dedup-prefixes")
+    several = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key", "size")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    dealt = rows.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), blocks))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    cells = met.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("node", "label", "total", "rest", "own")).alias("members"))
+    bound = similarity / (1 + similarity) * (1 - 1e-6)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in range(len(batch)):
+                low, high = batch.column(0)[cell].as_py(), batch.column(1)[cell].as_py()
+                members = batch.column(2)[cell].values.flatten()
+                label, total, rest, own = (members[k].to_numpy() for k in (1, 2, 3, 4))
+                a, b = [], []
+                for i in range(len(own) - 1) if low == high else np.flatnonzero(own == low):
+                    rivals = slice(i + 1, None) if low == high else slice(None)
+                    ok = (label[rivals] != label[i]) & (bound * (total[rivals] + total[i]) <= np.minimum(rest[rivals], rest[i]))
+                    if low != high:
+                        ok &= own == high
+                    found = np.flatnonzero(ok) + (i + 1 if low == high else 0)
+                    a.append(np.full(len(found), i))
+                    b.append(found)
+                if a:
+                    yield pa.RecordBatch.from_arrays([members[0].take(pa.array(np.concatenate(x))) for x in (a, b)], names=["a", "b"])
+
+    found = cells.select("low", "high", "members").mapInArrow(tidy(pair), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -187,15 +260,19 @@ def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.n
     return both / total if total else 0.0
 
 
-def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, text_col: str, similarity: float) -> DataFrame:
-    """The pairs whose whole texts have at least this weighted Jaccard similarity."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dedup-wanted")
+def texts_of(wanted: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """node and text, once for each node of ``wanted``."""
+    wanted = materialise(wanted, "dedup-wanted")
     if wanted.count() <= BROADCAST_ROWS:  # else an ordinary join
         wanted = F.broadcast(wanted)
     texts = docs.select(F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
-    texts = materialise(texts.dropDuplicates(["node"]), "dedup-texts")
+    return materialise(texts.dropDuplicates(["node"]), "dedup-texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """The pairs whose whole texts have at least this weighted Jaccard similarity."""
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = lru_cache(64)(lambda text: (lambda v: (v[0], weigh(v[0], v[1], shared.value)))(vectors([text])))
@@ -234,8 +311,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     idf = inverse_frequencies(docs, text_col)
     signed = materialise(sign(docs, idf, id_col, text_col), "dedup-signatures")
     nodes = materialise(signed.select("node", "bands", "signature").dropDuplicates(["node"]), "dedup-nodes")
-    pairs = materialise(candidate_pairs(nodes), "dedup-pairs")
-    labels = components(materialise(verify(pairs, docs, idf, text_col, similarity), "dedup-links"))
+    pairs, crowded = candidate_pairs(nodes)
+    pairs, crowded = materialise(pairs, "dedup-pairs"), materialise(crowded, "dedup-crowded")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct(), docs, text_col)
+    links = materialise(verify(pairs, texts, idf, similarity), "dedup-links")
+    labels = components(links)
+    if not crowded.isEmpty():
+        labelled = texts.join(crowded, "node", "left_semi").join(labels, "node", "left").select("node", F.xxhash64(F.coalesce("label", "node")).alias("label"), "text")
+        more = materialise(exact_pairs(labelled, idf, similarity), "dedup-exact")
+        if not more.isEmpty():
+            labels = components(materialise(links.unionByName(verify(more, texts, idf, similarity)), "dedup-links"))
     counted = signed.groupBy("node").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), "node")).alias("least"), F.count("*").alias("rows"))
     placed = counted.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     whole = placed.where("label is not null or rows > 1").groupBy("class").agg(F.min("least").alias("least"), F.sum("rows").alias("class_size"), F.count("*").alias("n_texts"))

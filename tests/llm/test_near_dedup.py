@@ -64,6 +64,18 @@ def test_classes_equal_brute_force(spark):
     assert all(got[i].class_size == sizes[c] for i, c in enumerate(want))
 
 
+def test_pairs_among_texts_that_share_a_passage(spark):
+    passage, texts = prose(450), []
+    for _ in range(150):
+        more = prose(63)
+        texts += [" ".join(prose(37) + passage + more) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute(texts, inverse_frequencies(df, "text"))
+    assert 100 < len(set(want)) < 200
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     idf = np.linspace(1, 1.5, 1 << DF_BITS).astype(np.float32)
     base = prose(400)
