@@ -3,11 +3,11 @@
 A small network, trained in numpy, predicts every token of a text from the two tokens on each side of it. A
 document's score is the sum of these conditional log-probabilities.
 
-1. One scan counts every word of every document and sets aside a fixed fraction of all windows (by their place's
-   hash), both growing with the corpus. The most frequent words become the vocabulary; other words share hashed ids.
-2. In each round every partition of windows trains the network from the same start; Spark averages the parameters,
-   weighted by windows, in two steps of grouping, so no task gathers more than a share of them.
-3. A second scan scores every position of every text. The output layer is a two-level softmax (64 classes of 64).
+1. One scan counts every word of every document. The most frequent words become the vocabulary; other words share
+   hashed ids.
+2. In each round every partition of documents trains the network on all its windows from the same start; Spark averages
+   the parameters, weighted by windows, in two steps of grouping, so no task gathers more than a share of them.
+3. A last scan scores every position of every text. The output layer is a two-level softmax (64 classes of 64).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ VOCABULARY = CLASSES * WITHIN
 EDGE, RARE = 0, 511  # the id beyond a text's ends; how many ids rare words share
 FREQUENT = VOCABULARY - 1 - RARE
 WIDTH = 16
-FRACTION = 32  # one window in so many is learnt from
+FRACTION = 1  # one window in so many is learnt from: all of them
 ROUNDS = 2
 CHUNK = 8192  # parameters a row when they are averaged
 SPAN = 2 * REACH
@@ -151,64 +151,60 @@ def windows(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([padded[place + k] for k in (*range(-REACH, 0), *range(1, REACH + 1))], 1)
 
 
-def scan_corpus(docs: DataFrame, text_col: str, fraction: int) -> DataFrame:
-    """Rows of (hash, n): how often each word occurs in part of a partition; and rows of windows: hashes of a token and those around it."""
+def count_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """Rows of (hash, n): how often each word occurs in part of a partition."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held, counts, place = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        held, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-        def rows(hashes: np.ndarray, n: np.ndarray, blob: bytes | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64), mask=np.full(len(hashes), blob is not None)), pa.array(n, pa.int64()), pa.array([blob] * len(n), pa.binary())], names=["hash", "n", "windows"]
-            )
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts, pa.int64())], names=["hash", "n"])
 
         for batch in batches:
             for group in text_groups(((None, t or "") for t in values(batch.column(0)))):
-                hashes, starts = word_hashes([t for _, t in group])
+                hashes, _ = word_hashes([t for _, t in group])
                 new, times = np.unique(hashes, return_counts=True)
                 held, back = np.unique(np.concatenate([held, new]), return_inverse=True)
                 counts = np.bincount(back, np.concatenate([counts, times]), len(held)).astype(np.int64)
                 if len(held) > 500_000:
-                    yield rows(held, counts, None)
+                    yield rows()
                     held, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-                spot = stir(np.arange(place, place + len(hashes), dtype=np.uint64) + np.uint64(part << 40)) % np.uint64(fraction) == 0
-                place += len(hashes)
-                if spot.any():
-                    around = np.column_stack([hashes, windows(hashes, starts)])[spot]
-                    yield rows(np.zeros(1, np.uint64), np.array([len(around)]), around.tobytes())
         if len(held):
-            yield rows(held, counts, None)
+            yield rows()
 
-    return docs.select(text_col).mapInArrow(tidy(scan), "hash bigint, n bigint, windows binary")
+    return docs.select(text_col).mapInArrow(tidy(scan), "hash bigint, n bigint")
 
 
-def train_round(held: DataFrame, vocabulary: np.ndarray, start: np.ndarray, rate: float, batch_size: int = 2048) -> np.ndarray:
-    """Parameters after every partition of windows has trained from ``start``, averaged by windows."""
-    shared = held.sparkSession.sparkContext.broadcast((vocabulary, start))
+def train_round(docs: DataFrame, text_col: str, vocabulary: np.ndarray, start: np.ndarray, rate: float, fraction: int, batch_size: int = 2048) -> np.ndarray:
+    """Parameters after every partition of documents has trained from ``start`` on one window in ``fraction``, averaged by windows."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, start))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, begin = shared.value
-        known, net, squares, n = Vocabulary(words), Network(begin.copy()), Network(np.full(len(begin), 0.1, np.float32)), 0
+        known, net, squares, n, place = Vocabulary(words), Network(begin.copy()), Network(np.full(len(begin), 0.1, np.float32)), 0, 0
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                hashes = np.frombuffer(blob, np.uint64).reshape(-1, 1 + SPAN)
-                edge = hashes == EDGE
-                ids = np.where(edge, EDGE, known.ids(hashes.ravel()).reshape(hashes.shape))
+            for group in text_groups(((None, t or "") for t in values(batch.column(0)))):
+                hashes, starts = word_hashes([t for _, t in group])
+                ids = known.ids(hashes)
+                around = windows(ids, starts)
+                if fraction > 1:
+                    spot = stir(np.arange(place, place + len(ids), dtype=np.uint64) + np.uint64(part << 40)) % np.uint64(fraction) == 0
+                    place += len(ids)
+                    ids, around = ids[spot], around[spot]
                 for at in range(0, len(ids), batch_size):
-                    net.train(ids[at : at + batch_size, 1:], ids[at : at + batch_size, 0], rate, squares)
+                    net.train(around[at : at + batch_size], ids[at : at + batch_size], rate, squares)
                 n += len(ids)
         if n:
             chunks = [net.flat[at : at + CHUNK].tobytes() for at in range(0, len(net.flat), CHUNK)]
-            part = TaskContext.get().partitionId() % 64
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([part] * len(chunks), pa.int32()), pa.array([n] * len(chunks), pa.int64()), pa.array(chunks)], names=["chunk", "part", "n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([part % 64] * len(chunks), pa.int32()), pa.array([n] * len(chunks), pa.int64()), pa.array(chunks)], names=["chunk", "part", "n", "weights"])
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(n * np.frombuffer(w, np.float32).astype(np.float64) for n, w in zip(pdf["n"], pdf["weights"], strict=True))
         n = pdf["n"].sum()
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "n": [n], "weights": [(total / n).astype(np.float32).tobytes()]})
 
-    trained = held.mapInArrow(tidy(learn), "chunk int, part int, n bigint, weights binary")
+    trained = docs.select(text_col).mapInArrow(tidy(learn), "chunk int, part int, n bigint, weights binary")
     once = trained.groupBy("chunk", "part").applyInPandas(average, "chunk int, n bigint, weights binary")
     rows = sorted((r.chunk, r.weights) for r in once.groupBy("chunk").applyInPandas(average, "chunk int, n bigint, weights binary").collect())
     return np.frombuffer(b"".join(w for _, w in rows), np.float32) if rows else start
@@ -216,14 +212,12 @@ def train_round(held: DataFrame, vocabulary: np.ndarray, start: np.ndarray, rate
 
 def fit(docs: DataFrame, text_col: str = "text", fraction: int = FRACTION, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the frequent words, most frequent first, and the network's parameters: what scoring needs, of fixed size."""
-    scanned = materialise(scan_corpus(docs, text_col, fraction), "lm-scan")
-    counts = scanned.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = materialise(count_words(docs, text_col).groupBy("hash").agg(F.sum("n").alias("n")), "lm-counts")
     frequent = counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
     vocabulary = np.array([r["hash"] for r in frequent], np.int64).view(np.uint64)
-    held = scanned.where("hash is null").select("windows")
     flat = fresh()
     for k in range(rounds):
-        flat = train_round(held, vocabulary, flat, 0.2 / (k + 1))
+        flat = train_round(docs, text_col, vocabulary, flat, 0.2 / (k + 1), fraction)
     return vocabulary, flat
 
 

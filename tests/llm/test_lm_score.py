@@ -54,6 +54,12 @@ def test_scores_equal_brute_force_and_order_matters(spark, model):
     assert got[0].mean_log_likelihood > untrained.log_probability(lm_score.windows(ids, np.array([0, len(ids)])), ids).mean() + 2
 
 
+def test_every_window_is_learnt_from(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    net = Network(fit(spark.createDataFrame([(1, words)], "doc_id long, text string"))[1])
+    assert net.bw[0, 1:41].min() > net.bw[0, 41:].max()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert score(none, fit(none)).count() == 0
