@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def json_text(value: Column) -> Column:
-    """A string as JSON; null stays visible as ``null``."""
+    """A string as JSON; null stays visible as ``null``. Only strings that need escapes go through a JSON writer."""
     whole = F.to_json(F.struct(value.alias("v")))
-    return F.when(value.isNull(), "null").otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
+    escaped = F.substring(whole, F.lit(6), F.length(whole) - 6)
+    return F.when(value.isNull(), "null").when(F.rlike(value, F.lit(r'["\\\x00-\x1f\x7f-\x9f\u2028\u2029]')), escaped).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
 
 
 def json_list(values: Column) -> Column:
@@ -38,7 +39,7 @@ def repository_path(path: Column) -> Column:
     """A portable relative path: forward slashes, no drive, ``.`` and ``..`` resolved where they can be; null and empty stay.
 
     Segments are folded from left to right; ``..`` removes the segment before it, is dropped at the root of an
-    absolute path, and stays at the start of a relative one.
+    absolute path, and stays at the start of a relative one. Paths that are portable already are not taken apart.
     """
     slashed = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^[A-Za-z]:/", "/")
     absolute = F.startswith(slashed, F.lit("/"))
@@ -52,7 +53,8 @@ def repository_path(path: Column) -> Column:
         .otherwise(F.concat(done, F.array(s))),
     )
     joined = F.array_join(kept, "/")
-    return F.when(path == "", path).when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+    odd = F.rlike(path, F.lit(r"\\|//|/$|^[A-Za-z]:|(^|/)\.\.?(/|$)"))
+    return F.when((path == "") | ~odd, path).when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
 
 
 def split_identifiers(values: Column) -> Column:

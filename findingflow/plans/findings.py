@@ -187,16 +187,16 @@ def ancestry(findings: DataFrame) -> DataFrame:
 @query(findings="findings")
 def a2_merge_clusters(findings):
     own = correlate.independent_sources(members(findings), ancestry(findings))
-    against = own.where("start_line % 7 = 0").select(F.col("fingerprint").alias("finding_identity"), F.lit("reviewer").alias("contradicting_scanner")).distinct()
+    against = own.where("start_line % 7 = 0").select(*correlate.RUN, F.col("fingerprint").alias("finding_identity"), F.lit("reviewer").alias("contradicting_scanner")).distinct()
     return correlate.merge_clusters(own, correlate.attach_contradictions(own, against))
 
 
 @query(
-    f"""WITH {ISSUES}, x AS (SELECT DISTINCT identity FROM issues WHERE scanner = 'bandit' AND occurrence_count > 1)
-    SELECT DISTINCT repository, run_id, concat(scanner, '|', identity) AS cluster_id, 'reviewer' AS scanner FROM issues JOIN x USING (identity)""",
+    f"""WITH {ISSUES}, x AS (SELECT DISTINCT repository, run_id, identity FROM issues WHERE scanner = 'bandit' AND occurrence_count > 1)
+    SELECT DISTINCT repository, run_id, concat(scanner, '|', identity) AS cluster_id, 'reviewer' AS scanner FROM issues JOIN x USING (repository, run_id, identity)""",
     findings="findings",
 )
 def j11_contradictions(findings):
     found = issues(findings).withColumn("cluster_id", F.col("issue_id"))
-    against = found.where("scanner = 'bandit' and occurrence_count > 1").select(F.col("fingerprint").alias("finding_identity"), F.lit("reviewer").alias("contradicting_scanner")).distinct()
+    against = found.where("scanner = 'bandit' and occurrence_count > 1").select(*correlate.RUN, F.col("fingerprint").alias("finding_identity"), F.lit("reviewer").alias("contradicting_scanner")).distinct()
     return correlate.attach_contradictions(found, against)
