@@ -11,10 +11,10 @@ from pyspark.sql.types import StringType
 
 # What a secret looks like, and what stands in its place.
 PATTERNS = (
-    (r"""(?i)((?:api[_-]?key|password|passwd|secret|token)\s*[:=]\s*)(["'])[^"'\n]+["']""", r"$1$2[REDACTED]$2"),
-    (r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{8,}", r"$1[REDACTED]"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"),
-    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]"),
+    (r"""(?im)\b([A-Z0-9_]*(?:API[_-]?KEY|PASSWORD|PASSWD|SECRET|TOKEN|PRIVATE[_-]?KEY)[A-Z0-9_]*\s*[:=]\s*)(["'])[^"'\r\n]+\2""", r"$1$2[REDACTED]$2"),
+    (r"(?i)\b(Bearer\s+)[A-Za-z0-9._~+/=-]{8,}", r"$1[REDACTED]"),
+    (r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "[REDACTED]"),
+    (r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[REDACTED]"),
 )
 SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "credential", "private_key")
 

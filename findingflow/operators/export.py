@@ -45,7 +45,7 @@ VEX_STATES = {"not_affected": ("code_not_reachable", "code_not_present"), "affec
 
 def vex_rows(analyses: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(statements, rejects with a reason): the finding exists and records the id, state fits status, and ``not_affected`` does not contradict reachability."""
-    joined = analyses.join(findings.select("fingerprint", "ids", "reachability"), "fingerprint", "left")
+    joined = analyses.join(findings.select("repository", "fingerprint", "ids", "reachability"), ["repository", "fingerprint"], "left")
     fits = F.lit(False)
     for status, states in VEX_STATES.items():
         fits = fits | ((F.col("status") == status) & F.col("analysis_state").isin(*states))
@@ -53,7 +53,7 @@ def vex_rows(analyses: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataF
         F.when(F.col("ids").isNull(), "unknown finding").when(~F.array_contains("ids", F.col("vulnerability_id")), "id not recorded").when(~F.coalesce(fits, F.lit(False)), "state does not fit status")
         .when((F.col("analysis_state") == "code_not_reachable") & (F.col("reachability") == "reachable"), "contradicts reachability")
     )
-    judged = joined.withColumn("reason", reason).select("fingerprint", "vulnerability_id", "status", "analysis_state", "reason")
+    judged = joined.withColumn("reason", reason).select("repository", "fingerprint", "vulnerability_id", "status", "analysis_state", "reason")
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import glob_regex_column
 
+# The states of a finding, and those that need an approval.
+FINDING_STATES = ("open", "acknowledged", "suppressed", "resolved", "false_positive", "accepted_risk")
 APPROVAL_REQUIRED = ("suppressed", "accepted_risk", "false_positive")
 
 
@@ -78,18 +80,25 @@ def revalidate(findings: DataFrame, suppressions: DataFrame, now: float) -> Data
 def append_transitions(history: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new history rows, rejects with a reason). Sequences go on from each finding's last; several requests of one finding follow by time.
 
-    Each request starts in the state the one before it, accepted or not, asked for.
+    A rejected request changes nothing. All reasons but "already in this state" depend on the request alone, and after
+    a request that is sound by itself the finding is in its state whether it was just put there or was there before.
+    So the state before each request is the target of the last sound one: a running window, not a fold.
     """
     last = history.groupBy("fingerprint").agg(F.max("sequence").alias("last"), F.max_by("to_state", "sequence").alias("state"))
     w = Window.partitionBy("fingerprint").orderBy("changed_at", "request_id")
-    placed = requests.join(last, "fingerprint", "left").withColumn("from_state", F.coalesce(F.lag("to_state").over(w), "state", F.lit("open")))
-    reason = (
-        F.when(F.col("from_state") == F.col("to_state"), "already in this state")
-        .when(F.col("to_state").isin(*APPROVAL_REQUIRED) & F.col("approved_at").isNull(), "approval required")
-        .when((F.col("to_state") == "suppressed") & F.col("expires_at").isNull() & ~F.coalesce("allow_permanent", F.lit(False)), "permanent not authorised")
-        .when((F.col("to_state") == "open") & F.col("expires_at").isNotNull(), "open cannot expire")
+    known, to = F.col("to_state").isin(*FINDING_STATES), F.col("to_state")
+    unsound = (
+        F.when(to.isin(*APPROVAL_REQUIRED) & F.col("approved_at").isNull(), "approval required")
+        .when((to == "suppressed") & F.col("expires_at").isNull() & ~F.coalesce("allow_permanent", F.lit(False)), "permanent not authorised")
+        .when((to == "open") & F.col("expires_at").isNotNull(), "open cannot expire")
         .when(F.col("expires_at") <= F.col("changed_at"), "expiry not after transition")
+        .when(F.col("approved_at") > F.col("changed_at"), "approval after transition")
     )
+    checked = requests.withColumn("known", F.coalesce(known, F.lit(False))).withColumn("unsound", unsound)
+    sound = F.when(F.col("known") & F.col("unsound").isNull(), to)
+    before = F.last(sound, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    placed = checked.join(last, "fingerprint", "left").withColumn("from_state", F.coalesce(before, "state", F.lit("open")))
+    reason = F.when(~F.col("known"), "unsupported state").when(F.col("from_state") == to, "already in this state").otherwise(F.col("unsound"))
     judged = placed.withColumn("reason", reason)
     ok = judged.where("reason is null").withColumn("sequence", F.coalesce("last", F.lit(0)) + F.row_number().over(w))
     return ok.select("fingerprint", "sequence", "from_state", "to_state", "changed_at", "expires_at"), judged.where("reason is not null").select("fingerprint", "request_id", "reason")

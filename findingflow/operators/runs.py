@@ -63,12 +63,21 @@ def threshold_policy(findings: DataFrame, scanners: DataFrame, fail_on: str = "h
     return both.select("run_id", "gating_findings", "required_failures", outcome.alias("outcome"), F.when(broken & stop, 2).when(hit, 1).otherwise(0).alias("exit_code"))
 
 
-def check_counts(changes: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Per repository: total, new, blocking and suppressed findings, and FAIL, WARN (changes but no block) or PASS."""
-    n = changes.where("presence <> 'removed'").groupBy("repository").agg(F.count("*").alias("total"), F.count_if(F.col("presence") == "new").alias("new"), F.count_if(F.col("expired_suppression")).alias("expired"))
-    b = blocked.groupBy("repository").agg(F.count("*").alias("blocking"))
-    out = n.join(b, "repository", "left").fillna(0, ["blocking"])
-    return out.withColumn("decision", F.when(F.col("blocking") > 0, "FAIL").when(F.col("new") > 0, "WARN").otherwise("PASS"))
+def check_counts(findings: DataFrame, changes: DataFrame, matched: DataFrame, blocked: DataFrame, policy: DataFrame, gate: DataFrame) -> DataFrame:
+    """Per repository: total, new, blocking, suppressed and unscored findings, and the decision.
+
+    ``matched`` and ``blocked`` (repository, fingerprint) are what the policy matched and the gate blocked; blocking
+    counts findings of either, once. ``policy`` has each repository's outcome, ``gate`` whether it passed. FAIL if the
+    policy fails or errs or the gate did not pass, for lost coverage too; WARN if the policy warns; else PASS.
+    """
+    new = changes.where("presence = 'new'").groupBy("repository").agg(F.count("*").alias("new"))
+    stops = matched.select("repository", "fingerprint").unionByName(blocked.select("repository", "fingerprint")).distinct().withColumn("stops", F.lit(1))
+    counted = findings.join(stops, ["repository", "fingerprint"], "left").groupBy("repository").agg(
+        F.count("*").alias("total"), F.count("stops").alias("blocking"), F.count_if(F.col("status") == "suppressed").alias("suppressed"), F.count_if(F.col("confidence").isNull()).alias("unscored")
+    )
+    joined = counted.join(new, "repository", "left").fillna(0, ["new"]).join(policy.select("repository", "outcome"), "repository", "left").join(gate.select("repository", "passed"), "repository", "left")
+    decision = F.when(F.col("outcome").isin("fail", "error") | ~F.coalesce("passed", F.lit(True)), "FAIL").when(F.col("outcome") == "warn", "WARN").otherwise("PASS")
+    return joined.select("repository", "total", "new", "blocking", "suppressed", "unscored", decision.alias("decision"))
 
 
 def top_findings(findings: DataFrame, n: int = 10) -> DataFrame:

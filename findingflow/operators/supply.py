@@ -7,8 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import glob_regex
 
-LANGUAGES = {"py": "Python", "js": "JavaScript", "ts": "TypeScript", "go": "Go", "rb": "Ruby", "java": "Java", "rs": "Rust", "cs": "C#", "php": "PHP", "tf": "Terraform"}
-LOCKS = {"package-lock.json": "npm", "yarn.lock": "yarn", "poetry.lock": "poetry", "requirements.txt": "pip", "go.sum": "go", "gemfile.lock": "bundler", "pom.xml": "maven", "cargo.lock": "cargo"}
+# What file names and dependencies say about a repository.
+LANGUAGES = {
+    ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cs": "csharp", ".go": "go", ".java": "java", ".js": "javascript", ".jsx": "javascript", ".kt": "kotlin", ".kts": "kotlin",
+    ".php": "php", ".py": "python", ".rb": "ruby", ".rs": "rust", ".swift": "swift", ".ts": "typescript", ".tsx": "typescript",
+}
+LOCKS = {
+    "package-lock.json": "npm", "npm-shrinkwrap.json": "npm", "yarn.lock": "yarn", "pnpm-lock.yaml": "pnpm", "poetry.lock": "poetry", "uv.lock": "uv", "Pipfile.lock": "pipenv",
+    "go.sum": "go-modules", "Cargo.lock": "cargo", "Gemfile.lock": "bundler", "composer.lock": "composer", "packages.lock.json": "nuget",
+}
+MANAGERS = LOCKS | {
+    "package.json": "npm", "pyproject.toml": "pip", "setup.py": "pip", "go.mod": "go-modules", "Cargo.toml": "cargo", "pom.xml": "maven", "build.gradle": "gradle",
+    "build.gradle.kts": "gradle", "Gemfile": "bundler", "composer.json": "composer",
+}
+BUILDS = {
+    "package.json": "npm", "pyproject.toml": "python", "setup.py": "python", "go.mod": "go", "Cargo.toml": "cargo", "pom.xml": "maven", "build.gradle": "gradle",
+    "build.gradle.kts": "gradle", "Gemfile": "ruby", "composer.json": "php", "Makefile": "make", "CMakeLists.txt": "cmake", "WORKSPACE": "bazel", "WORKSPACE.bazel": "bazel", "MODULE.bazel": "bazel",
+}
+FRAMEWORKS = {
+    "flask": "flask", "django": "django", "fastapi": "fastapi", "react": "react", "next": "nextjs", "express": "express", "@nestjs/core": "nestjs", "github.com/gin-gonic/gin": "gin",
+    "github.com/labstack/echo": "echo", "github.com/gofiber/fiber": "fiber", "axum": "axum", "actix-web": "actix-web", "rocket": "rocket", "rails": "rails",
+    "org.springframework.boot": "spring-boot", "laravel/framework": "laravel", "symfony/framework-bundle": "symfony", "vue": "vue", "@angular/core": "angular", "svelte": "svelte",
+}
+VENDORED = r"(^|/)(node_modules|vendor|\.venv|venv|site-packages)/"
+IGNORED = r"(^|/)(\.git|\.hg|\.svn|\.tox)/"
+GENERATED = r"(?i)(^|/)(build|dist|coverage|\.next|out|target|generated)/|\.min\.js$|\.min\.css$|\.map$|\.generated\.[^/]*$|_pb2\.py$|\.designer\.cs$"
+TEST_FOLDERS = ("test", "tests", "spec", "specs", "__tests__")
+COMPOSE = ("compose.yml", "compose.yaml", "docker-compose.yml", "docker-compose.yaml")
+REQUIREMENTS = r"(?i)^requirements.*\.(txt|in)$"
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
@@ -19,14 +45,54 @@ def base_name(path: str) -> Column:
     return F.lower(F.element_at(F.split(path, "/"), -1))
 
 
-def inventory(files: DataFrame) -> DataFrame:
-    """Languages, package managers and counts of test, generated and vendored files per repository."""
-    language = lookup(LANGUAGES, F.element_at(F.split(base_name("path"), r"\."), -1))
-    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return files.groupBy("repository").agg(
-        F.count("*").alias("files"), names(language).alias("languages"), names(lookup(LOCKS, base_name("path"))).alias("managers"),
-        F.count_if(F.rlike("path", F.lit(r"(^|/)tests?/|(^|/)test_"))).alias("tests"), F.count_if(F.rlike("path", F.lit(r"(^|/)(vendor|node_modules)/"))).alias("vendored"),
+def language_of(path: str) -> Column:
+    """Language by the suffix of the file's name; a name that is all suffix has none."""
+    return lookup(LANGUAGES, F.regexp_extract(base_name(path), r"^.+(\.[^.]+)$", 1))
+
+
+def scannable(files: DataFrame) -> DataFrame:
+    """Files outside vendored and version-control folders that are not generated."""
+    return files.where(~F.rlike("path", F.lit(VENDORED)) & ~F.rlike("path", F.lit(IGNORED)) & ~F.rlike("path", F.lit(GENERATED)))
+
+
+def inventory(files: DataFrame, dependencies: DataFrame, keys: tuple[str, ...] = ("repository",)) -> DataFrame:
+    """Technologies per repository, or per package with ``keys`` (repository, root).
+
+    ``files`` has path and text (null unless it is small and may describe infrastructure), ``dependencies`` name and
+    scope. Languages, managers, build systems and frameworks are sorted and joined by commas. Vendored, ignored and
+    generated files count as such only; lock files count even if generated.
+    """
+    name, end = F.element_at(F.split("path", "/"), -1), base_name("path")
+    inside = ~F.rlike("path", F.lit(VENDORED)) & ~F.rlike("path", F.lit(IGNORED))
+    generated = inside & F.rlike("path", F.lit(GENERATED))
+    seen = inside & ~generated
+    config, text = seen & end.rlike(r"\.(ya?ml|json)$"), F.coalesce("text", F.lit(""))
+    python = F.rlike(name, F.lit(REQUIREMENTS))
+    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+    tests = F.filter(F.transform(folders, lambda part, i: F.when(F.lower(part).isin(*TEST_FOLDERS), F.array_join(F.slice(folders, F.lit(1), i + 1), "/"))), lambda t: t.isNotNull())
+    joined = lambda sets: F.array_join(F.array_sort(F.array_distinct(F.flatten(sets))), ",")
+    both = lambda *found: F.collect_set(F.when(seen, F.array_compact(F.array(*found))))
+    made = files.groupBy(*keys).agg(
+        F.count_if(seen).alias("files"),
+        joined(both(language_of("path"), F.when(name == "package.json", "javascript"))).alias("languages"),
+        joined(both(lookup(MANAGERS, name), F.when(python, "pip"))).alias("managers"),
+        joined(both(lookup(BUILDS, name), F.when(python, "python"))).alias("build_systems"),
+        F.count_if(inside & lookup(LOCKS, name).isNotNull()).alias("lock_files"),
+        F.count_if(seen & (F.startswith(name, F.lit("Dockerfile")) | name.isin(*COMPOSE))).alias("container_files"),
+        F.count_if(config & F.contains(text, F.lit("apiVersion:")) & text.rlike(r"(?m)^kind:\s*\S+")).alias("kubernetes_files"),
+        F.count_if(seen & F.rlike("path", F.lit(r"\.tf(\.json)?$"))).alias("terraform_files"),
+        F.count_if(config & (F.contains(text, F.lit("AWSTemplateFormatVersion")) | (F.contains(text, F.lit("Resources:")) & F.contains(text, F.lit("AWS::"))))).alias("cloudformation_files"),
+        F.count_if(config & text.rlike(r'(?m)^\s*(openapi|swagger)\s*:|"(openapi|swagger)"\s*:')).alias("openapi_specifications"),
+        joined(F.collect_set(F.when(seen, tests))).alias("test_directories"),
+        F.count_if(generated).alias("generated_files"),
+        F.count_if(F.rlike("path", F.lit(VENDORED))).alias("vendored_files"),
+    )
+    low = F.lower("name")
+    framework = F.coalesce(lookup(FRAMEWORKS, low), F.array_max(F.array(*[F.when(F.startswith(low, F.lit(f"{d}/")) | F.startswith(low, F.lit(f"{d}:")), f) for d, f in FRAMEWORKS.items()])))
+    used = dependencies.groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_set(framework)), ",").alias("frameworks"), F.count_if(F.col("scope") == "runtime").alias("runtime_dependencies"), F.count_if(F.col("scope") == "development").alias("development_dependencies")
     )
+    return made.join(used, list(keys), "left").fillna("", ["frameworks"]).fillna(0, ["runtime_dependencies", "development_dependencies"])
 
 
 def dependencies_from_text(files: DataFrame) -> DataFrame:
@@ -64,11 +130,26 @@ def package_owner(files: DataFrame, roots: DataFrame) -> DataFrame:
     return files.select("repository", "path").join(met.groupBy("repository", "path").agg(F.max_by("root", F.length("root")).alias("root")), ["repository", "path"], "left")
 
 
-def scanner_plan(files: DataFrame, adapters: list[tuple[str, str | None, str | None]]) -> DataFrame:
-    """(repository, scanner, files) for each adapter (scanner, language, glob): files of its language or pattern; global ones (neither) always."""
-    language = lookup(LANGUAGES, F.element_at(F.split(base_name("path"), r"\."), -1))
-    fits = [F.when(F.lit(True) if lang is None and glob is None else F.coalesce(language == lang if lang else F.col("path").rlike(glob_regex(glob)), F.lit(False)), name) for name, lang, glob in adapters]
-    return files.select("repository", F.explode(F.array_compact(F.array(*fits))).alias("scanner")).groupBy("repository", "scanner").agg(F.count("*").alias("files"))
+def scanner_plan(files: DataFrame, adapters: list[tuple[str, tuple[str, ...], tuple[str, ...], bool]]) -> DataFrame:
+    """(repository, scanner, root, files): which scanners apply to which package, and to how many of its files.
+
+    ``files`` has the package root of each path (``.``: the repository itself). An adapter (scanner, languages, globs,
+    everywhere) applies to a package that holds a file of one of its languages, or one whose path inside the package or
+    name matches a glob; one that applies everywhere has the repository's root as target, with all files.
+    """
+    inside = F.when(F.col("root") == ".", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
+    placed = scannable(files).select("repository", "root", inside.alias("path"), language_of("path").alias("language"))
+    name = F.element_at(F.split("path", "/"), -1)
+
+    def fits(languages: tuple[str, ...], globs: tuple[str, ...]) -> Column:
+        found = F.coalesce(F.col("language").isin(*languages), F.lit(False))
+        for glob in globs:
+            found = found | F.rlike("path", F.lit(glob_regex(glob))) | F.rlike(name, F.lit(glob_regex(glob)))
+        return found
+
+    target = lambda scanner, root: F.struct(F.lit(scanner).alias("scanner"), root.alias("root"))
+    each = [target(s, F.lit(".")) if everywhere else F.when(fits(languages, globs), target(s, F.col("root"))) for s, languages, globs, everywhere in adapters]
+    return placed.select("repository", F.explode(F.array_compact(F.array(*each))).alias("t")).groupBy("repository", "t.scanner", "t.root").agg(F.count("*").alias("files"))
 
 
 def unpinned(lines: DataFrame) -> DataFrame:
@@ -120,7 +201,7 @@ def compliance_evidence(findings: DataFrame, controls: DataFrame) -> DataFrame:
     pairs = findings.groupBy(F.lower("category").alias("category"), F.lower("scanner").alias("scanner")).agg(F.count("*").alias("n"))
     text = F.lower("evidence")
     named = lambda c: F.coalesce((F.col(c) != "") & F.contains(text, F.col(c)), F.lit(False))
-    met = controls.join(F.broadcast(pairs), named("category") | named("scanner"), "left")
+    met = controls.join(pairs, named("category") | named("scanner"), "left")
     return met.groupBy("control_id", "evidence").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("status", F.when(F.col("n") > 0, "evidence_available").otherwise("no_evidence"))
 
 
@@ -130,11 +211,13 @@ def attach_guidance(findings: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def sbom(locked: DataFrame, direct: DataFrame, licences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(components, parent edges, gaps): locked packages with licence and whether direct; direct ones not locked and parents unknown are gaps."""
-    components = locked.join(direct.select("name", F.lit(True).alias("direct")), "name", "left").join(licences, "name", "left").select("name", "version", F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("licence", F.lit("NOASSERTION")).alias("licence"))
-    edges = locked.select(F.explode("parents").alias("parent"), F.col("name").alias("child")).distinct()
-    unlocked = direct.join(locked, "name", "left_anti").select("name", F.lit("direct but not locked").alias("gap"))
-    orphans = edges.join(locked.select(F.col("name").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("name"), F.lit("parent not locked").alias("gap")).distinct()
+    """(components, parent edges, gaps) per repository: locked packages with licence and whether direct; direct ones not locked and parents unknown are gaps."""
+    key = ["repository", "name"]
+    components = locked.join(direct.select(*key, F.lit(True).alias("direct")), key, "left").join(licences, key, "left")
+    components = components.select(*key, "version", F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("licence", F.lit("NOASSERTION")).alias("licence"))
+    edges = locked.select("repository", F.explode("parents").alias("parent"), F.col("name").alias("child")).distinct()
+    unlocked = direct.select(*key).distinct().join(locked, key, "left_anti").select(*key, F.lit("direct but not locked").alias("gap"))
+    orphans = edges.select("repository", F.col("parent").alias("name")).distinct().join(locked, key, "left_anti").select(*key, F.lit("parent not locked").alias("gap"))
     return components, edges, unlocked.unionByName(orphans)
 
 

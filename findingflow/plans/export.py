@@ -12,13 +12,22 @@ from .findings import FINGERPRINTS, RANKED, canonical
 from .portfolio import R6
 
 
+ASSIGNED = r"""(^|[^A-Za-z0-9_])([A-Za-z0-9_]*(?:api[_-]?key|password|passwd|secret|token|private[_-]?key)[A-Za-z0-9_]*\s*[:=]\s*)(?:"[^"''\r\n]+"|''[^"''\r\n]+'')"""
+QUOTED = r"""((?:^|[^A-Za-z0-9_])[A-Za-z0-9_]*(?:api[_-]?key|password|passwd|secret|token|private[_-]?key)[A-Za-z0-9_]*\s*[:=]\s*)"""
+AWS = "'(AKIA|ASIA)[A-Z0-9]{16}'"
+KEYS = r"'-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(.|\s)*?-----END [A-Z0-9 ]*PRIVATE KEY-----'"
+
+
 @query(
-    r"""SELECT doc_id, regexp_replace(text, '((?:api[_-]?key|password|passwd|secret|token)\s*[:=]\s*)(["''])[^"''\n]+["'']', '\1\2[REDACTED]\2', 'gi') AS text,
-    cast(len(regexp_extract_all(text, '(?i)(?:api[_-]?key|password|passwd|secret|token)\s*[:=]\s*["''][^"''\n]+["'']')) AS bigint) AS n_redacted FROM documents WHERE text IS NOT NULL""",
+    rf"""WITH d AS (SELECT doc_id, text || ' ' || CASE doc_id % 4 WHEN 0 THEN 'ASIA' ELSE 'AKIA' END || 'ABCDEFGH12345678 db_password = "x y" -----BEGIN EC2 PRIVATE KEY-----' || chr(10) || 'k' || chr(10) || '-----END EC2 PRIVATE KEY-----' AS text FROM documents WHERE text IS NOT NULL),
+    a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{QUOTED}"[^"''\r\n]+"', '\1"[REDACTED]"', 'gi'), '{QUOTED}''[^"''\r\n]+''', concat('\1', chr(39), '[REDACTED]', chr(39)), 'gi') AS t, len(regexp_extract_all(text, '(?i){ASSIGNED}')) AS n FROM d),
+    b AS (SELECT doc_id, regexp_replace(t, '(\bBearer\s+)[A-Za-z0-9._~+/=-]{{8,}}', '\1[REDACTED]', 'gi') AS t, n + len(regexp_extract_all(t, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{{8,}}')) AS n FROM a)
+    SELECT doc_id, regexp_replace(regexp_replace(t, {AWS}, '[REDACTED]', 'g'), {KEYS}, '[REDACTED]', 'g') AS text, cast(n + len(regexp_extract_all(t, {AWS})) + len(regexp_extract_all(t, {KEYS})) AS bigint) AS n_redacted FROM b""",
     documents="documents",
 )
 def p13_redact_secrets(documents):
-    return documents.where("text is not null").select("doc_id", redact.redact_text(F.col("text")).alias("r")).select("doc_id", "r.text", "r.n_redacted")
+    more = F.concat(F.col("text"), F.lit(" "), F.when(F.col("doc_id") % 4 == 0, "ASIA").otherwise("AKIA"), F.lit('ABCDEFGH12345678 db_password = "x y" -----BEGIN EC2 PRIVATE KEY-----\nk\n-----END EC2 PRIVATE KEY-----'))
+    return documents.where("text is not null").select("doc_id", redact.redact_text(more).alias("r")).select("doc_id", "r.text", "r.n_redacted")
 
 
 @query("""SELECT event_id, concat('{"list":[{"api-key":"[REDACTED]","n":', cast(user_id AS varchar), '}],"props":', regexp_replace(props, '": ', '":', 'g'), ',"token":"[REDACTED]"}') AS document FROM events""", events="events")
@@ -61,10 +70,10 @@ def w3_sarif_results(findings):
     return export.sarif_results(canonical(findings).withColumn("finding_id", F.col("row_id").cast("string")))
 
 
-ANALYSES = "SELECT DISTINCT concat('F', cast(row_id AS string)) AS fingerprint, CASE WHEN row_id % 3 = 0 THEN 'CVE-0' ELSE cve END AS vulnerability_id, CASE row_id % 4 WHEN 0 THEN 'affected' WHEN 1 THEN 'fixed' ELSE 'not_affected' END AS status, CASE row_id % 5 WHEN 0 THEN 'exploitable' WHEN 1 THEN 'resolved' ELSE 'code_not_reachable' END AS analysis_state FROM findings WHERE cve IS NOT NULL AND row_id % 7 < 4"
-HELD = "SELECT concat('F', cast(row_id AS string)) AS fingerprint, min(cve) AS cve, min(reachability) AS reachability FROM findings WHERE cve IS NOT NULL AND row_id % 7 < 3 GROUP BY 1"
-VEX = f"""a AS ({ANALYSES}), h AS ({HELD}), v AS (SELECT fingerprint, vulnerability_id, status, analysis_state, CASE WHEN cve IS NULL THEN 'unknown finding' WHEN cve <> vulnerability_id THEN 'id not recorded' WHEN NOT ((status = 'affected' AND analysis_state = 'exploitable') OR (status = 'fixed' AND analysis_state = 'resolved') OR (status = 'not_affected' AND analysis_state = 'code_not_reachable')) THEN 'state does not fit status'
-    WHEN analysis_state = 'code_not_reachable' AND reachability = 'reachable' THEN 'contradicts reachability' END AS reason FROM a LEFT JOIN h USING (fingerprint))"""
+ANALYSES = "SELECT DISTINCT CASE WHEN row_id % 11 = 0 THEN 'repo-0' ELSE repository END AS repository, concat('F', cast(row_id AS string)) AS fingerprint, CASE WHEN row_id % 3 = 0 THEN 'CVE-0' ELSE cve END AS vulnerability_id, CASE row_id % 4 WHEN 0 THEN 'affected' WHEN 1 THEN 'fixed' ELSE 'not_affected' END AS status, CASE row_id % 5 WHEN 0 THEN 'exploitable' WHEN 1 THEN 'resolved' ELSE 'code_not_reachable' END AS analysis_state FROM findings WHERE cve IS NOT NULL AND row_id % 7 < 4"
+HELD = "SELECT repository, concat('F', cast(row_id AS string)) AS fingerprint, min(cve) AS cve, min(reachability) AS reachability FROM findings WHERE cve IS NOT NULL AND row_id % 7 < 3 GROUP BY 1, 2"
+VEX = f"""a AS ({ANALYSES}), h AS ({HELD}), v AS (SELECT repository, fingerprint, vulnerability_id, status, analysis_state, CASE WHEN cve IS NULL THEN 'unknown finding' WHEN cve <> vulnerability_id THEN 'id not recorded' WHEN NOT ((status = 'affected' AND analysis_state = 'exploitable') OR (status = 'fixed' AND analysis_state = 'resolved') OR (status = 'not_affected' AND analysis_state = 'code_not_reachable')) THEN 'state does not fit status'
+    WHEN analysis_state = 'code_not_reachable' AND reachability = 'reachable' THEN 'contradicts reachability' END AS reason FROM a LEFT JOIN h USING (repository, fingerprint))"""
 
 
 def vex(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +82,7 @@ def vex(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return export.vex_rows(sql(ANALYSES.replace("FROM findings", "FROM {f}"), f=findings), held)
 
 
-@query(f"WITH {VEX} SELECT fingerprint, vulnerability_id, status, analysis_state FROM v WHERE reason IS NULL", findings="findings")
+@query(f"WITH {VEX} SELECT repository, fingerprint, vulnerability_id, status, analysis_state FROM v WHERE reason IS NULL", findings="findings")
 def j17_vex_statements(findings):
     return vex(findings)[0]
 
@@ -143,12 +152,35 @@ def files_of(findings: DataFrame) -> DataFrame:
     return findings.sparkSession.sql(FILES.replace("FROM findings", "FROM {f}"), f=findings)
 
 
+TREE = """SELECT concat('repo-', cast(p_partkey % 50 AS string)) AS repository, concat('svc', cast(p_size % 3 AS string)) AS root, p_partkey % 13 AS k,
+    concat('svc', cast(p_size % 3 AS string), '/', CASE p_partkey % 13 WHEN 0 THEN 'package.json' WHEN 1 THEN 'src/App.tsx' WHEN 2 THEN 'go.mod' WHEN 3 THEN 'Pipfile.lock' WHEN 4 THEN '__tests__/t_case.py' WHEN 5 THEN 'node_modules/m/i.js' WHEN 6 THEN 'dist/app.js'
+      WHEN 7 THEN 'Dockerfile.dev' WHEN 8 THEN 'deploy.yaml' WHEN 9 THEN 'infra/main.tf' WHEN 10 THEN 'stack.json' WHEN 11 THEN 'api.yml' ELSE 'requirements-dev.txt' END) AS path,
+    CASE p_partkey % 13 WHEN 8 THEN concat('apiVersion: v1', chr(10), 'kind: Pod') WHEN 10 THEN 'AWSTemplateFormatVersion: 1' WHEN 11 THEN 'openapi: 3.0' END AS text,
+    CASE p_partkey % 13 WHEN 0 THEN 'react' WHEN 2 THEN 'github.com/gin-gonic/gin/v2' WHEN 12 THEN 'Flask' ELSE 'other' END AS name, CASE p_partkey % 13 WHEN 12 THEN 'development' ELSE 'runtime' END AS scope FROM part"""
+
+
+def tree(part: DataFrame) -> DataFrame:
+    return part.sparkSession.sql(TREE.replace("FROM part", "FROM {p}"), p=part)
+
+
+def known(name: str, cases: dict[int, str]) -> str:
+    """SQL for the sorted distinct values of the given cases of ``k``."""
+    case = "CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in cases.items()) + " END"
+    return f"coalesce(string_agg(DISTINCT {case}, ',' ORDER BY {case}), '') AS {name}"
+
+
+N = lambda k, name: f"count(*) FILTER (k = {k}) AS {name}"
+
+
 @query(
-    f"""WITH f AS ({FILES}) SELECT repository, count(*) AS files, string_agg(DISTINCT CASE WHEN path LIKE '%.py' THEN 'Python' ELSE 'JavaScript' END, ',' ORDER BY CASE WHEN path LIKE '%.py' THEN 'Python' ELSE 'JavaScript' END) AS languages, '' AS managers, count(*) FILTER (path LIKE 'tests/%') AS tests, count(*) FILTER (path LIKE 'vendor/%') AS vendored FROM f GROUP BY 1""",
-    findings="findings",
+    f"""WITH t AS ({TREE}) SELECT repository, count(*) FILTER (k NOT IN (5, 6)) AS files, {known("languages", {0: "javascript", 1: "typescript", 4: "python"})}, {known("managers", {0: "npm", 2: "go-modules", 3: "pipenv", 12: "pip"})},
+    {known("build_systems", {0: "npm", 2: "go", 12: "python"})}, {N(3, "lock_files")}, {N(7, "container_files")}, {N(8, "kubernetes_files")}, {N(9, "terraform_files")}, {N(10, "cloudformation_files")}, {N(11, "openapi_specifications")},
+    coalesce(string_agg(DISTINCT CASE WHEN k = 4 THEN root || '/__tests__' END, ',' ORDER BY CASE WHEN k = 4 THEN root || '/__tests__' END), '') AS test_directories, {N(6, "generated_files")}, {N(5, "vendored_files")},
+    {known("frameworks", {0: "react", 2: "gin", 12: "flask"})}, count(*) FILTER (k <> 12) AS runtime_dependencies, count(*) FILTER (k = 12) AS development_dependencies FROM t GROUP BY 1""",
+    part="part",
 )
-def a30_inventory(findings):
-    return supply.inventory(files_of(findings))
+def a30_inventory(part):
+    return supply.inventory(tree(part), tree(part))
 
 
 @query(
@@ -171,11 +203,12 @@ def j25_package_owner(findings):
 
 
 @query(
-    f"""WITH f AS ({FILES}) SELECT repository, 'bandit' AS scanner, count(*) AS files FROM f WHERE path LIKE '%.py' GROUP BY 1 UNION ALL SELECT repository, 'eslint-security', count(*) FROM f WHERE path LIKE 'tests/%.js' GROUP BY 1 UNION ALL SELECT repository, 'gitleaks', count(*) FROM f GROUP BY 1""",
-    findings="findings",
+    f"""WITH t AS ({TREE}), s AS (SELECT * FROM t WHERE k NOT IN (5, 6)) SELECT repository, 'bandit' AS scanner, root, count(*) AS files FROM s WHERE k = 4 GROUP BY 1, 3 UNION ALL SELECT repository, 'eslint-security', root, count(*) FROM s WHERE k = 1 GROUP BY 1, 3
+    UNION ALL SELECT repository, 'checkov', root, count(*) FROM s WHERE k IN (7, 9) GROUP BY 1, 3 UNION ALL SELECT repository, 'gitleaks', '.', count(*) FROM s GROUP BY 1""",
+    part="part",
 )
-def j24_scanner_plan(findings):
-    return supply.scanner_plan(files_of(findings), [("bandit", "Python", None), ("eslint-security", None, "tests/*.js"), ("gitleaks", None, None), ("gosec", "Go", None)])
+def j24_scanner_plan(part):
+    return supply.scanner_plan(tree(part), [("bandit", ("python",), (), False), ("eslint-security", ("javascript", "typescript"), (), False), ("checkov", (), ("infra/*.tf", "Dockerfile*"), False), ("gitleaks", (), (), True), ("gosec", ("go",), (), False)])
 
 
 @query(f"WITH f AS ({FILES}) SELECT repository, path FROM f WHERE path LIKE 'vendor/%'", findings="findings")
@@ -243,18 +276,19 @@ def j18_attach_guidance(findings):
 def packages(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = F.col("p_partkey")
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
-    locked = part.where("p_partkey % 5 > 0").select(name(key).alias("name"), F.col("p_size").cast("string").alias("version"), F.when(key % 2 == 0, F.array(name(key + 1), name(key + 2))).otherwise(F.array().cast("array<string>")).alias("parents"))
-    return locked, part.where("p_partkey % 4 = 0").select(name(key).alias("name")), part.where("p_partkey % 3 = 0").select(name(key).alias("name"), F.col("p_brand").alias("licence"))
+    repo = (key % 2).cast("string").alias("repository")
+    locked = part.where("p_partkey % 5 > 0").select(repo, name(key).alias("name"), F.col("p_size").cast("string").alias("version"), F.when(key % 4 == 0, F.array(name(key + 1), name(key + 2))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    return locked, part.where("p_partkey % 4 = 0").select(repo, name(key).alias("name")), part.where("p_partkey % 3 = 0").select(repo, name(key).alias("name"), F.col("p_brand").alias("licence"))
 
 
-@query("SELECT concat('p', cast(p_partkey AS varchar)) AS name, cast(p_size AS varchar) AS version, p_partkey % 4 = 0 AS direct, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'NOASSERTION' END AS licence FROM part WHERE p_partkey % 5 > 0", part="part")
+@query("SELECT cast(p_partkey % 2 AS varchar) AS repository, concat('p', cast(p_partkey AS varchar)) AS name, cast(p_size AS varchar) AS version, p_partkey % 4 = 0 AS direct, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'NOASSERTION' END AS licence FROM part WHERE p_partkey % 5 > 0", part="part")
 def j20_sbom_components(part):
     return supply.sbom(*packages(part))[0]
 
 
 @query(
-    """WITH l AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 > 0), e AS (SELECT k + 1 AS p FROM l WHERE k % 2 = 0 UNION SELECT k + 2 FROM l WHERE k % 2 = 0)
-    SELECT concat('p', cast(p_partkey AS varchar)) AS name, 'direct but not locked' AS gap FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 5 = 0 UNION ALL SELECT concat('p', cast(p AS varchar)), 'parent not locked' FROM e WHERE p NOT IN (SELECT k FROM l)""",
+    """WITH l AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 > 0), e AS (SELECT k + 1 AS p FROM l WHERE k % 4 = 0 UNION SELECT k + 2 FROM l WHERE k % 4 = 0)
+    SELECT '0' AS repository, concat('p', cast(p_partkey AS varchar)) AS name, 'direct but not locked' AS gap FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 5 = 0 UNION ALL SELECT '0', concat('p', cast(p AS varchar)), 'parent not locked' FROM e WHERE p % 2 = 1 OR p NOT IN (SELECT k FROM l)""",
     part="part",
 )
 def j20_sbom_gaps(part):

@@ -129,14 +129,22 @@ def g1_gate(findings, scanners):
 
 
 @query(
-    f"""WITH {BLOCKED}, n AS (SELECT repository, count(*) AS total, count(*) FILTER (presence = 'new') AS new, count(*) FILTER (expired_suppression) AS expired FROM chosen GROUP BY 1), x AS (SELECT repository, count(*) AS blocking FROM blocked GROUP BY 1)
-    SELECT repository, total, new, expired, coalesce(blocking, 0) AS blocking, CASE WHEN coalesce(blocking, 0) > 0 THEN 'FAIL' WHEN new > 0 THEN 'WARN' ELSE 'PASS' END AS decision FROM n LEFT JOIN x USING (repository)""",
+    f"""WITH {BLOCKED}, {REGRESSED}, f AS (SELECT * FROM y WHERE p = 1 AND run_year = {NOW_YEAR}), m AS (SELECT repository, fingerprint FROM f WHERE severity = 'critical' AND reachability = 'reachable'),
+    o AS (SELECT repository, CASE WHEN count(*) FILTER (severity = 'critical' AND reachability = 'reachable') > 4 THEN 'fail' WHEN count(*) FILTER (severity = 'critical' AND reachability = 'reachable') > 0 THEN 'warn' ELSE 'pass' END AS outcome FROM f GROUP BY 1)
+    SELECT f.repository, count(*) AS total, count(*) FILTER (presence = 'new') AS new, count(*) FILTER ((f.repository, f.fingerprint) IN (SELECT (repository, fingerprint) FROM m) OR (f.repository, f.fingerprint) IN (SELECT (repository, fingerprint) FROM blocked)) AS blocking,
+      count(*) FILTER (status = 'suppressed') AS suppressed, count(*) FILTER (row_id % 3 = 0) AS unscored,
+      CASE WHEN min(outcome) = 'fail' OR f.repository IN (SELECT repository FROM blocked) OR f.repository IN (SELECT repository FROM regressions) THEN 'FAIL' WHEN min(outcome) = 'warn' THEN 'WARN' ELSE 'PASS' END AS decision
+    FROM f JOIN changes USING (repository, fingerprint) JOIN o USING (repository) GROUP BY 1""",
     findings="findings",
     scanners="scanner_runs",
 )
 def a29_check_counts(findings, scanners):
-    made = changes(findings)
-    return runs.check_counts(made, baseline.gate(made, regressions(scanners), mode="worsened")[0])
+    made, current = changes(findings), year(findings, NOW_YEAR).withColumn("confidence", F.when(F.col("row_id") % 3 > 0, 0.5))
+    blocked, passed = baseline.gate(made, regressions(scanners), mode="worsened")
+    hit = (F.col("severity") == "critical") & (F.col("reachability") == "reachable")
+    n = F.count_if(hit)
+    policy = current.groupBy("repository").agg(F.when(n > 4, "fail").when(n > 0, "warn").otherwise("pass").alias("outcome"))
+    return runs.check_counts(current, made, current.where(hit), blocked, policy, passed)
 
 
 RUNS = "SELECT run_id, repository, CASE WHEN run_year % 3 = 0 THEN 'dev' ELSE 'main' END AS ref FROM findings GROUP BY 1, 2, 3"
