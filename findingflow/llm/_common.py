@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+BATCH = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a session without executors of its own may leave it unset."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="findingflow-")
-        spark.sparkContext.setCheckpointDir(found)
+        sc.setCheckpointDir(found)
     return found
 
 
@@ -37,39 +43,36 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 caches: list[dict] = []
 
 
-def release() -> None:
-    """Give back this process's caches and free memory."""
-    for cache in caches:
-        cache.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def tidy(run: Callable) -> Callable:
-    """``run`` over batches, after which the worker releases its memory: the process lives on for other stages."""
+def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of about BATCH bytes, whatever the length of texts (unless the session sets another bound); afterwards the worker empties its caches, as the process lives on for other stages."""
+    spark = df.sparkSession
+    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, BATCH)
 
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        release()
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
 
-    return wrapped
+    return df.mapInArrow(wrapped, schema)
 
 
 class Memo(dict):
-    """A bounded memo of ``make``. Once ``limit`` keys are held they become the old generation, which keeps only what is asked for again; results never depend on it."""
+    """A bounded memo of ``make``. Once ``limit`` keys are held they become the old generation, which keeps only what is asked for again; keys beyond ``longest`` characters are not held. Results never depend on it."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 400_000, longest: int = 40):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def clear(self) -> None:
         super().clear()
         self.old = {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.limit:
             kept = dict(self)
             self.clear()
@@ -81,6 +84,17 @@ class Memo(dict):
         return value
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts in ``column`` hold about ``most`` bytes; a longer text is a run of its own."""
+    texts, at = batch.column(column), 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while at < len(batch):
+        begin = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, begin + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def values(column: pa.Array, step: int = 500) -> Iterator:
     """The values of an Arrow column as Python objects, a few hundred at a time."""
     for at in range(0, len(column), step):
@@ -98,3 +112,14 @@ def text_groups(rows: Iterable[tuple], most: int = 1_000_000) -> Iterator[list[t
             group, size = [], 0
     if group:
         yield group
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker empties its caches."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        for cache in caches:
+            cache.clear()
+
+    return wrapped

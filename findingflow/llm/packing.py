@@ -10,25 +10,30 @@ of their input partition plus their place in it, so no key, however hot, is sort
 from __future__ import annotations
 
 import re
-import struct
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import caches, materialise, Memo, tidy, values
-from .token_counts import ODD_SPACE, PLAIN, byte_alphabet, byte_shower
+from ._common import Memo, caches, map_batches, materialise, slices
+from .token_counts import PLAIN, byte_alphabet, byte_shower
 
-_loaded: dict[int, tuple] = {}
-caches.append(_loaded)
+_loaded: dict[int, Memo] = {}
+TOGETHER = 8_000_000  # bytes of text whose words are looked up together
+MARKS = ",.;:!?"
+MARK_OF = np.full(256, len(MARKS))
+MARK_OF[list(MARKS.encode())] = range(len(MARKS))
+ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
 # Fixed value: the pre-token pattern of the tokenizer file handled here, which drops white space and ignores case.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -168,62 +173,97 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def _encoder(spec: str) -> tuple[Tokenizer, Memo, re.Pattern]:
+def _encoder(spec: str) -> Memo:
+    """Per worker: a memo from word to its ids, as bytes."""
     key = hash(spec)
     if key not in _loaded:
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-
         pre_tokens, merge, show = regex.compile(PRE_TOKEN).findall, tokenizer.model.tokenize, byte_shower(byte_alphabet())
+        special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
         def ids(word: str) -> bytes:
-            if PLAIN.fullmatch(word):
+            if word.isascii() and word.isalpha():
+                found = [t.id for t in merge(word.lower())]
+            elif PLAIN.fullmatch(word) and not special.search(word):
                 found = [t.id for p in pre_tokens(word.lower()) for t in merge(show(p))]
             else:
                 found = tokenizer.encode(word, add_special_tokens=False).ids
-            return struct.pack(f"<{len(found)}I", *found)
+            return array("I", found).tobytes()
 
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _loaded[key] = tokenizer, Memo(ids, limit=100_000), re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
+        _loaded[key] = Memo(ids, limit=150_000)
+        caches.append(_loaded[key])
     return _loaded[key]
 
 
+def gather(sizes: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values of ``runs`` of a pool whose runs have these sizes, and where each run then begins (with the end appended)."""
+    ends, own = np.cumsum(sizes), sizes[runs]
+    begins = np.concatenate([[0], np.cumsum(own)])
+    places = np.repeat((ends[runs] - own - begins[:-1]).astype(np.int32), own)
+    places += np.arange(begins[-1], dtype=np.int32)
+    return places, begins
+
+
+def ends_in_mark(words: pa.Array) -> np.ndarray:
+    """Which of MARKS stands at the end of each word, right after a letter or digit of ASCII, where a pre-token ends; else len(MARKS)."""
+    kinds = np.full(len(words), len(MARKS))
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    long = np.flatnonzero(np.diff(ends) > 1)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    kinds[long] = np.where(ALNUM[data[ends[long + 1] - 2]], MARK_OF[data[ends[long + 1] - 1]], len(MARKS))
+    return kinds
+
+
+def encode_texts(texts: pa.Array, of: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each text begins (with the end appended). Each different word, less the mark at its end, is looked up once."""
+    split = pc.ascii_split_whitespace(texts)
+    begins = split.offsets.to_numpy() - split.offsets[0].as_py()
+    coded = split.flatten().dictionary_encode()
+    words, mark = coded.dictionary, ends_in_mark(coded.dictionary)
+    bare = pc.if_else(pa.array(mark < len(MARKS)), pc.binary_slice(words.cast(pa.binary()), 0, -1), words.cast(pa.binary())).dictionary_encode()
+    each = [*map(of.__getitem__, bare.dictionary.cast(pa.string()).to_pylist()), *map(of.__getitem__, MARKS), b""]
+    sizes, pool = np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), "<u4")
+    halves = np.stack([bare.indices.to_numpy(), len(bare.dictionary) + mark], 1).ravel()
+    places, parts = gather(sizes, halves)
+    of_words, total = gather(np.diff(parts[::2]), coded.indices.to_numpy())
+    return pool[places][of_words], total[begins]
+
+
 def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts, append ``end_id``, and cut only what exceeds ``max_tokens``.
 
     Gives ``id_col``, piece, start, length, ids_crc32, and the piece's place: ``part`` and ``rank`` within its length
-    there. The tokenizer must drop white space and split as ``PRE_TOKEN`` does, so that words are merged once and
-    memoised; words beyond Latin-1, and whole texts that hold a special token's string, are encoded by the library. A null text counts as empty: one piece, ``end_id``.
+    there. The tokenizer must drop white space and split as ``PRE_TOKEN`` does, so that the different words of a few
+    megabytes of text are merged once; words beyond Latin-1, and those that hold a special token's string, are
+    encoded by the library. A null text counts as empty: one piece, ``end_id``.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, memo, odd = _encoder(shared.value)
-        of, seen, part = memo.__getitem__, [0] * (max_tokens + 1), TaskContext.get().partitionId()
+        of, seen, part = _encoder(shared.value), [0] * (max_tokens + 1), TaskContext.get().partitionId()
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
-                text = text or ""
-                if odd.search(text):
-                    ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-                else:
-                    ids = b"".join(map(of, text.split())) + end
-                n = len(ids) // 4
-                for piece, start in enumerate(range(0, n, max_tokens)):
-                    length = min(max_tokens, n - start)
-                    row = (doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), seen[length])
-                    seen[length] += 1
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            arrays = [pa.array(c, t) for c, t in zip(out, [batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(out[0]), pa.int32())], names=names)
+            for group in slices(batch, 1, TOGETHER):
+                ids, begins = encode_texts(pc.fill_null(group.column(1).cast(pa.string()), ""), of)
+                rows, out = [], ([], [], [], [], [])
+                for row, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+                    own = ids[a:b].tobytes() + end
+                    n = b - a + 1
+                    for piece, start in enumerate(range(0, n, max_tokens)):
+                        length = min(max_tokens, n - start)
+                        rows.append(row)
+                        for column, value in zip(out, (piece, start, length, zlib.crc32(own[4 * start : 4 * (start + length)]), seen[length]), strict=True):
+                            column.append(value)
+                        seen[length] += 1
+                arrays = [group.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, out, [pa.int32(), *[pa.int64()] * 4])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(rows), pa.int32())], names=names)
 
     rows = docs.select(id_col, text_col)
     names = [id_col, "piece", "start", "length", "ids_crc32", "rank", "part"]
-    return rows.mapInArrow(tidy(cut), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, rank bigint, part int")
+    return map_batches(rows, cut, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, rank bigint, part int")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
