@@ -112,14 +112,3 @@ def text_groups(rows: Iterable[tuple], most: int = 1_000_000) -> Iterator[list[t
             group, size = [], 0
     if group:
         yield group
-
-
-def tidy(run: Callable) -> Callable:
-    """``run`` over batches, after which the worker empties its caches."""
-
-    def wrapped(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        for cache in caches:
-            cache.clear()
-
-    return wrapped

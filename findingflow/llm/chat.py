@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import tidy
+from ._common import map_batches
 from .templates import compile_template
 
 # The template marks turns by control strings; texts and roles are escaped, so those strings mark nothing else.
@@ -128,7 +128,7 @@ def format_chats(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
 
         yield from _batched(rows(), FORMATTED)
 
-    return sorted_turns(conversations).mapInArrow(tidy(render), "conv_id bigint, position bigint, offset bigint, formatted string, loss array<struct<start:bigint,end:bigint>>")
+    return map_batches(sorted_turns(conversations), render, "conv_id bigint, position bigint, offset bigint, formatted string, loss array<struct<start:bigint,end:bigint>>")
 
 
 def digest_chats(formatted: DataFrame) -> DataFrame:
@@ -157,4 +157,4 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
 
         yield from _batched(rows(), DIGESTS)
 
-    return formatted.mapInArrow(tidy(read), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return map_batches(formatted, read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

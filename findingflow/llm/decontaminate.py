@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_groups, tidy, values
+from ._common import map_batches, materialise, text_groups, values
 from ._words import shingles, stir, word_hashes
 
 SIZE, CONTAINMENT = 5, 0.8
@@ -113,11 +113,11 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iter
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_distinct(t or "") for t in batch.column(1).to_pylist()]
+            made = [_distinct(t or "") for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=["item", "n", "hashes"])
 
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
-    items = materialise(rows.mapInArrow(tidy(turn), f"item {rows.schema['item'].dataType.simpleString()}, n bigint, hashes binary").where("n > 0"), "benchmark")
+    items = materialise(map_batches(rows, turn, f"item {rows.schema['item'].dataType.simpleString()}, n bigint, hashes binary").where("n > 0"), "benchmark")
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK)
     for k in range(blocks):
@@ -166,7 +166,7 @@ def find_contaminated(
                 )
 
         item_arrow = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
-        out = out.unionByName(rows.mapInArrow(tidy(search), schema))
+        out = out.unionByName(map_batches(rows, search, schema))
     return out
 
 
@@ -183,5 +183,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 clean[[row for row, _, _ in _hits(values(batch.column(at)), items, containment)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(tidy(keep), schema)
+        docs = map_batches(docs, keep, schema)
     return docs

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import tidy
+from ._common import map_batches, values
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small strike strong sub sup time tt u var".split())
@@ -202,10 +202,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) if h else "" for h in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [main_text(h) if h else "" for h in values(batch.column(batch.num_columns - 1), 20)]
             arrays = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *keep, "text", "n_chars"])
 
     rows = pages.select(id_col, *keep, html_col)
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    return rows.mapInArrow(tidy(extract), f"{fields}, text string, n_chars bigint")
+    return map_batches(rows, extract, f"{fields}, text string, n_chars bigint")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_groups, tidy, values
+from ._common import map_batches, materialise, text_groups, values
 from ._words import stir, word_hashes
 
 REACH = 2  # tokens on each side
@@ -172,7 +172,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
         if len(held):
             yield rows()
 
-    return docs.select(text_col).mapInArrow(tidy(scan), "hash bigint, n bigint")
+    return map_batches(docs.select(text_col), scan, "hash bigint, n bigint")
 
 
 def train_round(docs: DataFrame, text_col: str, vocabulary: np.ndarray, start: np.ndarray, rate: float, fraction: int, batch_size: int = 2048) -> np.ndarray:
@@ -204,7 +204,7 @@ def train_round(docs: DataFrame, text_col: str, vocabulary: np.ndarray, start: n
         n = pdf["n"].sum()
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "n": [n], "weights": [(total / n).astype(np.float32).tobytes()]})
 
-    trained = docs.select(text_col).mapInArrow(tidy(learn), "chunk int, part int, n bigint, weights binary")
+    trained = map_batches(docs.select(text_col), learn, "chunk int, part int, n bigint, weights binary")
     once = trained.groupBy("chunk", "part").applyInPandas(average, "chunk int, n bigint, weights binary")
     rows = sorted((r.chunk, r.weights) for r in once.groupBy("chunk").applyInPandas(average, "chunk int, n bigint, weights binary").collect())
     return np.frombuffer(b"".join(w for _, w in rows), np.float32) if rows else start
@@ -249,4 +249,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
             )
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(tidy(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    return map_batches(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")

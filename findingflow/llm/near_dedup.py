@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ._common import materialise, text_groups, tidy, values
+from ._common import map_batches, materialise, text_groups, values
 from ._words import shingles, stir, word_hashes
 
 SIZE, SIMILARITY = 5, 0.8
@@ -67,7 +67,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(totals[at], n), pa.int64())], names=["slot", "n"])
 
-    counted = docs.select(text_col).mapInArrow(tidy(count), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs.select(text_col), count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
     slots, n = found["slot"].to_numpy(), found["n"].to_numpy()
     frequencies = np.zeros(1 << DF_BITS)
@@ -127,7 +127,7 @@ def sign(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=[id_col, "node", "bands", "signature"])
 
     rows = docs.select(id_col, F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(tidy(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, node binary, bands array<bigint>, signature binary")
+    return map_batches(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, node binary, bands array<bigint>, signature binary")
 
 
 @F.pandas_udf(IntegerType())
@@ -153,7 +153,7 @@ def _all_pairs(groups: DataFrame) -> DataFrame:
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for members in batch.column(0).to_pylist():
+            for members in values(batch.column(0), 50):
                 members.sort(key=lambda m: m["node"])
                 rows = np.frombuffer(b"".join(m["signature"] for m in members), np.uint32).reshape(-1, HASHES)
                 for i in range(len(members) - 1):
@@ -163,7 +163,7 @@ def _all_pairs(groups: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     gathered = groups.groupBy("key").agg(F.collect_list(F.struct("node", "signature")).alias("members"))
-    return gathered.select("members").mapInArrow(tidy(pair), "a binary, b binary")
+    return map_batches(gathered.select("members"), pair, "a binary, b binary")
 
 
 def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +217,7 @@ def prefixes(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "label", "total", "rest"])
                 at += len(group)
 
-    return texts.select("node", "label", "text").mapInArrow(tidy(run), "key bigint, node binary, label bigint, total double, rest double")
+    return map_batches(texts.select("node", "label", "text"), run, "key bigint, node binary, label bigint, total double, rest double")
 
 
 def exact_pairs(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
@@ -248,7 +248,7 @@ def exact_pairs(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFra
                 if a:
                     yield pa.RecordBatch.from_arrays([members[0].take(pa.array(np.concatenate(x))) for x in (a, b)], names=["a", "b"])
 
-    found = cells.select("low", "high", "members").mapInArrow(tidy(pair), "a binary, b binary")
+    found = map_batches(cells.select("low", "high", "members"), pair, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -275,13 +275,13 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: floa
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = lru_cache(64)(lambda text: (lambda v: (v[0], weigh(v[0], v[1], shared.value)))(vectors([text])))
+        vector = lru_cache(16)(lambda text: (lambda v: (v[0], weigh(v[0], v[1], shared.value)))(vectors([text])))
         for batch in batches:
-            ok = [weighted_jaccard(vector(x), vector(y)) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [weighted_jaccard(vector(x), vector(y)) >= similarity for x, y in zip(values(batch.column(2), 50), values(batch.column(3), 50), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(tidy(check), "a binary, b binary")
+    return map_batches(joined, check, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -11,14 +11,15 @@ mention; nothing is collected, and only documents' mentions, never their texts,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, tidy
+from ._common import map_batches, materialise, values
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -78,18 +79,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
+class Taken:
+    """Disjoint stretches of a text, in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Take [a, b) if all of it is free."""
+        at = bisect_right(self.ends, a)
+        if at < len(self.starts) and self.starts[at] < b:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates: loosely shaped strings that overlap no base span; where shapes overlap, the earlier kind."""
     digits, lower = DIGIT.search(text) is not None, text.lower()
     dotted = "dot" in lower or "[at]" in lower or "(at)" in lower
-    taken, out = [(a, b) for _, a, b in base], []
+    taken, out = Taken((a, b) for _, a, b in base), []
     for kind, shape, mark in LOOSE:
         if not (digits if kind else dotted):
             continue
         for m in shape.finditer(text):
             a, b = m.span()
-            if mark.search(m[0]) and not any(a < y and x < b for x, y in taken):
-                taken.append((a, b))
+            if mark.search(m[0]) and taken.add(a, b):
                 out.append((kind, a, b))
     return out
 
@@ -117,14 +140,14 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seeds, loose = [], []
-            for text in batch.column(2).to_pylist():
+            for text in values(batch.column(2)):
                 base = base_spans(text) if text else []
                 seeds.append([_mention(text, *s) for s in base])
                 loose.append([_mention(text, *s) for s in loose_spans(text, base)] if text else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seeds, pa.list_(_MENTION)), pa.array(loose, pa.list_(_MENTION))], names=[id_col, "text_key", "seeds", "loose"])
 
     rows = docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col)
-    return rows.mapInArrow(tidy(scan), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text_key bigint, seeds array<{MENTION}>, loose array<{MENTION}>")
+    return map_batches(rows, scan, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text_key bigint, seeds array<{MENTION}>, loose array<{MENTION}>")
 
 
 def score_patterns(seen: DataFrame, rounds: int, min_known: float, min_score: float) -> DataFrame:

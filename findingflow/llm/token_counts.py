@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from ._common import caches, Memo, tidy, values
+from ._common import Memo, caches, map_batches, values
 
 # Fixed value: the byte-level pre-token pattern of the tokenizer files handled here.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -112,4 +112,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     rows = docs.select(id_col, text_col)
     id_type = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(tidy(count), f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_batches(rows, count, f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_groups, tidy, values
+from ._common import map_batches, materialise, text_groups, values
 from ._words import MIX, stir, word_hashes
 
 BITS = 20
 SAMPLE = 16_000
+MOST_FEATURES = 48_000_000  # 192 MB on the driver
 SKIPS = (0, 1, 2)  # words between the two words of a pair
 
 
@@ -100,22 +101,32 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, bits: int) -> list[tuple[np.ndarray, int]]:
-    """Features and labels of at most about ``sample`` labelled texts, chosen by a hash of their id; only features reach the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, bits: int, most_features: int = MOST_FEATURES) -> list[tuple[np.ndarray, int]]:
+    """Features and labels of at most about ``sample`` labelled texts, chosen by a hash of their id; only features reach the driver.
+
+    Of the sample, in order of that hash, texts are taken while their features number at most ``most_features``, so the
+    driver's share is bounded in bytes too. An id with several texts counts with the least of them.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     share = sample / max(sample, known.count())
-    pick = (F.xxhash64(id_col, F.lit("toxicity")).bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)))
-    picked = materialise(known.where(pick), "toxicity-sample")
-    chosen = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(id_col, F.coalesce(text_col, F.lit("")).alias("text"), "label")
+    chance = F.xxhash64(id_col, F.lit("toxicity")).bitwiseAND(F.lit((1 << 30) - 1))
+    picked = materialise(known.where(chance < int(share * (1 << 30))), "toxicity-sample")
+    texts = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, "label").agg(F.min(F.coalesce(text_col, F.lit(""))).alias("text"))
+    chosen = texts.select(chance.alias("chance"), "label", "text")
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [distinct_features(t, bits).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(found, pa.binary())], names=["id", "label", "slots"])
+            found = [distinct_features(t, bits).tobytes() for t in values(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["chance", "label", "slots"])
 
-    made = materialise(chosen.mapInArrow(tidy(turn), "id bigint, label int, slots binary"), "toxicity-features")
-    rows = sorted((r.id, r.slots, r.label) for r in made.toLocalIterator())
-    return [(np.frombuffer(s, np.int32), label) for _, s, label in rows]
+    made = materialise(map_batches(chosen, turn, "chance bigint, label int, slots binary"), "toxicity-features")
+    rows, total = [], 0
+    for r in made.orderBy("chance", "slots", "label").toLocalIterator():
+        total += len(r.slots) // 4
+        if total > most_features:
+            break
+        rows.append((np.frombuffer(r.slots, np.int32), r.label))
+    return rows
 
 
 def score_toxicity(
@@ -123,7 +134,7 @@ def score_toxicity(
 ) -> DataFrame:
     """``id_col``, held_out, score (0 to 1) and predicted for every row of ``docs``; with ``passthrough``, all columns of ``docs`` and predicted only.
 
-    ``sample`` bounds the labelled texts that are learnt from (by a hash of the id, so the same ones every time);
+    ``sample`` (and ``MOST_FEATURES``) bounds the labelled texts that are learnt from, by a hash of the id, so they are the same ones every time;
     rows whose crc32(id as text) is divisible by 5 are held out. Null and empty texts score by the bias alone.
     Ids may repeat or be null; labels that are null or neither 0 nor 1 are ignored, an id labelled twice counts by
     its larger label, and without any label every score is 0.5 or less and nothing is predicted toxic.
@@ -131,10 +142,7 @@ def score_toxicity(
     rows = training_rows(docs, labels, id_col, text_col, label_col, sample, bits)
     shared = docs.sparkSession.sparkContext.broadcast(train(rows, bits) if rows else (np.empty(0, np.int64), np.empty(0, np.float32), -1e-6))
 
-    def scores(texts: Iterator) -> np.ndarray:
-        slots, values, bias = shared.value
-        table = np.zeros(1 << bits, np.float32)
-        table[slots] = values
+    def scores(texts: Iterator, table: np.ndarray, bias: float) -> np.ndarray:
         out = []
         for group in text_groups(((None, t or "") for t in texts), 1_000_000):
             found, owner = features(*word_hashes([t for _, t in group]), bits)
@@ -147,8 +155,11 @@ def score_toxicity(
     at = docs.columns.index(text_col) if passthrough else 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, weights, bias = shared.value
+        table = np.zeros(1 << bits, np.float32)
+        table[slots] = weights
         for batch in batches:
-            s = scores(values(batch.column(at)))
+            s = scores(values(batch.column(at)), table, bias)
             predicted = pa.array((s >= 0.5).astype(np.int32))
             if passthrough:
                 yield pa.RecordBatch.from_arrays([*batch.columns, predicted], names=[*batch.schema.names, "predicted_toxic"])
@@ -157,9 +168,9 @@ def score_toxicity(
 
     if passthrough:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(tidy(score), f"{fields}, predicted_toxic int")
+        return map_batches(docs, score, f"{fields}, predicted_toxic int")
     rows_in = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
-    return rows_in.mapInArrow(tidy(score), f"`{id_col}` {rows_in.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return map_batches(rows_in, score, f"`{id_col}` {rows_in.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def crc_mod5(doc_id: int) -> int:
