@@ -45,10 +45,9 @@ caches: list[dict] = []
 
 def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` in batches of about BATCH bytes, whatever the length of texts (unless the session sets another bound); afterwards the worker empties its caches, as the process lives on for other stages."""
-    spark = df.sparkSession
-    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
-        if name not in spark.conf.getAll:
-            spark.conf.set(name, BATCH)
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH)
 
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
