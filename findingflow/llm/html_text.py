@@ -1,18 +1,21 @@
 """Main text of web pages by text-to-tag ratios.
 
 Each page is read as a stream of parser events that become lines: the text between two block boundaries, with the
-number of tags in it, the share of it inside links and the containers it stands in. A line's text-to-tag ratio is
-smoothed with a Gaussian over its neighbours, and lines of at least one standard deviation are content. The
-container that holds them (the article or main element with most content, else the deepest element with nearly all
-of it) is the content region; its lines are the text. Elements that are never prose (scripts, menus, footers, forms,
-adverts, comments and the like, by name, role or class) count as lines without text and give none.
+number of tags in it, the share of it inside links and the container it stands in. A line's text-to-tag ratio, weighed
+down where names suggest something beside the content, is smoothed with a Gaussian over its neighbours; lines of at
+least one standard deviation form the content clusters. The containers that hold the clusters (article and main
+elements, else the deepest element with nearly all of them) are the content regions; their lines are the text, less
+those weighed down or mostly links that no cluster holds. Elements that are never prose (scripts, menus, footers,
+forms, adverts, notices, reader comments and the like, by tag, role or class) count as lines without text and give none.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,65 +28,89 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins
 REGION = frozenset("article main body div section td".split())
 NEVER = frozenset("script style noscript template head title nav aside footer form button select textarea iframe object svg canvas dialog menu audio video map datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner nav navbar navigation navi menu submenu breadcrumb breadcrumbs"
-    " sidebar sidenav aside footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription"
-    " signup login share sharing social related recommended recommendations comment comments commentlist discussion disqus replies reply respond widget widgets pagination pager search"
-    " skip paywall".split()
+OUT = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion nav navbar navigation navi menu submenu breadcrumb breadcrumbs"
+    " sidebar sidenav aside footer cookie cookies consent gdpr notice notices notification popup modal newsletter comment comments commentlist discussion disqus replies respond paywall".split()
 )
+DOUBTFUL = frozenset("foot header masthead banner topbar toolbar overlay subscribe subscription signup login share sharing social related recommended recommendations reply widget widgets pagination pager search skip".split())
+CONTENT = frozenset("article body content entry main page post story text".split())
+DOUBT = 0.25  # what names that suggest something beside the content leave of a ratio
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 CLOSED_BY_OWN_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
 WORDS = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 HOLDS_MOST = 0.9
+BESIDE = 0.1  # of the largest region's content
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 KERNEL /= KERNEL.sum()
 
 
-def is_boilerplate(tag: str, attrs: list, in_article: bool) -> bool:
-    if tag in NEVER:
-        return True
+def name_weight(value: str) -> float:
+    """What a class or id says: 0 out, DOUBT doubtful, 1 nothing. Each whole name counts once; names of content make up for others."""
+    said = 0
+    worst = 1.0
+    for name in value.lower().split():
+        words = set(WORDS.findall(name))
+        if words & CONTENT:
+            said += 1
+        elif words & (OUT | DOUBTFUL):
+            said -= 1
+            worst = min(worst, 0.0 if words & OUT else DOUBT)
+    return worst if said < 0 else 1.0
+
+
+def tag_weight(tag: str, attrs: list, in_article: bool) -> float:
+    """The weight of an element's lines, by its tag, role and names."""
+    if tag in NEVER or (tag == "header" and not in_article):
+        return 0.0
     if tag in ("html", "body", "article", "main"):
-        return False
-    if tag == "header" and not in_article:
-        return True
+        return 1.0
+    weight = 1.0
     for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value and value.lower() in ROLES:
-            return True
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value and value.lower() in ROLES):
+            return 0.0
         if name in ("class", "id") and value:
-            words = WORDS.findall(value.lower())
-            if any(w in HINTS and not (in_article and w in ("header", "banner")) for w in words):
-                return True
-    return False
+            weight = min(weight, name_weight(value))
+    return weight
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside links
+    within: int  # innermost container, -1: none
+    weight: float
 
 
 class Lines(HTMLParser):
-    """Turns events into ``lines`` of [text, tags, characters in links, containers, is prose]."""
+    """Turns events into ``lines``, and containers into ``kinds`` (their tags) and ``parents``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple]] = []  # tag, is prose, containers
-        self.kinds: list[str] = []  # by container
-        self.lines: list[tuple] = []
+        self.stack: list[tuple[str, float, int]] = []  # tag, weight, container
+        self.held: Counter[str] = Counter()  # open elements by tag
+        self.kinds: list[str] = []
+        self.parents: list[int] = []
+        self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags, self.linked, self.in_link = 0, 0, 0
-        self.prose, self.within = True, ()
-        self.article_depth = 0
+        self.weight, self.within = 1.0, -1
 
     def end_line(self) -> None:
         if self.parts or self.tags:
-            self.lines.append(("".join(self.parts), self.tags, self.linked, self.within, self.prose))
+            self.lines.append(Line("".join(self.parts), self.tags, self.linked, self.within, self.weight))
             self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, at: int) -> None:
         self.end_line()
-        for tag, _, _ in self.stack[at:]:
-            self.article_depth -= tag in ("article", "main")
+        self.held.subtract(tag for tag, _, _ in self.stack[at:])
         del self.stack[at:]
-        self.prose, self.within = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (True, ())
+        self.weight, self.within = self.stack[-1][1:] if self.stack else (1.0, -1)
 
     def open_at(self, tag: str, stops: tuple = ()) -> int:
+        """Where the innermost open element of this tag stands, no further out than any of ``stops``; else -1."""
+        if not self.held[tag]:
+            return -1
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
                 return at
@@ -92,6 +119,8 @@ class Lines(HTMLParser):
         return -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.held["head"] and tag not in IN_HEAD and tag != "head":
+            self.pop_to(self.open_at("head"))
         if tag in INLINE:
             self.tags += 1
             self.in_link += tag == "a"
@@ -106,19 +135,20 @@ class Lines(HTMLParser):
                 self.pop_to(len(self.stack) - 1)
             if tag in CLOSED_BY_OWN_KIND and (at := self.open_at(tag, CLOSED_BY_OWN_KIND[tag])) >= 0:
                 self.pop_to(at)
-        prose = self.prose and not is_boilerplate(tag, attrs, self.article_depth > 0)
-        if tag == "span" and prose == self.prose:
+        weight = min(self.weight, tag_weight(tag, attrs, self.held["article"] + self.held["main"] > 0))
+        self.held[tag] += 1
+        if tag == "span" and weight == self.weight:
             self.tags += 1
-            self.stack.append((tag, prose, self.within))
+            self.stack.append((tag, weight, self.within))
             return
         self.end_line()
         self.tags += 1
         if tag in REGION:
-            self.within = (*self.within, len(self.kinds))
+            self.parents.append(self.within)
+            self.within = len(self.kinds)
             self.kinds.append(tag)
-        self.article_depth += tag in ("article", "main")
-        self.prose = prose
-        self.stack.append((tag, prose, self.within))
+        self.weight = weight
+        self.stack.append((tag, weight, self.within))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,9 +163,10 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if (at := self.open_at(tag)) >= 0:
-            if tag == "span" and at == len(self.stack) - 1 and self.prose == (self.stack[at - 1][1] if at else True):
+            if tag == "span" and at == len(self.stack) - 1 and self.weight == (self.stack[at - 1][1] if at else 1.0):
                 self.tags += 1
                 self.stack.pop()
+                self.held[tag] -= 1
                 return
             self.pop_to(at)
 
@@ -145,9 +176,9 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
 
-def smoothed_ratios(lines: list[tuple]) -> np.ndarray:
-    """Text-to-tag ratio of each line, smoothed over two neighbours on each side."""
-    ratios = np.array([len(t.strip()) / max(1, n) if prose else 0.0 for t, n, _, _, prose in lines])
+def smoothed_ratios(lines: list[Line]) -> np.ndarray:
+    """Weighed text-to-tag ratio of each line, smoothed over two neighbours on each side."""
+    ratios = np.array([x.weight * len(x.text) / max(1, x.tags) for x in lines])
     if len(ratios) == 1:
         return ratios
     weight = np.convolve(np.ones(len(ratios)), KERNEL, "same")[: len(ratios)] if len(ratios) >= 5 else None
@@ -158,36 +189,60 @@ def smoothed_ratios(lines: list[tuple]) -> np.ndarray:
     return np.convolve(ratios, KERNEL, "same") / weight
 
 
+def content_regions(parser: Lines, own: np.ndarray) -> set[int]:
+    """Containers that hold the content, given the characters of content lines, links aside, that stand in each: whole article and main elements, else the deepest element with nearly all; -1 is the page.
+
+    An element whose one part holds nearly all of it gives way to that part; small elements beside large ones are left out.
+    """
+    mass, parents = own.copy(), parser.parents
+    for c in range(len(parents) - 1, -1, -1):  # parts come after their wholes
+        if parents[c] >= 0:
+            mass[parents[c]] += mass[c]
+    named = [-1] * len(parents)  # innermost named element around or at each container
+    chosen: set[int] = set()
+    for c, kind in enumerate(parser.kinds):
+        outer = named[parents[c]] if parents[c] >= 0 else -1
+        named[c] = outer
+        if kind in ("article", "main") and mass[c]:
+            named[c] = c
+            if outer < 0 or (outer in chosen and mass[c] >= HOLDS_MOST * mass[outer]):
+                chosen.discard(outer)
+                chosen.add(c)
+    if chosen:
+        least = BESIDE * max(mass[c] for c in chosen)
+        return {c for c in chosen if mass[c] >= least}
+    whole = own.sum()
+    return {max((c for c in range(len(mass)) if mass[c] >= HOLDS_MOST * whole > 0), default=-1)}
+
+
 def main_text(html: str) -> str:
     """The main text of one page: blocks in page order, joined by one space; empty if there is none."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = [(SPACE.sub(" ", t).strip(), n, linked, within, prose) for t, n, linked, within, prose in parser.lines]
-    lines = [x for x in lines if x[0] or x[1]]
-    if not any(x[0] and x[4] for x in lines):
+    lines = [x._replace(text=SPACE.sub(" ", x.text).strip()) for x in parser.lines]
+    lines = [x for x in lines if x.text or x.tags]
+    if not any(x.text and x.weight for x in lines):
         return ""
     ratios = smoothed_ratios(lines)
     content = ratios >= min(ratios.std(), ratios.max())
-    mass: dict[int, int] = {}
-    total = 0
+    own, loose = np.zeros(len(parser.kinds)), 0
     for line, is_content in zip(lines, content, strict=True):
-        if is_content and line[4]:
-            total += len(line[0])
-            for c in line[3]:
-                mass[c] = mass.get(c, 0) + len(line[0])
-    named = [c for c in mass if parser.kinds[c] in ("article", "main") and mass[c]]
-    if named:
-        inner = [c for c in named if parser.kinds[c] == "article"] or named
-        region = max(inner, key=lambda c: (mass[c], -c))
-    else:
-        full = [c for c in mass if mass[c] >= HOLDS_MOST * total > 0]
-        region = max(full, default=None)  # the one opened last is the deepest
+        if is_content and line.weight:
+            if line.within >= 0:
+                own[line.within] += max(0, len(line.text) - line.linked)
+            else:
+                loose += max(0, len(line.text) - line.linked)
+    regions = {-1} if loose > (1 - HOLDS_MOST) * (loose + own.sum()) else content_regions(parser, own)
+    inside = [-1 in regions]  # by container, the page first
+    for c, parent in enumerate(parser.parents):
+        inside.append(c in regions or inside[parent + 1])
+    usual = max((x.weight for x in lines if x.text and inside[x.within + 1]), default=1.0)  # a region that is doubtful as a whole is not doubted inside
     kept = [
-        text
-        for (text, _, linked, within, prose), is_content in zip(lines, content, strict=True)
-        if text and prose and (region is None or region in within) and (named or is_content or linked <= 0.5 * len(text))
+        line.text
+        for line, is_content in zip(lines, content, strict=True)
+        if line.text and line.weight and inside[line.within + 1] and (is_content or (line.weight >= usual and line.linked <= 0.5 * len(line.text)))
     ]
     return " ".join(kept)
 
