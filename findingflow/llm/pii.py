@@ -1,11 +1,12 @@
 """Personal data in texts: fixed shapes first, then bootstrapped contextual extraction.
 
-The spans of the fixed shapes are seeds. The words around them are lexical patterns ("two words before", "word before
-and word after", per kind). Loosely shaped strings that no seed covers are candidates with patterns of their own.
+The spans of the fixed shapes are seeds; so are quoted strings with the shape of a key or token, which are not
+reported by themselves. The words around seeds are lexical patterns ("two words before", "word before and word after",
+"word before", per kind). Loosely shaped strings that no seed covers are candidates with patterns of their own.
 Spark scores the graph of patterns and instances in rounds: a pattern is as good as the share of its instances that
-are known, an instance as good as its best pattern. Candidates in the context of a pattern that is good enough after
-the last round are reported as found. All of it is grouping and joining on (pattern) or (instance) over every
-mention; nothing is collected, and only documents' mentions, never their texts, are shuffled.
+are known, an instance as good as its best pattern. Candidates, and quoted secrets, in the context of a pattern that
+is good enough after the last round are reported as found. All of it is grouping and joining on (pattern) or
+(instance) over every mention; nothing is collected, and only documents' mentions, never their texts, are shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._common import map_batches, materialise, values
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")  # the last has no fixed shape of its own: it is only ever found
 
 # The shapes of the base spans.
 EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -32,19 +33,23 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Loose shapes: what may be an identifier if its context says so.
 LOOSE = (
-    (0, re.compile(r"(?<![\w.+-])[\w.+-]{1,64}(?: ?\[at\] ?| ?\(at\) ?|@| at )[\w-]{1,64}(?:(?: ?\[dot\] ?| ?\(dot\) ?|\.| dot )[\w-]{1,64}){1,4}", re.I), re.compile(r"\[at\]|\(at\)|@|\[dot\]|\(dot\)| dot ", re.I)),
+    (0, re.compile(r"(?<![\w.+-])[\w.+-]++(?: ?\[at\] ?| ?\(at\) ?|@| at )[\w-]++(?:(?: ?\[dot\] ?| ?\(dot\) ?|\.| dot )[\w-]++)+", re.I), re.compile(r"\[at\]|\(at\)|@|\[dot\]|\(dot\)| dot ", re.I)),
     (1, re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| dot )[0-9]{1,3}){3}(?![\w.])|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])"), re.compile(r"\[\.\]|\(\.\)| dot |:")),
     (2, re.compile(r"(?<![\w.])[0-9](?:[ ./-]?[0-9]){11,18}(?![\w.])"), re.compile(r"[0-9]")),
     (3, re.compile(r"(?<![\w.+])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ ./-]?[0-9]{2,4}){2,4}(?![\w.])"), re.compile(r"[0-9]")),
+    (4, re.compile(r"(?<![\w+/=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}+=*(?![\w+/=-])"), re.compile(r"[0-9]")),
 )
+# The shapes of keys and tokens that seed the patterns of secrets, if they stand in quotes.
+SECRET = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{16,}")
+QUOTES = "\"'`"
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"\w+|[=:#]")
-REACH = 60
+REACH = 60  # characters looked at first; more if words are longer
 BROADCAST_ROWS = 200_000
 SPAN = "struct<kind:int,start:int,end:int>"
-MENTION = "struct<kind:int,start:int,end:int,instance:bigint,patterns:array<bigint>>"
+MENTION = "struct<kind:int,start:int,end:int,instance:bigint,known:boolean,patterns:array<bigint>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_MENTION = pa.struct([*_SPAN, ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+_MENTION = pa.struct([*_SPAN, ("instance", pa.int64()), ("known", pa.bool_()), ("patterns", pa.list_(pa.int64()))])
 
 
 def luhn(digits: str) -> bool:
@@ -117,21 +122,49 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def words_before(text: str, at: int, n: int) -> list[str]:
+    """The last ``n`` words, whole, before a place."""
+    reach = REACH
+    while True:
+        low = max(0, at - reach)
+        found = WORD.findall(text[low:at].lower())
+        if low == 0 or len(found) > n:  # the first word may be cut
+            return found[-n:]
+        reach *= 4
+
+
+def words_after(text: str, at: int, n: int) -> list[str]:
+    """The first ``n`` words, whole, from a place on."""
+    reach = REACH
+    while True:
+        found = WORD.findall(text[at : at + reach].lower())
+        if at + reach >= len(text) or len(found) > n:  # the last word may be cut
+            return found[:n]
+        reach *= 4
+
+
 def contexts(text: str, kind: int, start: int, end: int) -> list[int]:
-    """The patterns around a span, hashed: the two words before it; the word before and the word after."""
-    before = WORD.findall(text[max(0, start - REACH) : start].lower())[-2:]
-    after = WORD.findall(text[end : end + REACH].lower())[:1]
+    """The patterns around a span, hashed: the two words before it; the word before and the word after; the word before."""
+    before, after = words_before(text, start, 2), words_after(text, end, 1)
     found = []
     if len(before) == 2:
         found.append(f"{kind}|{before[0]} {before[1]} _")
     if before and after:
         found.append(f"{kind}|{before[-1]} _ {after[0]}")
+    if before:
+        found.append(f"{kind}|{before[-1]} _")
     return [xxhash.xxh64_intdigest(p) - (1 << 63) for p in found]
 
 
+def is_secret_seed(text: str, start: int, end: int) -> bool:
+    """Whether a string stands in quotes and has the shape of a key or token."""
+    return 0 < start and end < len(text) and text[start - 1] == text[end] and text[end] in QUOTES and SECRET.fullmatch(text, start, end) is not None
+
+
 def _mention(text: str, kind: int, start: int, end: int) -> dict:
     value = re.sub(r"\W+", "", text[start:end].lower())
-    return {"kind": kind, "start": start, "end": end, "instance": xxhash.xxh64_intdigest(f"{kind}|{value}") - (1 << 63), "patterns": contexts(text, kind, start, end)}
+    instance = xxhash.xxh64_intdigest(f"{kind}|{value}") - (1 << 63)
+    return {"kind": kind, "start": start, "end": end, "instance": instance, "known": kind == 4 and is_secret_seed(text, start, end), "patterns": contexts(text, kind, start, end)}
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,12 +190,12 @@ def score_patterns(seen: DataFrame, rounds: int, min_known: float, min_score: fl
     good. Only patterns that some candidate has are scored, so the graph is no larger than the candidates need.
     """
 
-    def edges(column: str, known: float) -> DataFrame:
-        m = seen.select(F.explode(column).alias("m")).select("m.instance", F.explode("m.patterns").alias("pattern"))
-        return m.select("pattern", "instance", F.lit(known).alias("known")).distinct()
+    def edges(column: str, known: Column) -> DataFrame:
+        m = seen.select(F.explode(column).alias("m")).select("m.instance", known.cast("double").alias("known"), F.explode("m.patterns").alias("pattern"))
+        return m.select("pattern", "instance", "known").distinct()
 
-    loose = edges("loose", 0.0)
-    graph = edges("seeds", 1.0).join(loose.select("pattern").distinct(), "pattern", "left_semi").unionByName(loose)
+    loose = edges("loose", F.col("m.known"))
+    graph = edges("seeds", F.lit(1.0)).join(loose.select("pattern").distinct(), "pattern", "left_semi").unionByName(loose)
     graph = materialise(graph.groupBy("pattern", "instance").agg(F.max("known").alias("known")), "pii-graph")
 
     def good(scored: DataFrame) -> DataFrame:
@@ -226,15 +259,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
 
     Texts meet their spans by (id, hash of text), and only texts that have spans leave the JVM.
     """
-    spans = find_pii(docs, id_col, text_col, **settings).select(F.col(id_col).alias("span_id"), F.col("text_key").alias("span_key"), F.concat("base", "found").alias("spans"))
-    spans = materialise(spans.where(F.size("spans") > 0).dropDuplicates(["span_id", "span_key"]), "pii-spans")
+    spans = find_pii(docs, id_col, text_col, **settings).select(F.col(id_col).alias("_span_id"), F.col("text_key").alias("_span_key"), F.concat("base", "found").alias("_spans"))
+    spans = materialise(spans.where(F.size("_spans") > 0).dropDuplicates(["_span_id", "_span_key"]), "pii-spans")
     if spans.count() <= BROADCAST_ROWS:  # beyond that, an ordinary join
         spans = F.broadcast(spans)
+    at, names = docs.columns.index(text_col), docs.columns
 
-    @F.udf("string", useArrow=True)
-    def cover(text: str, found: list) -> str:
-        return redact_spans(text, [(s["kind"], s["start"], s["end"]) for s in found])
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(values(batch.column(at)), values(batch.column(len(names))), strict=True)
+            texts = pa.array([redact_spans(text, [(s["kind"], s["start"], s["end"]) for s in spans]) for text, spans in found], batch.schema.types[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 : len(names)]], names=names)
 
-    own = (F.col(id_col).eqNullSafe(F.col("span_id"))) & (F.xxhash64(text_col) == F.col("span_key"))
-    hit = docs.join(spans, own, "inner").withColumn(text_col, cover(text_col, "spans")).select(docs.columns)
+    own = (F.col(id_col).eqNullSafe(F.col("_span_id"))) & (F.xxhash64(text_col) == F.col("_span_key"))
+    hit = map_batches(docs.join(spans, own, "inner").select(*docs.columns, "_spans"), cover, docs.schema)
     return docs.join(spans, own, "left_anti").unionByName(hit)

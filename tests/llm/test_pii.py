@@ -1,6 +1,9 @@
 import re
 
-from findingflow.llm.pii import KINDS, base_spans, find_pii, luhn, redact
+from collections import defaultdict
+
+from findingflow.llm import queries
+from findingflow.llm.pii import KINDS, Taken, base_spans, contexts, find_pii, is_secret_seed, loose_spans, luhn, redact, words_after, words_before
 
 SHAPES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -63,3 +66,54 @@ def test_edges(spark):
     want = sorted(str(plain(t or "")) for _, t, _ in rows)
     assert sorted(str([(s.kind, s.start, s.end) for s in r.base]) for r in got) == want
     assert redact(frame(spark, rows)).count() == len(rows)
+
+
+def plain_graph(texts, rounds=3, min_known=5, min_score=0.8):
+    """Found spans by plain rounds over all mentions."""
+    seeds, loose = [], []
+    for i, t in enumerate(texts):
+        base = base_spans(t or "")
+        seeds += [(i, *s, True) for s in base]
+        loose += [(i, *s, s[0] == 4 and is_secret_seed(t, s[1], s[2])) for s in loose_spans(t or "", base)]
+    edges = defaultdict(dict)
+    for i, kind, a, b, known in seeds + loose:
+        value = (kind, re.sub(r"\W+", "", texts[i][a:b].lower()))
+        for p in contexts(texts[i], kind, a, b):
+            edges[p][value] = max(edges[p].get(value, 0.0), float(known))
+    good = lambda graph: {p: sum(v.values()) / len(v) for p, v in graph.items() if sum(v.values()) >= min_known and sum(v.values()) / len(v) >= min_score}
+    patterns = good(edges)
+    for _ in range(rounds - 1):
+        best = defaultdict(float)
+        for p, score in patterns.items():
+            for v in edges[p]:
+                best[v] = max(best[v], score)
+        patterns = good({p: {v: max(k, best[v]) for v, k in vs.items()} for p, vs in edges.items()})
+    return [sorted((a, kind, b) for j, kind, a, b, _ in loose if j == i and any(p in patterns for p in contexts(texts[i], kind, a, b))) for i in range(len(texts))]
+
+
+def test_found_spans_of_the_given_tables_equal_plain_rounds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = dict(zip((r.doc_id for r in docs), plain_graph([r.text for r in docs]), strict=True))
+    got = {r.doc_id: r for r in queries.op10_pii(spark, "/root/testdata/sf0.01").collect()}
+    assert sum(map(len, want.values())) > 0
+    for k, spans in want.items():
+        added = [tuple(x.split(":")) for x in got[k].spans.split(",") if x][0:]
+        assert got[k].n_found == len(spans) and {(KINDS[kind], str(a), str(b)) for a, kind, b in spans} <= set(added)
+        assert got[k].n_spans == len(added)
+
+
+def test_quoted_secrets_are_found_by_their_context(spark):
+    keyed = [(i, f'x token = "{i:039x}a" y', "") for i in range(1, 9)]
+    rest = [(20, 'token = "Zq93-unseen-key-0001x" z', ""), (21, "commit 00112233445566778899aabbccddeeff00112233 fixed", ""), (22, "token was 00112233445566778899aabbccddeeff x", "")]
+    got = {r.doc_id: [(KINDS[s.kind], s.start, s.end) for s in r.found] for r in find_pii(frame(spark, keyed + rest)).collect()}
+    assert got[3] == [("secret", 11, 51)] and got[20] == [("secret", 9, 30)] and got[21] == [] and got[22] == []
+
+
+def test_words_around_are_whole():
+    text = "a" * 500 + " " + "b" * 300 + " = 1 " + "c" * 999
+    assert words_before(text, 803, 2) == ["b" * 300, "="] and words_after(text, 805, 1) == ["c" * 999] and words_before("x y", 0, 2) == []
+
+
+def test_taken_stretches():
+    taken = Taken([(5, 9), (7, 12), (20, 21)])
+    assert [taken.add(*x) for x in ((0, 5), (4, 6), (12, 20), (12, 13), (21, 30), (19, 21), (40, 41), (30, 40))] == [True, False, True, False, True, False, True, True]
