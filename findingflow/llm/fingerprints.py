@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 FRACTION = 0.25
 LEAST = -(1 << 63)
-PER_BUCKET, MOST_BUCKETS = 2000, 65_536
+PER_RANGE, MOST_RANGES, MOST_PARTS, MOST_SAMPLED = 2000, 4096, 65_536, 200_000
 
 
 def sketch(df: DataFrame, text_col: str, out: str, fraction: float = FRACTION) -> DataFrame:
@@ -49,23 +49,54 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def cuts_of(rows: DataFrame, key: str) -> tuple[list[int], dict[int, int]]:
+    """Bounds that cut the keys into ranges of about equal count, and keys with many rows with the parts each is split into.
+
+    At most MOST_RANGES bounds, by quantiles of at most about MOST_SAMPLED rows (bounds only decide where rows are
+    worked on), and two around each hot key: one with more rows than four ranges should have, counted over all rows, so
+    there are fewer of them than ranges.
+    """
+    n = rows.count()
+    ranges = max(1, min(MOST_RANGES, n // PER_RANGE))
+    if ranges == 1:
+        return [], {}
+    usual = max(PER_RANGE, n // ranges)
+    hot = {r[key]: min(MOST_PARTS, -(-r["count"] // usual)) for r in rows.groupBy(key).count().where(F.col("count") > 4 * usual).collect()}
+    seen = rows.select(key) if n <= MOST_SAMPLED else rows.select(key).sample(MOST_SAMPLED / n, 7)
+    bounds = seen.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 4 * ranges)).first()[0] or []
+    return sorted({*bounds, *hot, *(k + 1 for k in hot if k < -LEAST - 1)}), hot
+
+
+def place_in(bounds: list[int], key: str) -> Column:
+    """How many bounds are at or below the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*map(F.lit, bounds)) if len(bounds) < 16 else F.from_json(F.lit(str(bounds)), "array<bigint>")
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    beyond = lambda at: F.coalesce(F.get(held, at - 1) <= F.col(key), F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, width: F.when(beyond(low + width), low + width).otherwise(low))
+
+
 def dealt_in_order(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` in ranges (``_bucket``) of a bigint ``key``, each with the first row of the next range as a guest (``_guest`` 1).
+    """``rows`` (doc_id, text, a bigint ``key``) in ranges (``_bucket``) by key, each with the first row of the next range as a guest (``_guest`` 1).
 
-    There are at most 65,536 ranges of equal width, of about 2000 rows where that allows, so that a window over each
-    one finds every row's successor; the first range follows the last. No window spans all rows.
+    Ranges have about equal counts however the keys are spread, and the rows of a hot key are split by a
+    hash of their text, so that a window over each range, by key and text, finds every row's successor; the first
+    range follows the last. No window spans all rows. Only repetitions of one row always stay together.
     """
-    low, high, n = rows.select(key).where(F.col(key) > LEAST).agg(F.min(key), F.max(key), F.count("*")).first()
-    buckets = max(1, min(MOST_BUCKETS, (n or 0) // PER_BUCKET))
-    width = ((high or 0) - (low or 0)) // buckets + 1
-    place = F.when(F.col(key) > LEAST, F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width))).otherwise(0).cast("int")
-    dealt = rows.withColumn("_bucket", place)
-    firsts = rows.select(key, place.alias("_bucket")).groupBy("_bucket").agg(F.min(key).alias("_first"))
-    order = Window.orderBy("_bucket")  # at most 65,536 rows
-    turns = firsts.select("_bucket", F.coalesce(F.lead("_first").over(order), F.min("_first").over(order)).alias("_follows"))
-    guests = rows.join(F.broadcast(turns), F.col(key) == F.col("_follows")).select(*rows.columns, "_bucket")
-    both = dealt.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)))
-    return both
+    bounds, hot = cuts_of(rows, key)
+    part = F.lit(0).cast("bigint")
+    if hot:
+        parts = F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col(key))
+        part = F.coalesce(F.pmod(F.xxhash64("text"), parts), F.lit(0).cast("bigint"))
+    dealt = rows.select("*", (place_in(bounds, key).cast("bigint") * (2 * MOST_PARTS) + part).alias("_bucket"))
+    firsts = dealt.groupBy("_bucket").agg(F.min(key).alias("_first"))
+    order = Window.orderBy("_bucket")  # ranges and parts, not rows
+    after = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    turns = firsts.select(F.col("_bucket").alias("_for"), after("_bucket").alias("_next"), after("_first").alias("_next_key"))
+    met = dealt.join(F.broadcast(turns), (F.col("_bucket") == F.col("_next")) & (F.col(key) == F.col("_next_key")))
+    guests = met.groupBy(F.col("_for").alias("_bucket"), key).agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    return dealt.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION) -> DataFrame:
@@ -73,8 +104,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all)
     of the next document's, by ascending id, the first after the last. Null texts count as empty; null ids come
-    first; rows of one id follow each other by text; a single row is its own next. Texts without words have an empty
-    fingerprint. An empty table gives an empty one; other columns are ignored.
+    first; rows of one id follow each other by text (those of an id with very many rows, part by part); a single row
+    is its own next. Texts without words have an empty fingerprint. An empty table gives an empty one; other columns
+    are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST)).alias("_key"), F.coalesce(text_col, F.lit("")).alias("text"))
     signed = sketch(dealt_in_order(rows, "_key"), "text", "own", fraction)

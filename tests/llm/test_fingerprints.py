@@ -16,7 +16,7 @@ def prose(n):
 
 
 def test_edits_and_likeness(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "PER_BUCKET", 7)
+    monkeypatch.setattr(fingerprints, "PER_RANGE", 7)
     texts = [prose(rng.randint(0, 120)) for _ in range(80)] + [None, "", " ...  ", "one", "A b, c!", "a B c", prose(4000)]
     ids = rng.sample(range(-(10**12), 10**12), 40) + list(range(len(texts) - 40))
     rows = list(zip(ids, texts, strict=True))
@@ -54,6 +54,24 @@ def test_ties_nulls_and_empty(spark):
     assert alone.edited_sha256 == hashlib.sha256(b"abc abc").hexdigest()
 
 
+def test_ranges_have_equal_counts_however_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PER_RANGE", 50)
+    ids = [*range(2000), 10**15, -(2**63) + 5, *[77] * 1500, *[None] * 900]
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    rows = df.withColumn("_key", F.coalesce("doc_id", F.lit(fingerprints.LEAST)))
+    dealt = fingerprints.dealt_in_order(rows, "_key").where("_guest = 0")
+    sizes = [r["count"] for r in dealt.groupBy("_bucket").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 200
+    got = fingerprint_edits(df).collect()
+    assert len(got) == len(ids)
+    own = {i: f"text {n}" for n, i in enumerate(ids)}
+    for r in got:
+        if r.doc_id is not None and 100 <= r.doc_id < 1999:
+            t, following = own[r.doc_id], own[r.doc_id + 1]
+            h = len(t) // 2
+            assert r.edited_sha256 == hashlib.sha256((t[: len(t) - h] + following[:h]).encode()).hexdigest()
+
+
 def test_sketches_merge(spark):
     a, b = prose(300), prose(200)
     s = {r.k: set(r.s) for r in sketch(spark.createDataFrame([("a", a), ("b", b), ("ab", a + " " + b)], "k string, text string"), "text", "s").collect()}
