@@ -120,13 +120,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["chance", "label", "slots"])
 
     made = materialise(map_batches(chosen, turn, "chance bigint, label int, slots binary"), "toxicity-features")
-    rows, total = [], 0
-    for r in made.orderBy("chance", "slots", "label").toLocalIterator():
-        total += len(r.slots) // 4
-        if total > most_features:
-            break
-        rows.append((np.frombuffer(r.slots, np.int32), r.label))
-    return rows
+    sizes = np.array(sorted(tuple(r) for r in made.select("chance", F.octet_length("slots") / 4).collect()) or np.empty((0, 2))).reshape(-1, 2)
+    fit = int(np.searchsorted(np.cumsum(sizes[:, 1]), most_features, "right"))
+    if fit < len(sizes):
+        made = made.where(F.col("chance") < int(sizes[fit, 0]))
+    rows = sorted((r.chance, r.slots, r.label) for r in made.toLocalIterator())
+    return [(np.frombuffer(slots, np.int32), label) for _, slots, label in rows]
 
 
 def score_toxicity(

@@ -1,8 +1,9 @@
+import math
 import random
 
 import numpy as np
 
-from findingflow.llm.toxicity import crc_mod5, distinct_features, features, margin_shift, score_toxicity
+from findingflow.llm.toxicity import Ftrl, crc_mod5, distinct_features, features, margin_shift, score_toxicity, train, training_rows
 from findingflow.llm._words import word_hashes
 
 rng = random.Random(1)
@@ -49,3 +50,55 @@ def test_features_stay_inside_a_text():
 def test_margin_shift():
     m, y = np.array([-3.0, -2.0, -1.0, 0.5]), np.array([0, 0, 1, 1])
     assert margin_shift(m, y) == 1.5 and margin_shift(m, y * 0) == 0.0
+
+
+def plain_ftrl(rows, alpha=1.0, beta=1.0, l1=8.0, l2=0.1):
+    """One coordinate at a time, in dictionaries, as the algorithm is written; the bias has no penalties."""
+    z, n = {}, {}
+
+    def weight(i):
+        a, b = (0.0, 0.0) if i == "bias" else (l1, l2)
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= a else -(x - math.copysign(a, x)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + b)
+
+    for slots, label in rows:
+        at = [*slots, "bias"]
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - label
+        for i in at:
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_learning_equals_the_plain_algorithm():
+    rows = [(np.array(sorted(rng.sample(range(60), rng.randint(0, 12)) + [60] * 0), np.int32), int(rng.random() < 0.3)) for _ in range(400)]
+    want, model = plain_ftrl([(r.tolist(), y) for r, y in rows], l1=1.0), Ftrl(6, l1=1.0)
+    for slots, label in rows:
+        model.learn(slots, label)
+    got = model.weights(slice(0, -1))
+    assert np.allclose(got[:60], [want.get(i, 0.0) for i in range(60)]) and math.isclose(model.bias(), want["bias"])
+    assert (got == 0).sum() > 5 and (got != 0).sum() > 5
+
+
+def test_scores_equal_a_plain_sum(spark):
+    truth = {i: int(rng.random() < 0.3) for i in range(300)}
+    texts = {i: text(t) for i, t in truth.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    slots, weights, bias = train(training_rows(docs, labels, "doc_id", "text", "toxic", 1000, 20))
+    known = dict(zip(slots.tolist(), weights.tolist(), strict=True))
+    for r in score_toxicity(docs, labels, sample=1000).collect():
+        margin = bias + sum(known.get(i, 0.0) for i in distinct_features(texts[r.doc_id]).tolist())
+        assert math.isclose(r.score, 1 / (1 + math.exp(-margin)), rel_tol=1e-5)
+
+
+def test_what_is_learnt_from_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 100, f"w{i} x{i} y{i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    every = training_rows(docs, labels, "doc_id", "text", "toxic", 1000, 20)
+    assert len(every) == sum(crc_mod5(i) != 0 for i in range(100))  # one text an id
+    some = training_rows(docs, labels, "doc_id", "text", "toxic", 1000, 20, most_features=100)
+    assert sum(len(s) for s, _ in some) <= 100 and 10 < len(some) < 30
+    assert [s.tolist() for s, _ in some] == [s.tolist() for s, _ in every[: len(some)]]
