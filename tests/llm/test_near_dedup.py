@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from findingflow.llm.near_dedup import DF_BITS, components, inverse_frequencies, near_duplicates, signatures, vectors, weigh, weighted_jaccard
 
@@ -76,6 +77,35 @@ def test_pairs_among_texts_that_share_a_passage(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def linked(texts, idf):
+    """Classes by all pairs at once; every shingle must occur once in its text."""
+    hashes, times, starts = vectors(texts)
+    assert (times == 1).all()
+    own, at = np.unique(hashes, return_inverse=True)
+    grid = np.zeros((len(texts), len(own)), np.float32)
+    grid[np.repeat(np.arange(len(texts)), np.diff(starts)), at] = np.sqrt(weigh(own, np.ones(len(own)), idf))[at]
+    both = grid @ grid.T
+    total = np.diag(both)
+    alike = both / (total[:, None] + total[None, :] - both) >= 0.8
+    root = np.arange(len(texts))
+    while True:
+        least = np.where(alike, root[None, :], len(texts)).min(1)
+        if (least == root).all():
+            return root.tolist(), int(np.triu(alike, 1).sum())
+        root = least
+
+
+@pytest.mark.parametrize("n", [300, 600])
+def test_a_hot_family_whose_pairs_are_barely_alike(spark, n):
+    base = rng.sample(VOCABULARY, 200)
+    texts = [" ".join(edited(base, 3)) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, links = linked(texts, inverse_frequencies(df, "text"))
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    assert links > n // 50 and 1 < len(set(want)) < n
+    assert [got[i] for i in range(n)] == want
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     idf = np.linspace(1, 1.5, 1 << DF_BITS).astype(np.float32)
     base = prose(400)
