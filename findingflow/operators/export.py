@@ -93,20 +93,62 @@ def migrate_fingerprint(findings: DataFrame, current: str = "v2:") -> DataFrame:
     return findings.withColumn("evidence", kept).withColumn("fingerprint", F.when(old, F.col("new_fingerprint")).otherwise(F.col("fingerprint")))
 
 
+# The contract of a finding. Texts with their greatest length (null: none), which may be null, lists, domains, ranges and forms.
+TEXTS = {"finding_id": 256, "fingerprint": 512, "scanner": 128, "rule_id": 512, "category": 128, "title": 1024, "severity_reason": None}
+NULLABLE_TEXTS = ("scanner_version", "rule_version", "original_severity", "confidence_method", "code_region_hash", "infrastructure_resource", "secret_fingerprint", "rule_ancestry")
+REQUIRED = ("description", "cwe", "cve", "ghsa", "osv", "severity", "reachability", "status", "first_seen", "last_seen", "evidence")
+DOMAINS = {
+    "severity": ("critical", "high", "medium", "low", "info", "unknown"),
+    "reachability": ("reachable", "potentially_reachable", "unreachable", "unknown", "not_applicable"),
+    "status": ("open", "acknowledged", "suppressed", "resolved", "false_positive", "accepted_risk"),
+    "dependency_scope": ("runtime", "development", "test", "build", "optional", "unknown"),
+}
+RANGES = {"confidence": (0, 1), "confidence_sample_size": (0, None), "start_line": (1, None), "end_line": (1, None), "occurrence_count": (1, None), "agreement_strength": (0, 1)}
+FORMS = {"introduced_commit": "^[0-9a-fA-F]{7,64}$"}
+ITEM_FORMS = {
+    "cwe": "^CWE-[1-9][0-9]*$",
+    "cve": "^CVE-[0-9]{4}-[0-9]{4,}$",
+    "ghsa": "^GHSA-[A-Za-z0-9]{4}-[A-Za-z0-9]{4}-[A-Za-z0-9]{4}$",
+    "osv": "^.{1,128}$",
+    "source_finding_ids": "^.+$",
+    "correlation_signals": "^(cwe|file|symbol|source|sink|code_region|dependency|cve|infrastructure_resource|secret_fingerprint)$",
+}
+UNIQUE = ("cwe", "cve", "ghsa", "osv", "source_finding_ids", "supporting_scanners", "contradicting_scanners", "correlation_signals")
+
+
 def validate(findings: DataFrame) -> DataFrame:
-    """(row_id, code) of every breach of the findings contract: required, enum, pattern, range."""
-    def bad(c: Column) -> Column:
-        return ~F.coalesce(c, F.lit(False))
-
-    rules = {
-        "finding_id:required": bad(F.col("finding_id") != ""),
-        "severity:enum": bad(F.col("severity").isin(*RANK)),
-        "fingerprint:pattern": bad(F.col("fingerprint").rlike("^v2:sha256:[0-9a-f]{64}$")),
-        "start_line:range": F.col("start_line") < 1,
-        "confidence:range": ~F.col("confidence").between(0, 1),
-        "cwe:pattern": F.exists("cwe", lambda c: ~c.rlike("^CWE-[0-9]+$")),
-    }
-    return findings.select("row_id", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))).alias("code"))
+    """(row_id, field:kind) of every breach of the findings contract: required, length, enum, range, pattern, unique.
+
+    A required column that is missing is a breach of every row; other missing columns are none. All rules are one
+    array of conditions in one select.
+    """
+    has, c = set(findings.columns), F.col
+    breaks = lambda form: lambda v: v.isNull() | ~v.rlike(form)
+    rules: dict[str, Column] = {}
+    for field in (*TEXTS, *REQUIRED):
+        rules[f"{field}:required"] = c(field).isNull() if field in has else F.lit(True)
+    for field, most in TEXTS.items():
+        if field in has:
+            rules[f"{field}:length"] = (F.length(field) < 1) | (F.length(field) > most if most else F.lit(False))
+    for field in has & set(NULLABLE_TEXTS):
+        rules[f"{field}:length"] = c(field) == ""
+    for field, domain in DOMAINS.items():
+        if field in has:
+            rules[f"{field}:enum"] = ~c(field).isin(*domain)
+    for field, (low, high) in RANGES.items():
+        if field in has:
+            rules[f"{field}:range"] = (c(field) < low) | (c(field) > high if high is not None else F.lit(False))
+    for field, form in FORMS.items():
+        if field in has:
+            rules[f"{field}:pattern"] = ~c(field).rlike(form)
+    for field, form in ITEM_FORMS.items():
+        if field in has:
+            rules[f"{field}:pattern"] = F.exists(field, breaks(form))
+    for field in UNIQUE:
+        if field in has:
+            rules[f"{field}:unique"] = F.size(F.array_distinct(field)) < F.size(field)
+    broken = F.array_compact(F.array(*[F.when(rules[name], name) for name in sorted(rules)]))
+    return findings.select("row_id", F.explode(broken).alias("code"))
 
 
 def verify_digests(documents: DataFrame) -> DataFrame:

@@ -136,10 +136,25 @@ def build_context(findings: DataFrame, runtime: DataFrame, fields: tuple[str, ..
     return joined.select("finding_id", *[x for f in fields for x in (f"value_{f}", f"source_{f}")])
 
 
+# What a decision rests on.
 COMPONENTS = (
-    "finding_validity_confidence original_severity normalised_severity reachability epss cisa_kev public_exploit_availability internet_exposure authentication_requirements"
-    " data_sensitivity asset_criticality runtime_environment existing_controls fix_availability new_existing_status human_triage_state"
-).split()
+    "finding_validity_confidence",
+    "original_severity",
+    "normalised_severity",
+    "reachability",
+    "epss",
+    "cisa_kev",
+    "public_exploit_availability",
+    "internet_exposure",
+    "authentication_requirements",
+    "data_sensitivity",
+    "asset_criticality",
+    "runtime_environment",
+    "existing_controls",
+    "fix_availability",
+    "new_existing_status",
+    "human_triage_state",
+)
 UNRESOLVED = ("unknown", "not_applicable")
 HIGH = ("normalised_severity", "in", ("critical", "high"))
 REACHABLE = ("reachability", "equals", "reachable")

@@ -129,13 +129,26 @@ def p18_commitments(reviews):
     return export.commitments(reviews.select(F.col("case_id").alias("blind_id"), F.col("first_label").cast("string").alias("decision"), F.lit("s1").alias("salt"), published.alias("published")))
 
 
-@query(
-    """SELECT row_id, 'severity:enum' AS code FROM findings WHERE row_id % 5 = 0 UNION ALL SELECT row_id, 'fingerprint:pattern' FROM findings UNION ALL SELECT row_id, 'start_line:range' FROM findings WHERE start_line < 101
-    UNION ALL SELECT row_id, 'confidence:range' FROM findings WHERE confidence > 0.5 UNION ALL SELECT row_id, 'cwe:pattern' FROM findings WHERE cwe = 'CWE-22' UNION ALL SELECT row_id, 'finding_id:required' FROM findings WHERE row_id % 11 = 0""",
-    findings="findings",
-)
+BREACHES = {
+    "severity:enum": "row_id % 5 = 0", "reachability:enum": "row_id % 29 = 0", "status:enum": "row_id % 31 = 0", "dependency_scope:enum": "row_id % 37 = 0", "start_line:range": "start_line < 101", "end_line:range": "row_id % 41 = 0",
+    "confidence:range": "confidence > 0.5", "occurrence_count:range": "row_id % 43 = 0", "cwe:pattern": "cwe = 'CWE-22'", "cwe:unique": "cwe = 'CWE-89' AND row_id % 2 = 0", "cve:pattern": "row_id % 47 = 0", "finding_id:required": "row_id % 11 = 0",
+    "title:required": "row_id % 13 = 0", "title:length": "row_id % 13 = 1", "rule_version:length": "row_id % 17 = 0", "introduced_commit:pattern": "row_id % 19 = 0", "last_seen:required": "row_id % 53 = 0", "evidence:required": "row_id % 59 = 0", "severity_reason:length": "row_id % 61 = 0", "original_severity:length": "original_severity = ''",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT row_id, '{code}' AS code FROM findings WHERE {where}" for code, where in BREACHES.items()), findings="findings")
 def v1_validate(findings):
-    f = findings.withColumns({"severity": F.when(F.col("row_id") % 5 == 0, "awful").otherwise(F.col("severity")), "fingerprint": F.lit("v1:x"), "start_line": F.col("start_line") - 100, "confidence": F.col("confidence") * 2, "cwe": F.array_compact(F.array(F.replace("cwe", F.lit("CWE-22"), F.lit("CWE22")))), "finding_id": F.when(F.col("row_id") % 11 > 0, "f")})
+    bad = lambda n, wrong, right: F.when(F.col("row_id") % n == 0, wrong).otherwise(right)
+    none, text = F.lit(None), F.array().cast("array<string>")
+    weakness = F.array_compact(F.array(F.replace("cwe", F.lit("CWE-22"), F.lit("CWE22")), F.when((F.col("cwe") == "CWE-89") & (F.col("row_id") % 2 == 0), F.col("cwe"))))
+    f = findings.withColumns(
+        {
+            "severity": bad(5, "awful", F.col("severity")), "reachability": bad(29, "maybe", F.col("reachability")), "status": bad(31, "gone", F.col("status")), "dependency_scope": bad(37, "peer", none), "start_line": F.col("start_line") - 100, "end_line": bad(41, 0, 1),
+            "confidence": F.col("confidence") * 2, "occurrence_count": bad(43, 0, 1), "cwe": weakness, "cve": bad(47, F.array(F.lit("CVE-24-1")), text), "ghsa": F.array(F.lit("GHSA-a1b2-c3d4-e5f6")), "osv": text, "finding_id": bad(11, none, "f"),
+            "title": F.when(F.col("row_id") % 13 == 0, none).when(F.col("row_id") % 13 == 1, F.repeat(F.lit("t"), 1025)).otherwise("t"), "rule_version": bad(17, "", none), "introduced_commit": bad(19, "xyz", "0123abc"), "first_seen": F.col("opened_at"), "last_seen": bad(53, none, F.col("opened_at")),
+            "evidence": bad(59, none, text), "severity_reason": bad(61, "", "r"), "description": F.lit(""), "fingerprint": F.lit("v2:x"),
+        }
+    )
     return export.validate(f)
 
 

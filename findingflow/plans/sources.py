@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from ..sources import feeds, reports
+from ..sources import feeds, ingest, reports
 from ._registry import query
 
 
@@ -204,3 +204,29 @@ def s8_report_digests(customer):
     named_in = customer.groupBy(F.expr("c_custkey div 100")).agg(F.array_join(F.array_sort(F.collect_list("c_name")), ",").alias("value"))
     named_in.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return reports.report_digests(customer.sparkSession, path).select("sha256")
+
+
+def mixed_reports(findings: DataFrame, region: DataFrame) -> str:
+    """Reports of every ninth finding in one folder with malformed ones, one for each region, and ones of another shape."""
+    fields = F.struct(F.col("rule_id").alias("test_id"), F.col("original_severity").alias("issue_severity"), F.col("file").alias("filename"), F.col("start_line").alias("line_number"), F.struct(F.substring("cwe", 5, 9).cast("int").alias("id")).alias("issue_cwe"))
+    path = as_reports(blocks(findings.where("row_id % 9 = 0")).select("block", fields.alias("r")), named("results"), "mixed")
+    for text in (F.concat(F.lit('{"results": ['), "r_name"), F.concat(F.lit('{"runs": "'), "r_name", F.lit('"}'))):
+        region.select(text).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+INGESTED = """WITH f AS (SELECT *, concat('v2:sha256:', sha256(concat('{"algorithm":"v2","identity":{"cwe":[', CASE WHEN cwe IS NULL THEN '' ELSE concat('"', cwe, '"') END, '],"file":"', file, '","kind":"sast","rule_id":"', lower(rule_id), '","sink":"","source":"","symbol":""}}'))) AS fingerprint FROM findings WHERE row_id % 9 = 0)
+    SELECT fingerprint, concat('finding-v2-', left(sha256(concat('{"algorithm":"v2","fingerprint":"', fingerprint, '","rule_id":"', lower(rule_id), '","scanner":"bandit"}')), 24)) AS finding_id, 'sast' AS category, CASE original_severity WHEN 'HIGH' THEN 'high' WHEN 'MEDIUM' THEN 'medium' WHEN 'LOW' THEN 'low' ELSE 'unknown' END AS severity,
+    file, start_line, coalesce(cwe, '') AS cwe, nullif(original_severity, '') AS original_severity FROM f"""
+
+
+@query(INGESTED, findings="findings", region="region")
+def p9_ingest_canonical(findings, region):
+    found, _ = ingest.ingest(findings.sparkSession, "bandit", mixed_reports(findings, region), F.lit("r"), F.lit("1"), F.lit("2024-01-01T00:00:00Z"))
+    return found.select("fingerprint", "finding_id", "category", "severity", "file", "start_line", F.array_join("cwe", ",").alias("cwe"), "original_severity")
+
+
+@query("SELECT 'malformed report' AS reason, 'bandit' AS scanner, count(*) AS n FROM region UNION ALL SELECT 'unexpected root', 'bandit', count(*) FROM region", findings="findings", region="region")
+def s7_reader_failures(findings, region):
+    _, failed = ingest.ingest(findings.sparkSession, "bandit", mixed_reports(findings, region), F.lit("r"), F.lit("1"), F.lit("2024-01-01T00:00:00Z"))
+    return failed.groupBy("reason", "scanner").agg(F.count("*").alias("n"))

@@ -17,11 +17,17 @@ Reader = Callable[[SparkSession, str], DataFrame]
 READERS: dict[str, Reader] = {}
 
 
-def reader(name: str) -> Callable[[Reader], Reader]:
-    """Register a parser by scanner name: any function from (spark, path) to rows of the raw shape."""
+#: By scanner: the field that its reports, or their elements, must have, and whether they are JSON lines.
+ROOTS: dict[str, tuple[str, bool]] = {}
+
+
+def reader(name: str, root: str | None = None, lines: bool = False) -> Callable[[Reader], Reader]:
+    """Register a parser by scanner name: any function from (spark, path) to rows of the raw shape. ``root`` is what a JSON report must have."""
 
     def keep(f: Reader) -> Reader:
         READERS[name] = f
+        if root:
+            ROOTS[name] = root, lines
         return f
 
     return keep
@@ -47,64 +53,76 @@ def split_failures(reports: DataFrame, root: str) -> tuple[DataFrame, DataFrame]
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("path", "reason")
 
 
-@reader("bandit")
+def failures(spark: SparkSession, scanner: str, path: str) -> DataFrame:
+    """(path, scanner, reason) of every report that a registered reader cannot read: malformed, or without the root the scanner writes."""
+    if scanner in ROOTS:
+        root, lines = ROOTS[scanner]
+        failed = split_failures(json_reports(spark, path, f"`{root}` string", lines), root)[1]
+    else:
+        whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+        reason = F.when(~F.rlike("value", F.lit(r"(?s)<BugCollection[\s>/]")), "unexpected root").when(~F.rlike("value", F.lit(r"(?s)(</BugCollection>|/>)\s*$")), "malformed report")
+        failed = whole.select("path", reason.alias("reason")).where("reason is not null")
+    return failed.distinct().select("path", F.lit(scanner).alias("scanner"), "reason")
+
+
+@reader("bandit", "results")
 def bandit(spark: SparkSession, path: str) -> DataFrame:
     r = json_reports(spark, path, "results array<struct<test_id:string,issue_severity:string,issue_text:string,filename:string,line_number:int,issue_cwe:struct<id:int>>>").select("path", F.explode("results").alias("r"))
     return rows(r, "bandit", rule_id="r.test_id", severity="r.issue_severity", title="r.issue_text", file="r.filename", start_line="r.line_number", cwe=cwe_list(F.col("r.issue_cwe.id").cast("string")))
 
 
-@reader("semgrep")
+@reader("semgrep", "results")
 def semgrep(spark: SparkSession, path: str) -> DataFrame:
     extra = "struct<severity:string,message:string,metadata:struct<cwe:array<string>>>"
     r = json_reports(spark, path, f"results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:{extra}>>").select("path", F.explode("results").alias("r"))
     return rows(r, "semgrep", rule_id="r.check_id", severity="r.extra.severity", title="r.extra.message", file="r.path", start_line="r.start.line", end_line="r.end.line", cwe=cwe_list(F.array_join("r.extra.metadata.cwe", " ")))
 
 
-@reader("pip-audit")
+@reader("pip-audit", "dependencies")
 def pip_audit(spark: SparkSession, path: str) -> DataFrame:
     r = json_reports(spark, path, "dependencies array<struct<name:string,version:string,vulns:array<struct<id:string,aliases:array<string>,description:string>>>>").select("path", F.explode("dependencies").alias("d")).select("path", "d", F.explode("d.vulns").alias("v"))
     return rows(r, "pip-audit", rule_id="v.id", title="v.description", ids=F.array_distinct(F.concat(F.array("v.id"), F.coalesce("v.aliases", F.array().cast("array<string>")))), package="d.name", version="d.version")
 
 
-@reader("gitleaks")
+@reader("gitleaks", "RuleID")
 def gitleaks(spark: SparkSession, path: str) -> DataFrame:
     """The root is an array: every element is a row."""
     r = json_reports(spark, path, "RuleID string, Description string, File string, StartLine int, EndLine int, Severity string").where("RuleID is not null")
     return rows(r, "gitleaks", rule_id="RuleID", severity="Severity", title="Description", file="File", start_line="StartLine", end_line="EndLine")
 
 
-@reader("checkov")
+@reader("checkov", "results")
 def checkov(spark: SparkSession, path: str) -> DataFrame:
     r = json_reports(spark, path, "results struct<failed_checks:array<struct<check_id:string,check_name:string,severity:string,file_path:string,file_line_range:array<int>>>>").select("path", F.explode("results.failed_checks").alias("r"))
     return rows(r, "checkov", rule_id="r.check_id", severity="r.severity", title="r.check_name", file="r.file_path", start_line=F.get("r.file_line_range", F.lit(0)), end_line=F.get("r.file_line_range", F.lit(1)))
 
 
-@reader("hadolint")
+@reader("hadolint", "code")
 def hadolint(spark: SparkSession, path: str) -> DataFrame:
     r = json_reports(spark, path, "code string, message string, file string, line int, level string").where("code is not null")
     return rows(r, "hadolint", rule_id="code", severity="level", title="message", file="file", start_line="line")
 
 
-@reader("gosec")
+@reader("gosec", "Issues")
 def gosec(spark: SparkSession, path: str) -> DataFrame:
     r = json_reports(spark, path, "Issues array<struct<rule_id:string,severity:string,details:string,file:string,line:string,cwe:struct<id:string>>>").select("path", F.explode("Issues").alias("r"))
     return rows(r, "gosec", rule_id="r.rule_id", severity="r.severity", title="r.details", file="r.file", start_line=F.regexp_extract("r.line", r"^(\d+)", 1).try_cast("int"), cwe=cwe_list(F.col("r.cwe.id")))
 
 
-@reader("brakeman")
+@reader("brakeman", "warnings")
 def brakeman(spark: SparkSession, path: str) -> DataFrame:
     r = json_reports(spark, path, "warnings array<struct<check_name:string,warning_type:string,message:string,file:string,line:int,cwe_id:array<int>>>").select("path", F.explode("warnings").alias("r"))
     return rows(r, "brakeman", rule_id="r.check_name", title="r.message", file="r.file", start_line="r.line", cwe=F.transform("r.cwe_id", lambda n: F.concat(F.lit("CWE-"), n.cast("string"))))
 
 
-@reader("eslint-security")
+@reader("eslint-security", "filePath")
 def eslint(spark: SparkSession, path: str) -> DataFrame:
     """File by message; messages of severity 0 are off and dropped."""
     r = json_reports(spark, path, "filePath string, messages array<struct<ruleId:string,severity:int,message:string,line:int,endLine:int>>").select("path", "filePath", F.explode("messages").alias("m")).where("m.severity > 0")
     return rows(r, "eslint-security", rule_id="m.ruleId", severity=F.when(F.col("m.severity") == 2, "ERROR").otherwise("WARNING"), title="m.message", file="filePath", start_line="m.line", end_line="m.endLine")
 
 
-@reader("trivy")
+@reader("trivy", "Results")
 def trivy(spark: SparkSession, path: str) -> DataFrame:
     """Vulnerabilities and misconfigurations are two branches of one report."""
     vuln = "array<struct<VulnerabilityID:string,PkgName:string,InstalledVersion:string,Severity:string,Title:string,CweIDs:array<string>>>"
@@ -117,7 +135,7 @@ def trivy(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@reader("zap")
+@reader("zap", "site")
 def zap(spark: SparkSession, path: str) -> DataFrame:
     """Site by alert by instance; an alert without instances is one row without a place."""
     alert = "struct<pluginid:string,alert:string,riskdesc:string,cweid:string,instances:array<struct<uri:string>>>"
@@ -125,7 +143,7 @@ def zap(spark: SparkSession, path: str) -> DataFrame:
     return rows(a, "zap", rule_id="a.pluginid", severity=F.regexp_extract("a.riskdesc", r"^(\w+)", 1), title="a.alert", file="i.uri", cwe=cwe_list(F.col("a.cweid")))
 
 
-@reader("osv-scanner")
+@reader("osv-scanner", "results")
 def osv(spark: SparkSession, path: str) -> DataFrame:
     vuln = "struct<id:string,summary:string,aliases:array<string>,database_specific:struct<severity:string>>"
     p = json_reports(spark, path, f"results array<struct<source:struct<path:string>,packages:array<struct<package:struct<name:string,version:string,ecosystem:string>,vulnerabilities:array<{vuln}>>>>>")
@@ -133,7 +151,7 @@ def osv(spark: SparkSession, path: str) -> DataFrame:
     return rows(p, "osv-scanner", rule_id="v.id", severity="v.database_specific.severity", title="v.summary", file="r.source.path", ids=F.array_distinct(F.concat(F.array("v.id"), F.coalesce("v.aliases", F.array().cast("array<string>")))), package="p.package.name", version="p.package.version")
 
 
-@reader("grype")
+@reader("grype", "matches")
 def grype(spark: SparkSession, path: str) -> DataFrame:
     m = json_reports(spark, path, "matches array<struct<vulnerability:struct<id:string,severity:string,description:string>,artifact:struct<name:string,version:string>>>").select("path", F.explode("matches").alias("m"))
     return rows(m, "grype", rule_id="m.vulnerability.id", severity="m.vulnerability.severity", title="m.vulnerability.description", ids=F.array("m.vulnerability.id"), package="m.artifact.name", version="m.artifact.version")
@@ -144,14 +162,14 @@ def syft_packages(spark: SparkSession, path: str) -> DataFrame:
     return json_reports(spark, path, "artifacts array<struct<name:string,version:string,type:string,purl:string>>").select("path", F.explode("artifacts").alias("a")).select("path", "a.*")
 
 
-@reader("trufflehog")
+@reader("trufflehog", "DetectorName", lines=True)
 def trufflehog(spark: SparkSession, path: str) -> DataFrame:
     """A JSON document per line; verified secrets are high, others medium."""
     r = json_reports(spark, path, "DetectorName string, Verified boolean, SourceMetadata struct<Data:struct<Filesystem:struct<file:string,line:int>>>", lines=True).where("DetectorName is not null")
     return rows(r, "trufflehog", rule_id="DetectorName", severity=F.when(F.col("Verified"), "HIGH").otherwise("MEDIUM"), file="SourceMetadata.Data.Filesystem.file", start_line="SourceMetadata.Data.Filesystem.line")
 
 
-@reader("codeql-sarif")
+@reader("codeql-sarif", "runs")
 def sarif(spark: SparkSession, path: str) -> DataFrame:
     """Results meet the rules of their own run; severity is the rule's security score as a band, else the level."""
     props = "properties:struct<`security-severity`:string,tags:array<string>>"

@@ -1,7 +1,10 @@
 import hashlib
 import json
 
-from findingflow.sources import feeds, reports
+from pyspark.sql import functions as F
+
+from findingflow.operators.export import validate
+from findingflow.sources import feeds, ingest, reports
 
 
 def put(tmp_path, name, data):
@@ -71,3 +74,42 @@ def test_feeds(spark, tmp_path):
     assert got(feeds.read_kev(spark, put(tmp_path, "k.json", {"vulnerabilities": [{"cveID": "CVE-4"}]})), "kev", "source") == [(True, "cisa-kev")]
     p = put(tmp_path, "gh.json", {"ghsa_id": "GHSA-5", "cve_id": None, "cvss": {"score": 9.0}, "vulnerabilities": [{"first_patched_version": "3"}]})
     assert got(feeds.read_github(spark, p), "advisory_ids", "cvss_score", "fixed_versions") == [(["GHSA-5"], 9.0, ["3"])]
+
+
+GOOD = {
+    "bandit": {"results": []}, "semgrep": {"results": []}, "pip-audit": {"dependencies": []}, "gitleaks": [{"RuleID": "aws"}], "checkov": {"results": {"failed_checks": []}}, "hadolint": [{"code": "DL1"}], "gosec": {"Issues": []},
+    "brakeman": {"warnings": []}, "eslint-security": [{"filePath": "a.js", "messages": []}], "trivy": {"Results": []}, "zap": {"site": []}, "osv-scanner": {"results": []}, "grype": {"matches": []}, "trufflehog": {"DetectorName": "AWS"},
+    "codeql-sarif": {"runs": []}, "spotbugs": "<BugCollection></BugCollection>",
+}
+
+
+def test_every_reader_reports_what_it_cannot_read(spark, tmp_path):
+    assert set(GOOD) == set(reports.READERS)
+    for scanner, good in GOOD.items():
+        folder = tmp_path / scanner
+        folder.mkdir()
+        put(folder, "good", good)
+        put(folder, "bad", "<BugCollection><BugInst" if scanner == "spotbugs" else '{"x')
+        put(folder, "odd", "<other/>" if scanner == "spotbugs" else {"other": 1})
+        found = reports.failures(spark, scanner, str(folder))
+        assert sorted((r.path.rsplit("/")[-1], r.reason) for r in found.collect()) == [("bad", "malformed report"), ("odd", "unexpected root")], scanner
+
+
+def test_reports_end_in_the_contract(spark, tmp_path):
+    put(tmp_path, "b.json", {"results": [{"test_id": "B1", "issue_severity": "HIGH", "issue_text": "", "filename": "./a//b.py", "line_number": 0, "issue_cwe": {"id": 89}}]})
+    put(tmp_path, "bad.json", "{nope")
+    found, failed = ingest.ingest(spark, "bandit", str(tmp_path), F.lit("r"), F.lit("1"), F.lit("2024-01-01T00:00:00Z"))
+    (r,) = found.collect()
+    assert (r.file, r.start_line, r.severity, r.title, r.cwe, r.category, r.status) == ("a/b.py", None, "high", "B1", ["CWE-89"], "sast", "open") and r.fingerprint.startswith("v2:sha256:")
+    assert failed.count() == 1 and validate(found.withColumn("row_id", F.lit(1))).count() == 0
+    p = put(tmp_path / "..", "p.json", {"dependencies": [{"name": "a", "version": "1", "vulns": [{"id": "PYSEC-1", "aliases": ["CVE-2024-1234", "GHSA-a1b2-c3d4-e5f6"]}]}]})
+    (r,) = ingest.ingest(spark, "pip-audit", p, F.lit("r"), F.lit("1"), F.lit("2024-01-01T00:00:00Z"))[0].collect()
+    assert (r.category, r.cve, r.ghsa, r.osv, r.dep_name, r.dep_ecosystem) == ("sca", ["CVE-2024-1234"], ["GHSA-a1b2-c3d4-e5f6"], ["PYSEC-1"], "a", "pypi")
+
+
+def test_contract_breaches(spark):
+    row = dict(row_id=1, cwe=["CWE-0", "CWE-0"], osv=[""], start_line=0, confidence=1.5, severity="awful", title="t" * 1025, introduced_commit="z")
+    schema = "row_id int, cwe array<string>, osv array<string>, start_line int, confidence double, severity string, title string, introduced_commit string"
+    got = {r.code for r in validate(spark.createDataFrame([tuple(row.values())], schema)).collect()}
+    assert got >= {"cwe:pattern", "cwe:unique", "osv:pattern", "start_line:range", "confidence:range", "severity:enum", "title:length", "introduced_commit:pattern", "fingerprint:required", "evidence:required"}
+    assert "title:required" not in got
