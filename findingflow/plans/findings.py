@@ -144,7 +144,7 @@ def a1_deduplicate(findings):
 
 def issues(findings: DataFrame) -> DataFrame:
     """Deduplicated issues with what correlation compares."""
-    keep = ("end_line", "cwe", "cve", "symbol", "source", "sink", "dep_name", "dep_ecosystem", "rule_id", "finding_id", "fingerprint")
+    keep = ("category", "end_line", "cwe", "cve", "symbol", "source", "sink", "dep_name", "dep_ecosystem", "rule_id", "finding_id", "fingerprint")
     none = F.lit(None).cast("string")
     made = correlate.deduplicate(sightings(findings), keep=keep)
     return made.withColumns({"issue_id": F.concat_ws("|", "scanner", "identity"), "code_region_hash": none, "infrastructure_resource": none, "secret_fingerprint": none})
@@ -170,14 +170,15 @@ def j2_region_relation(findings):
     return pairs.groupBy("repository").agg(F.count("*").alias("pairs"), F.count_if(F.startswith("signals", F.lit("code_region"))).alias("near"))
 
 
-def members(findings: DataFrame) -> DataFrame:
+def members(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = durable(issues(findings))
-    return found.join(correlate.clusters(found, correlate.candidate_pairs(found)), ["repository", "run_id", "issue_id"])
+    pairs = durable(correlate.candidate_pairs(found))
+    return found.join(correlate.clusters(found, pairs), ["repository", "run_id", "issue_id"]), pairs
 
 
 @query(findings="findings")
 def a3_clusters(findings):
-    return members(findings).select("repository", "run_id", "issue_id", "cluster_id")
+    return members(findings)[0].select("repository", "run_id", "issue_id", "cluster_id")
 
 
 def ancestry(findings: DataFrame) -> DataFrame:
@@ -186,9 +187,10 @@ def ancestry(findings: DataFrame) -> DataFrame:
 
 @query(findings="findings")
 def a2_merge_clusters(findings):
-    own = correlate.independent_sources(members(findings), ancestry(findings))
+    clustered, pairs = members(findings)
+    own = correlate.independent_sources(clustered, ancestry(findings))
     against = own.where("start_line % 7 = 0").select(*correlate.RUN, F.col("fingerprint").alias("finding_identity"), F.lit("reviewer").alias("contradicting_scanner")).distinct()
-    return correlate.merge_clusters(own, correlate.attach_contradictions(own, against))
+    return correlate.merge_clusters(own, pairs, correlate.attach_contradictions(own, against))
 
 
 @query(
