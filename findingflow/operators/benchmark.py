@@ -159,6 +159,26 @@ def evaluate_tools(decisions: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("precision", F.bround(precision, 6)).withColumn("recall", recall).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def rule_scores(decisions: DataFrame) -> DataFrame:
+    """Posterior precision per tool and rule of emitted findings; ambiguous ones are left out."""
+    counted = decisions.groupBy("tool", F.coalesce("rule_id", F.lit("unknown")).alias("rule_id")).agg(F.count_if(F.col("status") == "matched").alias("tp"), F.count_if(F.col("status") == "unmatched").alias("fp"))
+    return posteriors(counted.where("tp + fp > 0"))
+
+
+def truth_states(decisions: DataFrame, truth: DataFrame) -> DataFrame:
+    """(tool, truth_id, state) of every truth a tool should find: matched or missed."""
+    found = decisions.where("status = 'matched'").select("tool", "truth_id", F.lit("matched").alias("state")).distinct()
+    return truth.select("tool", "truth_id").distinct().join(found, ["tool", "truth_id"], "left").fillna("missed", ["state"])
+
+
+def overall(tools: DataFrame) -> DataFrame:
+    """One row over all tools of ``evaluate_tools``: sums, precision of emitted findings, recall of distinct truths, and the posterior."""
+    sums = tools.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "ambiguous", "detected")])
+    precision, recall = F.bround(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 6), ratio(F.col("detected"), F.col("detected") + F.col("fn"))
+    scored = sums.withColumns({"precision": precision, "recall": recall}).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return posteriors(scored)
+
+
 def independent_runs(runs: DataFrame) -> DataFrame:
     """Byte-identical runs count once: the first by (recorded_at, run_id) of each digest, with how many there were."""
     w = Window.partitionBy("sha256")

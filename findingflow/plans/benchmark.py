@@ -61,11 +61,42 @@ TOOLS = f"""{FINAL}, dd AS (SELECT scanner AS tool, status, truth_id FROM final
     metrics AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE round(tp / (tp + fp), 6) END AS precision, CASE WHEN detected + fn = 0 THEN 0 ELSE detected / (detected + fn) END AS recall FROM tools)"""
 
 
-def tools(findings: DataFrame, truth: DataFrame) -> DataFrame:
+def decided(findings: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
     f, _ = inputs(findings, truth)
-    decisions = final(findings, truth).join(f.select("finding_key", "tool"), "finding_key")
-    expected = f.select("tool").distinct().join(truth.select("truth_id"), F.length("tool") % 2 == F.length("truth_id") % 2)
-    return ops.evaluate_tools(decisions, expected)
+    decisions = final(findings, truth).join(f.select("finding_key", "tool", "rule_id"), "finding_key")
+    return decisions, f.select("tool").distinct().join(truth.select("truth_id"), F.length("tool") % 2 == F.length("truth_id") % 2)
+
+
+def tools(findings: DataFrame, truth: DataFrame) -> DataFrame:
+    return ops.evaluate_tools(*decided(findings, truth))
+
+
+MATURITY = "CASE WHEN tp + fp < 5 THEN 'Experimental' WHEN tp + fp < 30 THEN 'Directional' WHEN tp + fp < 100 THEN 'Moderate' ELSE 'Mature' END AS maturity"
+
+
+@query(
+    f"""WITH {TOOLS}, rr AS (SELECT scanner AS tool, rule_id, count(*) FILTER (status = 'matched') AS tp, count(*) FILTER (status = 'unmatched') AS fp FROM final JOIN f USING (finding_key) GROUP BY 1, 2)
+    SELECT tool, rule_id, tp, fp, round_even((tp + 1) / (tp + fp + 2), 6) AS mean, {MATURITY} FROM rr WHERE tp + fp > 0""",
+    findings="findings",
+    truth="truth",
+)
+def a7_rule_scores(findings, truth):
+    return R6(ops.rule_scores(decided(findings, truth)[0]).select("tool", "rule_id", "tp", "fp", "mean", "maturity"), "mean")
+
+
+@query(f"WITH {TOOLS} SELECT x.tool, x.truth_id, CASE WHEN h.truth_id IS NULL THEN 'missed' ELSE 'matched' END AS state FROM x LEFT JOIN h USING (tool, truth_id)", findings="findings", truth="truth")
+def a7_truth_states(findings, truth):
+    return ops.truth_states(*decided(findings, truth))
+
+
+@query(
+    f"""WITH {TOOLS}, o AS (SELECT cast(sum(tp) AS bigint) AS tp, cast(sum(fp) AS bigint) AS fp, cast(sum(fn) AS bigint) AS fn, cast(sum(ambiguous) AS bigint) AS ambiguous, cast(sum(detected) AS bigint) AS detected FROM tools), m AS (SELECT *, round(tp / (tp + fp), 6) AS precision, detected / (detected + fn) AS recall FROM o)
+    SELECT tp, fp, fn, ambiguous, detected, precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1, round_even((tp + 1) / (tp + fp + 2), 6) AS mean, {MATURITY} FROM m""",
+    findings="findings",
+    truth="truth",
+)
+def a7_overall(findings, truth):
+    return R6(ops.overall(tools(findings, truth)).select("tp", "fp", "fn", "ambiguous", "detected", "precision", "recall", "f1", "mean", "maturity"), "precision", "recall", "f1", "mean")
 
 
 @query(f"WITH {TOOLS} SELECT tool, tp, fp, ambiguous, fn, detected, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM metrics", findings="findings", truth="truth")
