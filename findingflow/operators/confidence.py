@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .benchmark import tier
+from .benchmark import maturity, tier
 
 # Fixed values: (estimate, bound) by reachability state, exploit evidence and remediation references.
 REACHABILITY = {"reachable": (0.9, 0.7), "potentially_reachable": (0.6, 0.35), "unreachable": (0.1, 0.02)}
@@ -17,7 +17,7 @@ def pair(when: Column, value: tuple[float, float]) -> Column:
 
 
 def components(findings: DataFrame, posteriors: DataFrame) -> DataFrame:
-    """``findings`` with estimate and bound of validity, reachability, exploitability, remediation and overall.
+    """``findings`` with estimate and bound of the rule's reliability, validity, reachability, exploitability, remediation and overall; the sample behind them and its maturity.
 
     Validity starts from the rule's posterior (mean, lower; keyed by scanner and rule_id) and gains up to 0.1 for
     corroboration by two independent sources (0.1 times their bound; 0.05 without one) and 0.05 for manual
@@ -33,7 +33,8 @@ def components(findings: DataFrame, posteriors: DataFrame) -> DataFrame:
     reach = F.coalesce(*[pair(F.col("reachability") == s, v) for s, v in REACHABILITY.items()])
     exploit = F.coalesce(pair(has("exploit_validation"), EXPLOIT_VALIDATED), pair(has("known_exploited") | has("exploit_precondition"), EXPLOIT_OTHER))
     fix = pair(F.coalesce("n_references", F.lit(0)) > 0, REMEDIATION)
-    out = joined.withColumns({"validity": validity, "reach": reach, "exploit": exploit, "fix": fix})
+    reliability = F.when(F.col("mean").isNotNull(), F.struct(F.col("mean").alias("estimate"), F.col("lower").alias("bound")))
+    out = joined.withColumns({"reliability": reliability, "maturity": F.when(F.col("sample").isNotNull(), maturity(F.col("sample"))).otherwise("Unscored"), "validity": validity, "reach": reach, "exploit": exploit, "fix": fix})
     parts = ("validity", "reach", "exploit", "fix")
     overall = {f"overall_{k}": F.least(*[F.col(f"{p}.{k}") for p in parts]) for k in ("estimate", "bound")}
     level = F.when(F.col("sample").isNotNull() & F.col("overall_bound").isNotNull(), tier(F.col("sample"), F.col("overall_bound"))).otherwise("Unscored")
