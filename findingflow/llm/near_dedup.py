@@ -8,8 +8,9 @@
    and its parts are compared with one centre each; this only finds classes early.
 4. Candidate pairs whose signatures agree enough are verified by the weighted Jaccard similarity of the whole texts.
 5. All texts of larger buckets are then joined exactly: two similar texts share a shingle among the rarest of each
-   (prefix filter). Only pairs that are already in one class are left out.
-6. Classes are the connected components of verified pairs, found by label propagation with pointer jumping.
+   (prefix filter). The likeliest pair of each two classes is tried first, then all pairs that are still apart: only
+   pairs that are already in one class are left out.
+6. Classes are the connected components of verified pairs, found by hooking labels and contracting links.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from ._words import shingles, stir, word_hashes
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 HASHES = BANDS * ROWS
-REFINE = 6  # further samples by which a large bucket is dealt out
+REFINE = 2  # further samples by which a large bucket is dealt out
 SMALL = 32
 BLOCK = 512  # members of a prefix group that meet in one row
 AGREE = 19  # of the 36 samples: 1 in 10,000 pairs at 0.8 agrees in fewer
@@ -196,13 +197,13 @@ def prefix(weights: np.ndarray, rarity: np.ndarray, hashes: np.ndarray, similari
 
 
 def prefixes(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """key, node, label, total and rest for each shingle in the prefix of each of ``texts`` (node, label, text)."""
+    """key, node, total and rest for each shingle in the prefix of each of ``texts`` (node, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for group in text_groups((None, t) for t in values(batch.column(2))):
+            for group in text_groups((None, t) for t in values(batch.column(1))):
                 hashes, times, starts = vectors([t for _, t in group])
                 weights, rarity = weigh(hashes, times, shared.value), shared.value[df_slot(hashes)]
                 keys, rests, totals, counts = [], [], [], []
@@ -213,16 +214,16 @@ def prefixes(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
                     totals.append(np.full(len(found), total))
                     counts.append(len(found))
                 owner = pa.array(np.repeat(np.arange(at, at + len(group)), counts))
-                columns = [pa.array(np.concatenate(keys).astype(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate(totals)), pa.array(np.concatenate(rests))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "label", "total", "rest"])
+                columns = [pa.array(np.concatenate(keys).astype(np.int64)), batch.column(0).take(owner), pa.array(np.concatenate(totals)), pa.array(np.concatenate(rests))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "total", "rest"])
                 at += len(group)
 
-    return map_batches(texts.select("node", "label", "text"), run, "key bigint, node binary, label bigint, total double, rest double")
+    return map_batches(texts.select("node", "text"), run, "key bigint, node binary, total double, rest double")
 
 
-def exact_pairs(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """All pairs (a, b), a < b, of ``texts`` (node, label, text) of different labels that can be as alike as ``similarity``."""
-    rows = materialise(prefixes(texts, idf, similarity), "dedup-prefixes")
+def exact_pairs(prefixed: DataFrame, labels: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of texts of different labels that can be as alike as ``similarity``, from their ``prefixes`` and labels (node, label bigint): all of them, or the likeliest one of each two labels."""
+    rows = prefixed.join(labels, "node")
     several = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key", "size")
     blocks = F.ceil(F.col("size") / BLOCK)
     dealt = rows.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), blocks))
@@ -236,20 +237,32 @@ def exact_pairs(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFra
                 low, high = batch.column(0)[cell].as_py(), batch.column(1)[cell].as_py()
                 members = batch.column(2)[cell].values.flatten()
                 label, total, rest, own = (members[k].to_numpy() for k in (1, 2, 3, 4))
-                a, b = [], []
+                a, b, scores = [], [], []
                 for i in range(len(own) - 1) if low == high else np.flatnonzero(own == low):
                     rivals = slice(i + 1, None) if low == high else slice(None)
-                    ok = (label[rivals] != label[i]) & (bound * (total[rivals] + total[i]) <= np.minimum(rest[rivals], rest[i]))
+                    score = np.minimum(rest[rivals], rest[i]) / (total[rivals] + total[i])
+                    ok = (label[rivals] != label[i]) & (score >= bound)
                     if low != high:
                         ok &= own == high
-                    found = np.flatnonzero(ok) + (i + 1 if low == high else 0)
+                    found = np.flatnonzero(ok)
+                    score = score[found]
+                    found += i + 1 if low == high else 0
+                    if not every and len(found):
+                        order = np.argsort(-score, kind="stable")
+                        first = order[np.unique(label[found[order]], return_index=True)[1]]
+                        found, score = found[first], score[first]
                     a.append(np.full(len(found), i))
                     b.append(found)
+                    scores.append(score)
                 if a:
-                    yield pa.RecordBatch.from_arrays([members[0].take(pa.array(np.concatenate(x))) for x in (a, b)], names=["a", "b"])
+                    x, y = (pa.array(np.concatenate(z)) for z in (a, b))
+                    yield pa.RecordBatch.from_arrays([members[0].take(x), members[0].take(y), members[1].take(x), members[1].take(y), pa.array(np.concatenate(scores))], names=["a", "b", "label_a", "label_b", "score"])
 
-    found = map_batches(cells.select("low", "high", "members"), pair, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = map_batches(cells.select("low", "high", "members"), pair, "a binary, b binary, label_a bigint, label_b bigint, score double")
+    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high"), "score")
+    if every:
+        return ordered.select("a", "b").distinct()
+    return ordered.groupBy("low", "high").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
 
 
 def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -285,17 +298,39 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: floa
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label for every node of ``links`` (a, b): the least node of its component. Labels spread over links and jump to their label's label until none changes."""
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
+    """node, label for every node of ``links`` (a, b): the least node of its component.
+
+    In each round every node takes the label of its least neighbour (or itself), and links between nodes of one label
+    vanish: later rounds only join what is left between labels.
+    """
+    edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    placed = None
     while True:
-        spread = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(spread, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = materialise(least.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        if moved.where("label != old").isEmpty():
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
+        nearest = edges.select(F.col("a").alias("node"), "a").unionByName(edges.select(F.col("b").alias("node"), "a")).groupBy("node").agg(F.min("a").alias("label"))
+        hooked = materialise(nearest, "labels")
+        further = hooked.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = materialise(hooked.join(further, "label").select("node", F.col("further").alias("label")), "labels")
+        placed = labels if placed is None else materialise(relabel(placed, labels), "labels")
+        left, right = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+        between = edges.join(left, "a").join(right, "b").where("label_a != label_b")
+        edges = materialise(between.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            return placed
+
+
+def relabel(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """``placed`` (node, label) with each label that is a node of ``labels`` replaced by that node's label."""
+    further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    return placed.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+
+
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after more ``links`` (a, b), which may bring new nodes."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = materialise(labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "labels")
+    left, right = (every.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    between = links.join(left, "a").join(right, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    return materialise(relabel(every, components(between)), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -317,10 +352,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(verify(pairs, texts, idf, similarity), "dedup-links")
     labels = components(links)
     if not crowded.isEmpty():
-        labelled = texts.join(crowded, "node", "left_semi").join(labels, "node", "left").select("node", F.xxhash64(F.coalesce("label", "node")).alias("label"), "text")
-        more = materialise(exact_pairs(labelled, idf, similarity), "dedup-exact")
-        if not more.isEmpty():
-            labels = components(materialise(links.unionByName(verify(more, texts, idf, similarity)), "dedup-links"))
+        prefixed = materialise(prefixes(texts.join(crowded, "node", "left_semi"), idf, similarity), "dedup-prefixes")
+        for every in (False, True):  # one pair of each two classes joins most of them; then all that are left
+            labelled = crowded.join(labels, "node", "left").select("node", F.xxhash64(F.coalesce("label", "node")).alias("label"))
+            more = materialise(exact_pairs(prefixed, labelled, similarity, every), "dedup-exact")
+            if more.isEmpty():
+                break
+            labels = with_links(labels, materialise(verify(more, texts, idf, similarity), "dedup-links"))
     counted = signed.groupBy("node").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), "node")).alias("least"), F.count("*").alias("rows"))
     placed = counted.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     whole = placed.where("label is not null or rows > 1").groupBy("class").agg(F.min("least").alias("least"), F.sum("rows").alias("class_size"), F.count("*").alias("n_texts"))
