@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.severity import RANK
+
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 # What one open finding of each severity adds to a risk score.
 WEIGHTS = {"critical": 10, "high": 5, "medium": 2, "low": 1, "info": 0}
@@ -51,6 +53,12 @@ def repository_trends(findings: DataFrame, at: str = "run_year") -> DataFrame:
     return ends.withColumn("direction", direction)
 
 
+def trend_points(findings: DataFrame, at: str = "run_year") -> DataFrame:
+    """Totals and counts by severity of each snapshot of a repository; other severities count as unknown."""
+    known = F.when(F.col("severity").isin(*RANK), F.col("severity")).otherwise("unknown")
+    return findings.groupBy("repository", at).agg(F.count("*").alias("total"), *[F.count_if(known == s).alias(s) for s in RANK])
+
+
 def scanner_health(runs: DataFrame) -> DataFrame:
     """Runs, successes, mean duration of those that have one, and versions seen per scanner."""
     wins = F.count_if(F.coalesce("success", F.lit(False)))

@@ -47,6 +47,26 @@ def threat_data_status(enriched: DataFrame) -> DataFrame:
     return out.select("run_id", "enriched", "stale_findings", "failed_sources", status.alias("status"))
 
 
+def reachability_summary(findings: DataFrame) -> DataFrame:
+    """Per run: dependency and source findings analysed, paths found, unsupported, incomplete, confirmed reachable and dynamically confirmed.
+
+    ``findings`` has the analyses as structs, null where there is none: dependency_reachability (status,
+    analysis_incomplete), source_to_sink (support, status, analysis_incomplete) and dynamic_correlation (status).
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    dependency, source, dynamic = (F.col(c) for c in ("dependency_reachability", "source_to_sink", "dynamic_correlation"))
+    supported = yes(source["support"] != "unsupported")
+    return findings.groupBy("run_id").agg(
+        F.count_if(dependency.isNotNull()).alias("dependency_findings_analyzed"),
+        F.count_if(supported).alias("source_findings_analyzed"),
+        F.count_if(yes(source["status"] == "path-found")).alias("source_paths_found"),
+        F.count_if(yes(source["support"] == "unsupported")).alias("unsupported_findings"),
+        (F.count_if(yes(dependency["analysis_incomplete"])) + F.count_if(yes(source["analysis_incomplete"]))).alias("incomplete_findings"),
+        F.count_if(yes(dependency["status"] == "CONFIRMED_REACHABLE")).alias("confirmed_reachable"),
+        F.count_if(yes(dynamic["status"] == "confirmed")).alias("dynamically_confirmed"),
+    )
+
+
 OUTCOMES = ("confirmed", "likely", "inconclusive", "not_reproduced")
 
 

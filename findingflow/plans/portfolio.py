@@ -37,6 +37,11 @@ def w2_repository_trends(findings):
     return ops.repository_trends(findings)
 
 
+@query("SELECT repository, run_year, count(*) AS total, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "info", "unknown")) + " FROM findings GROUP BY 1, 2", findings="findings")
+def w2_trend_points(findings):
+    return ops.trend_points(findings)
+
+
 @query(
     """SELECT scanner, count(*) AS total_runs, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, round(count(*) FILTER (success) / count(*), 6) AS success_rate,
     round(avg(duration_seconds), 6) AS avg_duration, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM scanner_runs GROUP BY 1""",

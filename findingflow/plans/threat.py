@@ -54,6 +54,19 @@ def a27_threat_data_status(findings, records):
     return ops.threat_data_status(made.withColumn("failures", F.when((F.length("finding_id") % 4 == 0) & (F.right("run_id", F.lit(1)) == "4"), 1).otherwise(0)))
 
 
+@query(
+    """SELECT run_id, count(dep_name) AS dependency_findings_analyzed, count(*) FILTER (dep_name IS NULL AND row_id % 3 > 0) AS source_findings_analyzed, count(*) FILTER (dep_name IS NULL AND row_id % 5 = 0) AS source_paths_found,
+    count(*) FILTER (dep_name IS NULL AND row_id % 3 = 0) AS unsupported_findings, count(*) FILTER (row_id % 7 = 0) AS incomplete_findings, count(*) FILTER (dep_name IS NOT NULL AND reachability = 'reachable') AS confirmed_reachable, count(*) FILTER (row_id % 11 = 0) AS dynamically_confirmed FROM findings GROUP BY 1""",
+    findings="findings",
+)
+def a27_reachability_summary(findings):
+    k, incomplete = F.col("row_id"), (F.col("row_id") % 7 == 0).alias("analysis_incomplete")
+    dependency = F.when(F.col("dep_name").isNotNull(), F.struct(F.when(F.col("reachability") == "reachable", "CONFIRMED_REACHABLE").otherwise("UNKNOWN").alias("status"), incomplete))
+    source = F.when(F.col("dep_name").isNull(), F.struct(F.when(k % 3 == 0, "unsupported").otherwise("full").alias("support"), F.when(k % 5 == 0, "path-found").otherwise("no-path").alias("status"), incomplete))
+    dynamic = F.when(k % 2 == 1, F.struct(F.when(k % 11 == 0, "confirmed").otherwise("likely").alias("status"))).otherwise(F.when(k % 11 == 0, F.struct(F.lit("confirmed").alias("status"))))
+    return ops.reachability_summary(findings.withColumns({"dependency_reachability": dependency, "source_to_sink": source, "dynamic_correlation": dynamic}))
+
+
 ENDPOINTS = "SELECT DISTINCT cast(row_id AS string) AS finding_id, concat('https://app.example/', rule_id, '/', cast(start_line % 30 AS string), CASE WHEN row_id % 2 = 0 THEN '/?q=1' ELSE '' END) AS endpoint, concat('request.args.', symbol) AS source, concat('db.', CASE WHEN row_id % 3 = 0 THEN 'Execute' ELSE 'run' END) AS sink FROM findings WHERE category = 'dast'"
 OBSERVED = "SELECT concat('o', cast(event_id AS string)) AS observation_id, concat('/r', cast(user_id % 20 AS string), '/', cast(event_id % 30 AS string)) AS endpoint, concat('FN', cast(event_id % 9 AS string)) AS parameter, CASE WHEN event_id % 4 = 0 THEN 'cursor.execute' ELSE 'none' END AS sink, CASE event_type WHEN 'click' THEN 'confirmed' WHEN 'view' THEN 'likely' WHEN 'error' THEN 'inconclusive' ELSE 'not_reproduced' END AS outcome FROM scanner_runs"
 
