@@ -171,6 +171,14 @@ def truth_states(decisions: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("tool", "truth_id").distinct().join(found, ["tool", "truth_id"], "left").fillna("missed", ["state"])
 
 
+def detection_rate(decisions: DataFrame, seeded: DataFrame) -> DataFrame:
+    """(truth_id, detected, rate): whether any tool found each seeded truth, and the whole per cent of them that were found."""
+    found = decisions.where("status = 'matched'").select("truth_id", F.lit(True).alias("hit")).distinct()
+    each = seeded.select("truth_id").distinct().join(found, "truth_id", "left").select("truth_id", F.coalesce("hit", F.lit(False)).alias("detected"))
+    rate = each.agg(F.bround(F.count_if("detected") / F.count("*") * 100).cast("int").alias("rate"))
+    return each.crossJoin(rate)  # one row
+
+
 def overall(tools: DataFrame) -> DataFrame:
     """One row over all tools of ``evaluate_tools``: sums, precision of emitted findings, recall of distinct truths, and the posterior."""
     sums = tools.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "ambiguous", "detected")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import json_text
 from ..functions.severity import THRESHOLD, rank
 
 SEVERITIES = ("critical", "high", "medium", "low", "info", "unknown")
@@ -63,6 +64,29 @@ def threshold_policy(findings: DataFrame, scanners: DataFrame, fail_on: str = "h
     return both.select("run_id", "gating_findings", "required_failures", outcome.alias("outcome"), F.when(broken & stop, 2).when(hit, 1).otherwise(0).alias("exit_code"))
 
 
+def policy_results(findings: DataFrame, scanners: DataFrame, threat_data: DataFrame, fail_on: str = "high", on_scanner_failure: str = "fail", severity: str = "severity", basis: str = "normalised") -> DataFrame:
+    """``threshold_policy`` with the reason of each outcome, a warning about stale threat data, and the result's id.
+
+    ``threat_data`` has status and stale_findings per run; runs without a row did not ask for any.
+    """
+    judged = threshold_policy(findings, scanners, fail_on, on_scanner_failure, severity)
+    failed = F.when(F.col("required") & ~F.col("healthy"), F.concat("scanner", F.lit(" ("), "state", F.lit(")")))
+    names = scanners.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set(failed)), ", ").alias("failed"))
+    joined = judged.join(names, "run_id", "left").join(threat_data.select("run_id", "status", "stale_findings"), "run_id", "left")
+    broken = F.col("required_failures") > 0
+    reason = (
+        F.when(broken & F.lit(on_scanner_failure == "fail"), F.concat(F.lit("Required scanner failure: "), "failed", F.lit(".")))
+        .when(F.col("gating_findings") > 0, F.concat(F.col("gating_findings").cast("string"), F.lit(f" finding(s) met or exceeded the {fail_on} {basis}-severity threshold.")))
+        .when(broken & F.lit(on_scanner_failure == "warn"), F.concat(F.lit("Required scanner failure was allowed by warn policy: "), "failed", F.lit(".")))
+        .otherwise("Finding severity gating is disabled." if fail_on == "none" else f"No finding met the {fail_on} {basis}-severity threshold.")
+    )
+    status = F.coalesce("status", F.lit("not-requested"))
+    stale = F.when(status == "stale", F.concat(F.lit(" Warning: "), F.col("stale_findings").cast("string"), F.lit(" finding(s) use stale threat data."))).otherwise("")
+    identity = F.concat(F.lit(f'{{"fail_on":"{fail_on}","run_id":'), json_text(F.col("run_id")), F.lit(f',"scanner_failure_policy":"{on_scanner_failure}","severity_basis":"{basis}"}}'))
+    result = F.concat(F.lit("policy-result-"), F.substring(F.sha2(identity, 256), 1, 24))
+    return joined.select(result.alias("policy_result_id"), *judged.columns, F.concat(reason, stale).alias("reason"), status.alias("threat_data_status"))
+
+
 def check_counts(findings: DataFrame, changes: DataFrame, matched: DataFrame, blocked: DataFrame, policy: DataFrame, gate: DataFrame) -> DataFrame:
     """Per repository: total, new, blocking, suppressed and unscored findings, and the decision.
 

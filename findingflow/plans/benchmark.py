@@ -89,6 +89,11 @@ def a7_truth_states(findings, truth):
     return ops.truth_states(*decided(findings, truth))
 
 
+@query(f"WITH {TOOLS}, w AS (SELECT truth_id, truth_id IN (SELECT truth_id FROM dd WHERE status = 'matched') AS detected FROM truth) SELECT truth_id, detected, cast(round_even((SELECT count(*) FILTER (detected) / count(*) * 100 FROM w), 0) AS int) AS rate FROM w", findings="findings", truth="truth")
+def a28_detection_rate(findings, truth):
+    return ops.detection_rate(decided(findings, truth)[0], truth)
+
+
 @query(
     f"""WITH {TOOLS}, o AS (SELECT cast(sum(tp) AS bigint) AS tp, cast(sum(fp) AS bigint) AS fp, cast(sum(fn) AS bigint) AS fn, cast(sum(ambiguous) AS bigint) AS ambiguous, cast(sum(detected) AS bigint) AS detected FROM tools), m AS (SELECT *, round(tp / (tp + fp), 6) AS precision, detected / (detected + fn) AS recall FROM o)
     SELECT tp, fp, fn, ambiguous, detected, precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1, round_even((tp + 1) / (tp + fp + 2), 6) AS mean, {MATURITY} FROM m""",

@@ -53,6 +53,23 @@ def v2_threshold_policy(findings, scanners):
     return runs.threshold_policy(of_runs(findings), scanners, fail_on="critical", on_scanner_failure="warn")
 
 
+@query(
+    """WITH f AS (SELECT concat('run-', cast(row_id % 101 AS string)) AS run_id, count(*) FILTER (severity = 'critical') AS g FROM findings GROUP BY 1),
+    s AS (SELECT run_id, count(*) FILTER (required AND NOT healthy) AS b, string_agg(DISTINCT CASE WHEN required AND NOT healthy THEN concat(scanner, ' (', state, ')') END, ', ' ORDER BY CASE WHEN required AND NOT healthy THEN concat(scanner, ' (', state, ')') END) AS failed, count(*) % 3 = 0 AS stale, count(*) AS n FROM scanner_runs GROUP BY 1),
+    j AS (SELECT run_id, coalesce(g, 0) AS gating_findings, coalesce(b, 0) AS required_failures, failed, coalesce(stale, false) AS stale, n FROM s FULL OUTER JOIN f USING (run_id))
+    SELECT concat('policy-result-', left(sha256(concat('{"fail_on":"critical","run_id":"', run_id, '","scanner_failure_policy":"fail","severity_basis":"normalised"}')), 24)) AS policy_result_id, run_id, gating_findings, required_failures,
+      CASE WHEN required_failures > 0 OR gating_findings > 0 THEN 'fail' ELSE 'pass' END AS outcome, CASE WHEN required_failures > 0 THEN 2 WHEN gating_findings > 0 THEN 1 ELSE 0 END AS exit_code,
+      concat(CASE WHEN required_failures > 0 THEN concat('Required scanner failure: ', failed, '.') WHEN gating_findings > 0 THEN concat(cast(gating_findings AS varchar), ' finding(s) met or exceeded the critical normalised-severity threshold.') ELSE 'No finding met the critical normalised-severity threshold.' END,
+        CASE WHEN stale THEN concat(' Warning: ', cast(n AS varchar), ' finding(s) use stale threat data.') ELSE '' END) AS reason, CASE WHEN stale THEN 'stale' WHEN n IS NULL THEN 'not-requested' ELSE 'fresh' END AS threat_data_status FROM j""",
+    findings="findings",
+    scanners="scanner_runs",
+)
+def v2_policy_results(findings, scanners):
+    n = F.count("*")
+    threat = scanners.groupBy("run_id").agg(F.when(n % 3 == 0, "stale").otherwise("fresh").alias("status"), n.alias("stale_findings"))
+    return runs.policy_results(of_runs(findings), scanners, threat, fail_on="critical")
+
+
 @query(
     f"""WITH r AS (SELECT run_id, cast(row_id AS varchar) AS finding_id, severity, cast(row_number() OVER (PARTITION BY run_id ORDER BY {RANKED} DESC, cast(row_id AS varchar)) AS int) AS place, greatest(count(*) OVER (PARTITION BY run_id) - 10, 0) AS more FROM findings)
     SELECT run_id, place, finding_id, severity, more FROM r WHERE place <= 10""",
