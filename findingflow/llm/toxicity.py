@@ -124,8 +124,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     fit = int(np.searchsorted(np.cumsum(sizes[:, 1]), most_features, "right"))
     if fit < len(sizes):
         made = made.where(F.col("chance") < int(sizes[fit, 0]))
-    rows = sorted((r.chance, r.slots, r.label) for r in made.toLocalIterator())
-    return [(np.frombuffer(slots, np.int32), label) for _, slots, label in rows]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per batch, so that the driver holds a few large buffers instead of many small ones."""
+        for batch in batches:
+            slots = batch.column(2).to_pylist()
+            columns = [pa.array([x.to_pylist()], pa.list_(t)) for x, t in ((batch.column(0), pa.int64()), (batch.column(1), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([[len(x) // 4 for x in slots]], pa.list_(pa.int32())), pa.array([b"".join(slots)], pa.binary())], names=["chances", "labels", "sizes", "slots"])
+
+    rows = []
+    for r in map_batches(made, pack, "chances array<bigint>, labels array<int>, sizes array<int>, slots binary").toLocalIterator():
+        held = np.frombuffer(r.slots, np.int32)
+        rows += zip(r.chances, r.sizes, r.labels, np.split(held, np.cumsum(r.sizes)[:-1]), strict=True)
+    rows.sort(key=lambda row: row[:3])
+    return [(slots, label) for _, _, label, slots in rows]
 
 
 def score_toxicity(
