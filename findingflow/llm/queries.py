@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, html_text, lm_score, near_dedup, packing, pii, token_counts, toxicity
+from . import chat, decontaminate, embedding_join, fingerprints, html_text, lm_score, near_dedup, packing, pii, prefix_trie, ranked_search, token_counts, toxicity
 from ._common import table
 
 
@@ -57,6 +57,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spell(F.col("base")), 256).alias("base_sha256"), pii.spell(everything).alias("spans"), F.size("found").cast("bigint").alias("n_found"), F.size(everything).cast("bigint").alias("n_spans"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("enter_at", "exit_at")
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -68,6 +80,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_ranked_search": ranked_search.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_embedding_near_dedup": embedding_join.SQL}
