@@ -1,6 +1,7 @@
 """Known values and edge cases of single operators."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,12 +99,61 @@ def test_correlation(spark):
     assert got["b1"] == "a1" and got["b2"] == "b2" and got["h1"] == "h1" and len(got) == 10
 
 
+def first_fit(ids, edges):
+    """Each id, in order, joins the first cluster all of whose members it pairs with; a cluster is named by its first id."""
+    lower, homes, sizes = {}, {}, {}
+    for a, b in edges:
+        lower.setdefault(b, []).append(a)
+    for i in sorted(ids):
+        met = Counter(homes[a] for a in lower.get(i, ()))
+        homes[i] = min((c for c, n in met.items() if n == sizes[c]), default=i)
+        sizes[homes[i]] = sizes.get(homes[i], 0) + 1
+    return homes
+
+
 def test_clusters_equal_first_fit_on_any_partitioning(spark):
     rng = random.Random(3)
     ids = [f"i{k:02d}" for k in range(40)]
     edges = {tuple(sorted(rng.sample(ids, 2))) for _ in range(70)}
-    want = correlate.first_fit(ids, edges)
+    want = first_fit(ids, edges)
     issues = spark.createDataFrame([("r", "1", i) for i in ids], "repository string, run_id string, issue_id string")
     for n in (1, 7):
         pairs = spark.createDataFrame([("r", "1", a, b) for a, b in edges], "repository string, run_id string, a_id string, b_id string").repartition(n)
         assert {r.issue_id: r.cluster_id for r in correlate.clusters(issues.repartition(n), pairs).collect()} == want
+
+
+def scanner_pairs(rng, scanners, each, groups):
+    """Issues of several scanners; pairs of two scanners inside (overlapping) groups."""
+    ids = [f"s{s}|{k:05d}" for s in range(scanners) for k in range(each)]
+    edges = set()
+    for _ in range(groups):
+        some = rng.sample(ids, rng.randint(2, 12))
+        edges |= {(a, b) for a in some for b in some if a < b and a[:2] != b[:2] and rng.random() < 0.9}
+    return ids, edges
+
+
+def test_clusters_in_rounds_equal_first_fit_over_several_runs(spark):
+    rng = random.Random(5)
+    runs = {"1": scanner_pairs(rng, 5, 12, 40), "2": scanner_pairs(rng, 3, 30, 60), "3": scanner_pairs(rng, 7, 9, 15)}
+    alike = [f"s{s}|{k:05d}" for s in range(4) for k in range(25)]  # everything pairs with everything of the other scanners
+    runs["4"] = (alike, {(a, b) for a in alike for b in alike if a < b and a[:2] != b[:2]})
+    issues = spark.createDataFrame([("r", run, i) for run, (ids, _) in runs.items() for i in ids], "repository string, run_id string, issue_id string")
+    pairs = spark.createDataFrame([("r", run, a, b) for run, (_, edges) in runs.items() for a, b in edges], "repository string, run_id string, a_id string, b_id string").repartition(5)
+    got = {(r.run_id, r.issue_id): r.cluster_id for r in correlate.clusters(issues, pairs).collect()}
+    assert got == {(run, i): c for run, (ids, edges) in runs.items() for i, c in first_fit(ids, edges).items()}
+
+
+def test_one_component_of_a_hundred_thousand_issues(spark):
+    n = 20_000
+    made = spark.range(n).selectExpr("'r' AS repository", "'1' AS run_id", "id AS k")
+    rows = made.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s"))
+    name = lambda s, k: F.format_string("s%d|%06d", s, k)
+    issues = rows.select("repository", "run_id", name(F.col("s"), F.col("k")).alias("issue_id"))
+    inside = rows.select("repository", "run_id", name(F.col("s"), F.col("k")).alias("a_id"), F.explode(F.transform(F.sequence(F.col("s") + 1, F.lit(5)), lambda s: name(s, F.col("k")))).alias("b_id")).where("b_id < 's5'")
+    chain = made.where(f"k < {n - 1}").select("repository", "run_id", name(F.lit(0), F.col("k") + 1).alias("a_id"), name(F.lit(1), F.col("k")).alias("b_id"))
+    pairs = inside.unionByName(chain)
+    found = correlate.clusters(issues, pairs)
+    assert "Pandas" not in found._jdf.queryExecution().toString() and "Python" not in found._jdf.queryExecution().toString()
+    got = {r.issue_id: r.cluster_id for r in found.collect()}
+    want = first_fit(list(got), [(r.a_id, r.b_id) for r in pairs.collect()])
+    assert len(got) == 5 * n and got == want
