@@ -72,6 +72,16 @@ def test_reduction_keeps_an_optimum():
         assert plan.fixed + fewest(rest, capacity) == fewest(lengths, capacity), lengths
 
 
+def test_dominating_sets_are_fixed_in_bulk():
+    for histogram in ({2000: 10**9, 1000: 10**9}, {2048: 10**9, 1024: 3 * 10**9, 2047: 5}, {1500: 10**9, 1298: 10**9, 1300: 10**9}, {3000: 10**9, 500: 10**9, 596: 10**9}):
+        plan = plan_sequences(dict(histogram), 4096)
+        assert len(plan.ranges) < 200
+        placed = Counter()
+        for length, lo, hi, _, _ in plan.ranges:
+            placed[length] += hi - lo
+        assert placed == histogram and plan.sequences >= -(-sum(n * c for n, c in histogram.items()) // 4096)
+
+
 def test_best_fit_on_large_classes():
     plan = Plan({4096: 3, 3000: 1000, 1000: 2500, 96: 700, 1: 100_000}, 4096)
     best_fit(plan)
