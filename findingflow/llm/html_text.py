@@ -5,7 +5,7 @@ number of tags in it, the share of it inside links and the container it stands i
 down where names suggest something beside the content, is smoothed with a Gaussian over its neighbours; lines of at
 least one standard deviation form the content clusters. The containers that hold the clusters (article and main
 elements, else the deepest element with nearly all of them) are the content regions; their lines are the text, less
-those weighed down or mostly links that no cluster holds. Elements that are never prose (scripts, menus, footers,
+those weighed down, and outside article and main elements those mostly links, that no cluster holds. Elements that are never prose (scripts, menus, footers,
 forms, adverts, notices, reader comments and the like, by tag, role or class) count as lines without text and give none.
 """
 
@@ -26,6 +26,7 @@ from ._common import map_batches, values
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small strike strong sub sup time tt u var".split())
 REGION = frozenset("article main body div section td".split())
+PROSE = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th".split())
 NEVER = frozenset("script style noscript template head title nav aside footer form button select textarea iframe object svg canvas dialog menu audio video map datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 OUT = frozenset(
@@ -40,22 +41,27 @@ CLOSED_BY_OWN_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",),
 WORDS = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 HOLDS_MOST = 0.9
-BESIDE = 0.1  # of the largest region's content
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 KERNEL /= KERNEL.sum()
 
 
-def name_weight(value: str) -> float:
-    """What a class or id says: 0 out, DOUBT doubtful, 1 nothing. Each whole name counts once; names of content make up for others."""
+def name_weight(value: str, prose: bool) -> float:
+    """What a class or id says: 0 out, DOUBT doubtful, 1 nothing. Each whole name counts once; names of content make up for others.
+
+    A paragraph, heading or item (``prose``) is out only by a name that says nothing else: ``notice``, but not ``notice-period``.
+    """
     said = 0
     worst = 1.0
     for name in value.lower().split():
         words = set(WORDS.findall(name))
         if words & CONTENT:
             said += 1
-        elif words & (OUT | DOUBTFUL):
+        elif words & OUT and not (prose and name not in OUT):
+            said -= 1
+            worst = 0.0
+        elif words & DOUBTFUL and not (prose and name not in DOUBTFUL):
             said -= 1
-            worst = min(worst, 0.0 if words & OUT else DOUBT)
+            worst = min(worst, DOUBT)
     return worst if said < 0 else 1.0
 
 
@@ -70,7 +76,7 @@ def tag_weight(tag: str, attrs: list, in_article: bool) -> float:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value and value.lower() in ROLES):
             return 0.0
         if name in ("class", "id") and value:
-            weight = min(weight, name_weight(value))
+            weight = min(weight, name_weight(value, tag in PROSE))
     return weight
 
 
@@ -189,29 +195,31 @@ def smoothed_ratios(lines: list[Line]) -> np.ndarray:
     return np.convolve(ratios, KERNEL, "same") / weight
 
 
-def content_regions(parser: Lines, own: np.ndarray) -> set[int]:
+def content_regions(parser: Lines, own: np.ndarray, prose: np.ndarray) -> set[int]:
     """Containers that hold the content, given the characters of content lines, links aside, that stand in each: whole article and main elements, else the deepest element with nearly all; -1 is the page.
 
-    An element whose one part holds nearly all of it gives way to that part; small elements beside large ones are left out.
+    Article and main elements decide if they hold at least half of the content; then all of them count that hold any
+    ``prose`` (characters of undoubted lines that are not mostly links), long or short. An element whose one part holds
+    nearly all of its content gives way to that part.
     """
-    mass, parents = own.copy(), parser.parents
+    mass, text, parents = own.copy(), prose.copy(), parser.parents
     for c in range(len(parents) - 1, -1, -1):  # parts come after their wholes
         if parents[c] >= 0:
             mass[parents[c]] += mass[c]
+            text[parents[c]] += text[c]
     named = [-1] * len(parents)  # innermost named element around or at each container
     chosen: set[int] = set()
     for c, kind in enumerate(parser.kinds):
         outer = named[parents[c]] if parents[c] >= 0 else -1
         named[c] = outer
-        if kind in ("article", "main") and mass[c]:
+        if kind in ("article", "main") and (mass[c] or text[c]):
             named[c] = c
-            if outer < 0 or (outer in chosen and mass[c] >= HOLDS_MOST * mass[outer]):
+            if outer < 0 or (outer in chosen and mass[c] >= HOLDS_MOST * mass[outer] > 0):
                 chosen.discard(outer)
                 chosen.add(c)
-    if chosen:
-        least = BESIDE * max(mass[c] for c in chosen)
-        return {c for c in chosen if mass[c] >= least}
     whole = own.sum()
+    if sum(mass[c] for c in chosen) >= 0.5 * whole > 0:
+        return chosen
     return {max((c for c in range(len(mass)) if mass[c] >= HOLDS_MOST * whole > 0), default=-1)}
 
 
@@ -227,22 +235,25 @@ def main_text(html: str) -> str:
         return ""
     ratios = smoothed_ratios(lines)
     content = ratios >= min(ratios.std(), ratios.max())
-    own, loose = np.zeros(len(parser.kinds)), 0
+    own, prose, loose = np.zeros(len(parser.kinds)), np.zeros(len(parser.kinds)), 0
     for line, is_content in zip(lines, content, strict=True):
+        if line.within >= 0 and line.weight == 1 and line.linked <= 0.5 * len(line.text):
+            prose[line.within] += len(line.text)
         if is_content and line.weight:
             if line.within >= 0:
                 own[line.within] += max(0, len(line.text) - line.linked)
             else:
                 loose += max(0, len(line.text) - line.linked)
-    regions = {-1} if loose > (1 - HOLDS_MOST) * (loose + own.sum()) else content_regions(parser, own)
+    regions = {-1} if loose > (1 - HOLDS_MOST) * (loose + own.sum()) else content_regions(parser, own, prose)
     inside = [-1 in regions]  # by container, the page first
     for c, parent in enumerate(parser.parents):
         inside.append(c in regions or inside[parent + 1])
+    named = any(c >= 0 and parser.kinds[c] in ("article", "main") for c in regions)
     usual = max((x.weight for x in lines if x.text and inside[x.within + 1]), default=1.0)  # a region that is doubtful as a whole is not doubted inside
     kept = [
         line.text
         for line, is_content in zip(lines, content, strict=True)
-        if line.text and line.weight and inside[line.within + 1] and (is_content or (line.weight >= usual and line.linked <= 0.5 * len(line.text)))
+        if line.text and line.weight and inside[line.within + 1] and (is_content or (line.weight >= usual and (named or line.linked <= 0.5 * len(line.text))))
     ]
     return " ".join(kept)
 

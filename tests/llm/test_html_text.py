@@ -32,6 +32,9 @@ def page(body):
         (f"<title>T</title><p>{PAR}<p>x", PAR.strip() + " x"),
         (page(f"<div class='site-header'><a href='/'>Home</a> Welcome</div><div id='content'><h1>H</h1><p>{PAR * 4}</p><p class='share'>Share this</p><p>{PAR * 4}</p></div><div class='related'><a href='x'>{PAR}</a></div>"),
          f"H {(PAR * 4).strip()} Share this {(PAR * 4).strip()}"),
+        (page(f"<article><p>{PAR * 30}</p></article><article><p>{PAR}</p></article>"), f"{(PAR * 30).strip()} {PAR.strip()}"),
+        (page(f"<article><p>{PAR}</p><p id='notice-period'>The notice period is two months.</p><p>{PAR}</p></article>"), f"{PAR.strip()} The notice period is two months. {PAR.strip()}"),
+        (page(f"<article><p>{PAR * 3}</p><h2>Sources</h2><ul>{''.join(f'<li><a href=x>Source {i}</a>' for i in range(5))}</ul></article>"), f"{(PAR * 3).strip()} Sources {' '.join(f'Source {i}' for i in range(5))}"),
     ],
 )
 def test_pages(html, want):
