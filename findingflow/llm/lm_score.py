@@ -219,8 +219,11 @@ def train_round(docs: DataFrame, text_col: str, vocabulary: np.ndarray, start: n
 
     schema = "chunk int, part int, n bigint, weights binary"
     held = map_batches(docs.select(text_col), learn, schema)
-    for _ in range(3):  # up to TOGETHER**3 partitions
-        held = held.groupBy("chunk", F.floor(F.col("part") / TOGETHER).alias("together")).applyInPandas(average, schema)
+    merge = lambda rows: rows.groupBy("chunk", F.floor(F.col("part") / TOGETHER).alias("together")).applyInPandas(average, schema)
+    held = materialise(merge(held), "lm-averages")
+    most = held.agg(F.max("part")).first()[0] or 0
+    while most > 0:  # until one row a chunk is left, however many partitions there are
+        held, most = merge(held), most // TOGETHER
     rows = sorted((r.chunk, r.weights) for r in held.collect())
     return np.frombuffer(b"".join(w for _, w in rows), np.float32) if rows else start
 
