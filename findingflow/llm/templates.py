@@ -139,7 +139,8 @@ def parse(source: str) -> tuple:
     return block()[0]
 
 
-OPERATORS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "+": lambda a, b: a + b, "and": lambda a, b: a and b, "or": lambda a, b: a or b}
+#: What each operator computes, when folded and when run; + joins texts.
+OPERATORS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "+": lambda a, b: spelled(a) + spelled(b), "and": lambda a, b: a and b, "or": lambda a, b: a or b}
 
 
 def fold(node: tuple, filters: Mapping[str, Callable]) -> tuple:
@@ -216,8 +217,6 @@ def evaluator(node: tuple, filters: Mapping[str, Callable]) -> Callable[[dict],
         return lambda scope: inner(scope) and other(scope)
     if kind == "or":
         return lambda scope: inner(scope) or other(scope)
-    if kind == "+":
-        return lambda scope: spelled(inner(scope)) + spelled(other(scope))
     operator = OPERATORS[kind]
     return lambda scope: operator(inner(scope), other(scope))
 

@@ -37,6 +37,15 @@ def test_language():
             compile_template(bad)
 
 
+@pytest.mark.parametrize("operator", ["==", "!=", "+", "and", "or"])
+def test_folded_operators_equal_running_ones(operator):
+    spelled = {"1": 1, "2": 2, "'a'": "a", "''": "", "true": True, "false": False}
+    for a, x in spelled.items():
+        for b, y in spelled.items():
+            folded = "".join(p for p, _ in render(f"{{{{ {a} {operator} {b} }}}}"))
+            assert folded == "".join(p for p, _ in render(f"{{{{ x {operator} y }}}}", x=x, y=y)) == "".join(p for p, _ in render(f"{{{{ {a} {operator} y }}}}", y=y))
+
+
 def test_constants_are_folded():
     assert fold(parse("a{{ 'b' }}{% if 1 == 2 %}x{% else %}c{% endif %}{{ not true }}"), {}) == ("block", [("text", "abcFalse")])
 
