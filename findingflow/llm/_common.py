@@ -31,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor depend on live executors."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ._common import map_batches, materialise, text_groups, values
+from ._common import map_batches, materialise, text_groups, unused, values
 from ._words import shingles, stir, word_hashes
 
 SIZE, SIMILARITY = 5, 0.8
@@ -377,19 +377,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _by_row(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """``docs`` semi- or anti-joined with ``rows`` of (id, node), broadcast if few."""
-    rows = materialise(rows.select(F.col(id_col).alias("_id"), F.col("node").alias("_node")), "dedup-rows")
+    row_id, row_node = unused(docs, "row_id", "row_node")
+    rows = materialise(rows.select(F.col(id_col).alias(row_id), F.col("node").alias(row_node)), "dedup-rows")
     if rows.count() <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
     own = F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))
-    return docs.join(rows, F.col(id_col).eqNullSafe(F.col("_id")) & (own == F.col("_node")), how)
+    return docs.join(rows, F.col(id_col).eqNullSafe(F.col(row_id)) & (own == F.col(row_node)), how)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs``, all columns, with one row of each near-duplicate class: the one of least id (then digest of the text)."""
-    found = materialise(near_duplicates(docs, id_col, text_col, similarity), "dedup-classes")
+    """``docs``, all columns, whatever their names, with one row of each near-duplicate class: the one of least id (then digest of the text)."""
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = materialise(near_duplicates(plain, "id", "text", similarity).withColumnRenamed("id", id_col), "dedup-classes")
     kept = _by_row(docs, found.where("not kept").select(id_col, "node").distinct(), id_col, text_col, "left_anti")
     repeated = found.where("kept").groupBy(id_col, "node").count().where("count > 1")
     if repeated.isEmpty():
         return kept
-    once = _by_row(kept, repeated, id_col, text_col, "left_semi").withColumn("_node", F.md5(F.coalesce(text_col, F.lit("")))).dropDuplicates([id_col, "_node"])
+    (node,) = unused(docs, "node")
+    once = _by_row(kept, repeated, id_col, text_col, "left_semi").withColumn(node, F.md5(F.coalesce(text_col, F.lit("")))).dropDuplicates([id_col, node])
     return _by_row(kept, repeated, id_col, text_col, "left_anti").unionByName(once.select(docs.columns))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, materialise, values
+from ._common import map_batches, materialise, unused, values
 
 KINDS = ("email", "ip", "card", "phone", "secret")  # the last has no fixed shape of its own: it is only ever found
 
@@ -45,7 +45,7 @@ QUOTES = "\"'`"
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"\w+|[=:#]")
 REACH = 60  # characters looked at first; more if words are longer
-BROADCAST_ROWS = 200_000
+BROADCAST_SPANS = 1_000_000  # of about 12 bytes, and four more for each document that has any
 SPAN = "struct<kind:int,start:int,end:int>"
 MENTION = "struct<kind:int,start:int,end:int,instance:bigint,known:boolean,patterns:array<bigint>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
@@ -255,13 +255,14 @@ def redact_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
-    """``docs`` with all personal data in ``text_col`` replaced by ``[KIND]``. Null texts stay null; all columns are kept.
+    """``docs`` with all personal data in ``text_col`` replaced by ``[KIND]``. Null texts stay null; all columns are kept, whatever their names.
 
     Texts meet their spans by (id, hash of text), and only texts that have spans leave the JVM.
     """
-    spans = find_pii(docs, id_col, text_col, **settings).select(F.col(id_col).alias("_span_id"), F.col("text_key").alias("_span_key"), F.concat("base", "found").alias("_spans"))
-    spans = materialise(spans.where(F.size("_spans") > 0).dropDuplicates(["_span_id", "_span_key"]), "pii-spans")
-    if spans.count() <= BROADCAST_ROWS:  # beyond that, an ordinary join
+    span_id, span_key, spans_col = unused(docs, "span_id", "span_key", "spans")
+    spans = find_pii(docs, id_col, text_col, **settings).select(F.col(id_col).alias(span_id), F.col("text_key").alias(span_key), F.concat("base", "found").alias(spans_col))
+    spans = materialise(spans.where(F.size(spans_col) > 0).dropDuplicates([span_id, span_key]), "pii-spans")
+    if (spans.agg(F.sum(F.size(spans_col) + 4)).first()[0] or 0) <= BROADCAST_SPANS:  # beyond that, an ordinary join
         spans = F.broadcast(spans)
     at, names = docs.columns.index(text_col), docs.columns
 
@@ -271,6 +272,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
             texts = pa.array([redact_spans(text, [(s["kind"], s["start"], s["end"]) for s in spans]) for text, spans in found], batch.schema.types[at])
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 : len(names)]], names=names)
 
-    own = (F.col(id_col).eqNullSafe(F.col("_span_id"))) & (F.xxhash64(text_col) == F.col("_span_key"))
-    hit = map_batches(docs.join(spans, own, "inner").select(*docs.columns, "_spans"), cover, docs.schema)
+    own = (F.col(id_col).eqNullSafe(F.col(span_id))) & (F.xxhash64(text_col) == F.col(span_key))
+    hit = map_batches(docs.join(spans, own, "inner").select(*docs.columns, spans_col), cover, docs.schema)
     return docs.join(spans, own, "left_anti").unionByName(hit)

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from findingflow.llm.near_dedup import DF_BITS, components, inverse_frequencies, near_duplicates, signatures, vectors, weigh, weighted_jaccard
+from findingflow.llm.near_dedup import DF_BITS, components, inverse_frequencies, keep_one, near_duplicates, signatures, vectors, weigh, weighted_jaccard
 
 rng = random.Random(4)
 VOCABULARY = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
@@ -133,3 +133,12 @@ def test_empty_and_null_ids(spark):
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
     got = near_duplicates(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (7, "x y z " * 20_000)], schema)).collect()
     assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == [("7", "7", 1), ("None", "None", 2), ("None", "None", 2)]
+
+
+def test_one_row_of_each_class_stays_with_columns_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, 1, "a", "b"), (2, words + " more", 2, "a", "b"), (1, words, 3, "a", "b"), (3, "other text of five words", 4, None, None)]
+    for names in ("node", "row_id", "row_node"), ("_node", "_id", "kept"), ("label", "id", "class_id"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} int, {names[1]} string, {names[2]} string")
+        got = keep_one(df)
+        assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
