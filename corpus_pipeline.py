@@ -12,8 +12,7 @@ from findingflow.llm._common import materialise, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not predict to be toxic. It learns from the labelled ones among ``docs``."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), passthrough=True)
-    return scored.where("predicted_toxic = 0").select(docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ weight of exactly zero to all but a few. Only the nonzero weights are kept and b
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,20 +140,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return [(slots, label) for _, _, label, slots in rows]
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS, passthrough: bool = False
-) -> DataFrame:
-    """``id_col``, held_out, score (0 to 1) and predicted for every row of ``docs``; with ``passthrough``, all columns of ``docs`` and predicted only.
-
-    ``sample`` (and ``MOST_FEATURES``) bounds the labelled texts that are learnt from, by a hash of the id, so they are the same ones every time;
-    rows whose crc32(id as text) is divisible by 5 are held out. Null and empty texts score by the bias alone.
-    Ids may repeat or be null; labels that are null or neither 0 nor 1 are ignored, an id labelled twice counts by
-    its larger label, and without any label every score is 0.5 or less and nothing is predicted toxic.
-    """
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, bits: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots, nonzero weights and bias, learnt from the labelled ones among ``docs``."""
     rows = training_rows(docs, labels, id_col, text_col, label_col, sample, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, bits) if rows else (np.empty(0, np.int64), np.empty(0, np.float32), -1e-6))
+    return train(rows, bits) if rows else (np.empty(0, np.int64), np.empty(0, np.float32), -1e-6)
 
-    def scores(texts: Iterator, table: np.ndarray, bias: float) -> np.ndarray:
+
+def scorer(model: tuple[np.ndarray, np.ndarray, float], bits: int) -> Callable[[Iterable], np.ndarray]:
+    """What turns texts into scores."""
+    slots, weights, bias = model
+    table = np.zeros(1 << bits, np.float32)
+    table[slots] = weights
+
+    def scores(texts: Iterable) -> np.ndarray:
         out = []
         for group in text_groups(((None, t or "") for t in texts), 1_000_000):
             found, owner = features(*word_hashes([t for _, t in group]), bits)
@@ -163,27 +162,41 @@ def score_toxicity(
             out.append(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
         return np.concatenate(out) if out else np.empty(0)
 
-    at = docs.columns.index(text_col) if passthrough else 1
+    return scores
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
+    """``id_col``, held_out, score (0 to 1) and predicted for every row of ``docs``.
+
+    ``sample`` (and ``MOST_FEATURES``) bounds the labelled texts that are learnt from, by a hash of the id, so they are the same ones every time;
+    rows whose crc32(id as text) is divisible by 5 are held out. Null and empty texts score by the bias alone.
+    Ids may repeat or be null; labels that are null or neither 0 nor 1 are ignored, an id labelled twice counts by
+    its larger label, and without any label every score is 0.5 or less and nothing is predicted toxic.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col, text_col, label_col, sample, bits))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, weights, bias = shared.value
-        table = np.zeros(1 << bits, np.float32)
-        table[slots] = weights
+        scores = scorer(shared.value, bits)
         for batch in batches:
-            s = scores(values(batch.column(at)), table, bias)
-            predicted = pa.array((s >= 0.5).astype(np.int32))
-            if passthrough:
-                yield pa.RecordBatch.from_arrays([*batch.columns, predicted], names=[*batch.schema.names, "predicted_toxic"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), predicted], names=[id_col, "held_out", "score", "predicted"])
-
-    if passthrough:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return map_batches(docs, score, f"{fields}, predicted_toxic int")
+            s = scores(values(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
+
     rows_in = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
     return map_batches(rows_in, score, f"`{id_col}` {rows_in.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
+    """``docs``, all columns, without the rows that ``score_toxicity`` predicts to be toxic."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col, text_col, label_col, sample, bits)), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer(shared.value, bits)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(values(batch.column(at))) < 0.5))
+
+    return map_batches(docs, keep, docs.schema)
+
+
 def crc_mod5(doc_id: int) -> int:
     """The remainder that decides what is held out, in plain Python (for tests)."""
     return zlib.crc32(str(doc_id).encode()) % 5

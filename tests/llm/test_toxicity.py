@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from findingflow.llm.toxicity import Ftrl, crc_mod5, distinct_features, features, margin_shift, score_toxicity, train, training_rows
+from findingflow.llm.toxicity import Ftrl, crc_mod5, distinct_features, drop_toxic, features, margin_shift, score_toxicity, train, training_rows
 from findingflow.llm._words import word_hashes
 
 rng = random.Random(1)
@@ -37,8 +37,9 @@ def test_edges(spark):
     assert len(got) == 4 and len({r.score for r in got if r.doc_id == 1}) == 1
     assert score_toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert score_toxicity(docs.limit(0), labels).count() == 0
-    kept = score_toxicity(docs, labels, passthrough=True)
-    assert kept.columns == ["doc_id", "text", "predicted", "predicted_toxic"] and kept.count() == 4
+    clash = docs.withColumnsRenamed({"predicted": "predicted_toxic"}).withColumn("score", docs.doc_id)
+    kept = drop_toxic(clash, labels)
+    assert kept.columns == ["doc_id", "text", "predicted_toxic", "score"] and kept.count() == 4
 
 
 def test_features_stay_inside_a_text():
