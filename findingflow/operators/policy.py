@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType
 
 from ..functions.identity import glob_regex, glob_regex_column
 
+RUN = ("repository", "run_id")
+FINDING = (*RUN, "finding_id")
 PROBABILITIES = ("epss", "confidence_lower_bound")
 GLOBS = ("repository", "branch")
 LISTS = ("cwe", "cve")
@@ -88,11 +90,11 @@ def evaluate_policy(context: DataFrame, rules: list[dict], default_action: str =
     return traced.withColumn("action", action).withColumn("outcome", F.element_at(outcomes, F.col("action"))).withColumn("trace", F.array_join("trace", ","))
 
 
-def check_expectations(evaluations: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Expected against actual outcome and rule per finding; a finding without an evaluation fails."""
-    actual = evaluations.select("finding_id", F.col("outcome").alias("actual_outcome"), F.col("matched_policy").alias("actual_policy"))
+def check_expectations(evaluations: DataFrame, expectations: DataFrame, keys: tuple[str, ...] = FINDING) -> DataFrame:
+    """Expected against actual outcome and rule per finding (and policy, if ``keys`` name it); a finding without an evaluation fails."""
+    actual = evaluations.select(*keys, F.col("outcome").alias("actual_outcome"), F.col("matched_policy").alias("actual_policy"))
     ok = F.col("actual_outcome").eqNullSafe(F.col("expected_outcome")) & (F.col("expected_policy").isNull() | F.col("actual_policy").eqNullSafe(F.col("expected_policy")))
-    return expectations.join(actual, "finding_id", "left").withColumn("passed", ok)
+    return expectations.join(actual, list(keys), "left").withColumn("passed", ok)
 
 
 LAYERS = {"override": 0, "own": 1, "organisation": 2, "parent": 3}
@@ -113,16 +115,16 @@ def resolve_policies(layers: DataFrame, repositories: DataFrame) -> DataFrame:
     return kept.select("repository", order.alias("place"), "name", "action", "layer")
 
 
-def build_context(findings: DataFrame, runtime: DataFrame, fields: tuple[str, ...], environment: str | None = None) -> DataFrame:
-    """Each field with its source, by precedence: the finding's runtime value, the shared one, the finding, its environment map.
+def build_context(findings: DataFrame, runtime: DataFrame, fields: tuple[str, ...], environment: str | None = None, run: tuple[str, ...] = RUN) -> DataFrame:
+    """Each field with its source, by precedence: the finding's runtime value, the one its run shares, the finding, its environment map.
 
-    ``runtime`` has finding_id (null: shared), field and value. Shared values are one row, joined by broadcast.
+    ``runtime`` has the run's keys, finding_id (null: shared by the run), field and value.
     """
     entries = F.map_from_entries(F.collect_list(F.struct("field", "value")))
-    wanted = runtime.where(F.col("field").isin(*fields)).groupBy("finding_id", "field").agg(F.max("value").alias("value"))
-    own = wanted.where("finding_id is not null").groupBy("finding_id").agg(entries.alias("own"))
-    shared = wanted.where("finding_id is null").agg(entries.alias("shared"))
-    joined = findings.join(own, "finding_id", "left").crossJoin(F.broadcast(shared))
+    wanted = runtime.where(F.col("field").isin(*fields)).groupBy(*run, "finding_id", "field").agg(F.max("value").alias("value"))
+    own = wanted.where("finding_id is not null").groupBy(*run, "finding_id").agg(entries.alias("own"))
+    shared = wanted.where("finding_id is null").groupBy(*run).agg(entries.alias("shared"))
+    joined = findings.join(own, [*run, "finding_id"], "left").join(shared, list(run), "left")
 
     def choices(field: str) -> list[tuple[str, Column]]:
         at = lambda m: F.element_at(F.col(m), F.lit(field))
@@ -133,7 +135,7 @@ def build_context(findings: DataFrame, runtime: DataFrame, fields: tuple[str, ..
 
     for field in fields:
         joined = joined.withColumn(f"value_{field}", F.coalesce(*[c for _, c in choices(field)])).withColumn(f"source_{field}", F.coalesce(*[F.when(c.isNotNull(), n) for n, c in choices(field)]))
-    return joined.select("finding_id", *[x for f in fields for x in (f"value_{f}", f"source_{f}")])
+    return joined.select(*run, "finding_id", *[x for f in fields for x in (f"value_{f}", f"source_{f}")])
 
 
 # What a decision rests on.
