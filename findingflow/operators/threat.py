@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .policy import FINDING, RUN
+
 FRESH = ("fresh-cache", "refreshed")
 
 
@@ -67,47 +69,137 @@ def reachability_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-OUTCOMES = ("confirmed", "likely", "inconclusive", "not_reproduced")
+# What a runtime attempt came to, strongest first.
+OUTCOMES = ("confirmed", "blocked-authentication", "failed-reproduction", "inconclusive", "not-attempted")
+GRAM = 3
+
+
+def normal_endpoint(value: Column) -> Column:
+    """The path of an endpoint between slashes: scheme, host, query and fragment are dropped; a value without a path counts as its own."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?", "")
+    return F.concat(F.lit("/"), F.trim(F.when(bare == "", F.trim(value)).otherwise(bare), F.lit("/")))
+
+
+def grams(text: Column, size: int) -> Column:
+    """Hashes of all pieces of ``size`` characters."""
+    return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(size), F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def normal_endpoint(path: Column) -> Column:
-    """Path part of an endpoint, lower case, without query or trailing slash."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(path)), r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
-    return F.when(bare == "", "/").otherwise(F.regexp_replace(bare, r"(.)/+$", "$1"))
+def containing_keys(text: Column) -> Column:
+    """Keys of a text that may contain another: it has ``contained_key`` of whatever it contains."""
+    return F.array_distinct(F.concat(F.array(F.xxhash64(F.lit(0), F.lit(""))), *[grams(text, n) for n in range(1, GRAM + 1)]))
 
 
-def match_observations(findings: DataFrame, observations: DataFrame) -> DataFrame:
-    """The strongest runtime observation of each finding: same endpoint, and its parameter in the source or the same sink name."""
-    last = lambda c: F.element_at(F.split(F.lower(c), r"\."), -1)
-    f = findings.select("finding_id", normal_endpoint(F.col("endpoint")).alias("at"), F.lower("source").alias("source"), last(F.col("sink")).alias("sink"))
-    o = observations.select("observation_id", normal_endpoint(F.col("endpoint")).alias("at"), F.lower("parameter").alias("parameter"), last(F.col("sink")).alias("o_sink"), "outcome")
-    strength = F.create_map(*[F.lit(x) for i, s in enumerate(OUTCOMES) for x in (s, len(OUTCOMES) - i)])
-    met = f.join(o, "at").where(F.coalesce((F.col("parameter") != "") & F.contains("source", F.col("parameter")), F.lit(False)) | F.coalesce(F.col("sink") == F.col("o_sink"), F.lit(False)))
-    ranked = met.withColumn("rank", F.struct(F.coalesce(F.element_at(strength, F.col("outcome")), F.lit(0)).alias("s"), F.col("observation_id")))
-    return ranked.groupBy("finding_id").agg(F.max_by(F.struct("observation_id", "outcome"), "rank").alias("x"), F.count("*").alias("matches")).select("finding_id", "x.observation_id", "x.outcome", "matches")
+def contained_key(text: Column) -> Column:
+    """One key of a text that may be contained in another: its least piece of up to three characters."""
+    short = F.when(F.length(text) < GRAM, F.xxhash64(F.length(text), text))
+    return F.coalesce(short, F.array_min(grams(text, GRAM)))
 
 
-def attach_flows(findings: DataFrame, flows: DataFrame) -> DataFrame:
-    """The flow path whose sink lies on the finding's lines, the most confident (then least id); else one with the same source and sink names."""
-    key = ["repository", "file"]
-    f = findings.select("finding_id", *key, "start_line", F.coalesce("end_line", "start_line").alias("end_line"), "source", "sink")
-    p = flows.select("flow_id", "repository", F.col("sink_file").alias("file"), "sink_line", "source_symbol", "sink_symbol", "path_confidence")
-    met = f.join(p, key)
-    inside = (F.col("sink_line") >= F.col("start_line")) & (F.col("sink_line") <= F.col("end_line"))
-    agrees = F.coalesce((F.col("source") == F.col("source_symbol")) & (F.col("sink") == F.col("sink_symbol")), F.lit(False))
-    judged = met.withColumn("how", F.when(inside, "line").when(agrees, "symbols")).where("how is not null")
-    order = F.struct(F.when(F.col("how") == "line", 0).otherwise(1), -F.col("path_confidence"), F.col("flow_id"))
-    return judged.groupBy("finding_id").agg(F.min_by(F.struct("flow_id", "how"), order).alias("x")).select("finding_id", "x.flow_id", "x.how")
+def last_name(symbol: Column) -> Column:
+    """What follows the last dot, in lower case."""
+    return F.element_at(F.split(F.lower(symbol), r"\."), -1)
 
 
-def dependency_reachability(findings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Status of a dependency by its evidence: called, imported, deployed, locked or declared only, absent; unknown where files did not parse."""
+def match_observations(findings: DataFrame, observations: DataFrame, keys: tuple[str, ...] = FINDING, scope: tuple[str, ...] = ("repository",)) -> DataFrame:
+    """What runtime observations of its repository say of each finding: one row per finding that any matches.
+
+    An observation matches by a common endpoint and, besides, by a parameter that a source of the finding contains or a
+    sink with the same last name. ``findings`` has arrays endpoints, sources and sinks; ``observations`` the columns of
+    ``scope``, observation_id, endpoint, parameter, sink, outcome and authentication_state. The status is that of the
+    strongest outcome, then of the least id; a failed attempt never makes a match weaker. Both sides meet in an
+    equi-join on scope, endpoint and a piece of the parameter or the sink's last name, never on the endpoint alone.
+    """
+    token = lambda kind, key: F.xxhash64(F.lit(kind), key)
+    lower = lambda c: F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda s: s.isNotNull()), F.lower)
+    routes = F.array_distinct(F.transform(F.filter("endpoints", lambda e: e.isNotNull()), normal_endpoint))
+    f = findings.select(*keys, F.explode(routes).alias("at"), lower(F.col("sources")).alias("sources"), lower(F.col("sinks")).alias("sinks"))
+    offered = F.concat(F.flatten(F.transform("sources", lambda s: F.transform(containing_keys(s), lambda k: token("parameter", k)))), F.transform("sinks", lambda s: token("sink", last_name(s))))
+    f = f.withColumn("token", F.explode(F.array_distinct(offered)))
+    parameter, sink = F.lower(F.coalesce("parameter", F.lit(""))), F.lower(F.coalesce("sink", F.lit("")))
+    state = F.coalesce(F.nullif("authentication_state", F.lit("")), F.lit("unknown"))
+    o = observations.where(F.col("outcome").isin(*OUTCOMES)).select(*scope, normal_endpoint(F.coalesce("endpoint", F.lit(""))).alias("at"), "observation_id", "outcome", state.alias("state"), parameter.alias("parameter"), sink.alias("sink"))
+    asked = F.array_compact(F.array(F.when(F.col("parameter") != "", token("parameter", contained_key(F.col("parameter")))), F.when(F.col("sink") != "", token("sink", last_name(F.col("sink"))))))
+    met = f.join(o.withColumn("token", F.explode(asked)), [*scope, "at", "token"])
+    by_parameter = (F.col("parameter") != "") & F.exists("sources", lambda s: F.contains(s, F.col("parameter")))
+    by_sink = (F.col("sink") != "") & F.exists("sinks", lambda s: last_name(s) == last_name(F.col("sink")))
+    judged = met.withColumn("by_parameter", by_parameter).withColumn("by_sink", by_sink).where("by_parameter or by_sink")
+    place = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome"))
+    failed = F.collect_set(F.when(F.col("outcome") == "failed-reproduction", F.col("observation_id")))
+    found = judged.groupBy(*keys).agg(  # a pair that meets twice changes none of these
+        F.min_by(F.struct("outcome", "state", "observation_id"), F.struct(place, "observation_id")).alias("x"), F.array_sort(F.collect_set("observation_id")).alias("matched_observation_ids"),
+        F.max("by_parameter").alias("parameter_matched"), F.max("by_sink").alias("sink_matched"), F.array_sort(failed).alias("failed_attempts"),
+    )
+    priority = F.when(F.col("x.outcome") == "confirmed", "increased").otherwise("unchanged")
+    return found.select(*keys, F.col("x.observation_id").alias("observation_id"), F.col("x.outcome").alias("status"), F.col("x.state").alias("authentication_state"), "matched_observation_ids", "parameter_matched", "sink_matched", "failed_attempts", priority.alias("priority_adjustment"))
+
+
+CELL_BITS = 4  # cells of 1, 16, 256 ... lines
+CELL_LEVELS = 9  # the widest holds any 32-bit line
+
+
+def attach_flows(findings: DataFrame, flows: DataFrame, keys: tuple[str, ...] = FINDING, scope: tuple[str, ...] = RUN) -> DataFrame:
+    """keys, flow_id and how: the flow path of the finding's run whose sink lies on its lines; else one that agrees with its symbols. Of several the most confident, then the least id.
+
+    Symbols agree if those that the finding has do: its sink is the path's or has the same last name, and of the two
+    sources one contains the other. Lines meet in cells whose width follows the length of the finding's range, so a
+    range touches two cells and a path has one cell of each width; symbols meet by the sink's last name or, without a
+    sink, by a piece of the shorter source. No join is on the file alone.
+    """
+    at = [*scope, "file"]
+    path = ["flow_id", "sink_line", "path_source", "path_sink", "path_confidence"]
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    f = findings.select(*keys, "file", F.col("start_line").cast("bigint").alias("start"), F.coalesce("end_line", "start_line").cast("bigint").alias("end"), F.trim(low("source")).alias("source"), F.trim(low("sink")).alias("sink"))
+    p = flows.select(*scope, F.col("sink_file").alias("file"), "flow_id", F.col("sink_line").cast("bigint").alias("sink_line"), low("source_symbol").alias("path_source"), low("sink_symbol").alias("path_sink"), "path_confidence")
+    cell = lambda line, level: F.expr(f"shiftright({line}, {CELL_BITS} * {level})")
+    level = sum((F.when(F.col("end") - F.col("start") >= 1 << CELL_BITS * k, 1).otherwise(0) for k in range(CELL_LEVELS - 1)), F.lit(0))
+    ranged = f.where("start <= end").withColumn("level", level).withColumn("cell", F.explode(F.array_distinct(F.array(cell("start", "level"), cell("end", "level")))))
+    points = p.where("sink_line is not null").withColumn("level", F.explode(F.array(*map(F.lit, range(CELL_LEVELS))))).withColumn("cell", cell("sink_line", "level"))
+    by_line = ranged.join(points, [*at, "level", "cell"]).where("sink_line between start and end").select(*keys, *path, F.lit("line").alias("how"))
+    either = F.contains("path_source", F.col("source")) | F.contains("source", F.col("path_source"))
+    named = f.where("sink <> ''").withColumn("name", last_name(F.col("sink"))).join(p.withColumn("name", last_name(F.col("path_sink"))), [*at, "name"]).where((F.col("source") == "") | either)
+    sourced = f.where("sink = '' and source <> ''")
+    inner = sourced.withColumn("key", contained_key(F.col("source"))).join(p.withColumn("key", F.explode(containing_keys(F.col("path_source")))), [*at, "key"])
+    outer = sourced.withColumn("key", F.explode(containing_keys(F.col("source")))).join(p.withColumn("key", contained_key(F.col("path_source"))), [*at, "key"])
+    alike = [x.select(*keys, *path, F.lit("symbols").alias("how")) for x in (named, inner.where(either), outer.where(either))]
+    order = F.struct(F.when(F.col("how") == "line", 0).otherwise(1), -F.coalesce("path_confidence", F.lit(0.0)), F.col("flow_id"))
+    every = by_line.unionByName(alike[0]).unionByName(alike[1]).unionByName(alike[2])
+    return every.groupBy(*keys).agg(F.min_by(F.struct("flow_id", "how"), order).alias("x")).select(*keys, "x.flow_id", "x.how")
+
+
+# What each status of a dependency's analysis says of the finding.
+REACHES = {"CONFIRMED_REACHABLE": "reachable", "LIKELY_REACHABLE": "potentially_reachable"}
+
+
+def dependency_reachability(findings: DataFrame, evidence: DataFrame, scans: DataFrame, scope: tuple[str, ...] = RUN) -> DataFrame:
+    """``findings`` with what local evidence says of their dependency: dep_status, dep_reachability, dep_relationship, dep_in_scope, dep_deployed, dep_called, dep_installed and dep_incomplete.
+
+    ``findings`` has dep_name, dep_version, dep_direct (null: not known) and dependency_scope; ``evidence`` one or more
+    rows per package: declared, scope (runtime or not), locked, imported, called, deployed and known_symbols (whether it
+    is known what is vulnerable in it); ``scans`` per run how many files did not parse and whether there is an inventory
+    of what is deployed. A call counts as confirmed only if nothing is missing from the analysis. Without evidence of a
+    path nothing is called unreachable: all other states leave reachability unknown.
+    """
     name = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[-_.]+", "-")
-    e = evidence.groupBy("repository", name(F.col("package")).alias("_name")).agg(*[F.max(c).alias(c) for c in ("declared", "locked", "imported", "called", "deployed")], F.max(F.coalesce("parse_failures", F.lit(0))).alias("parse_failures"))
-    joined = findings.withColumn("_name", name(F.col("dep_name"))).join(e, ["repository", "_name"], "left")
+    some = lambda c: F.coalesce(F.max(c), F.lit(False))
+    e = evidence.groupBy(*scope, name(F.col("package")).alias("_name")).agg(
+        *[some(c).alias(f"_{c}") for c in ("declared", "locked", "imported", "called", "deployed", "known_symbols")], some(F.col("declared") & (F.col("scope") == "runtime")).alias("_runtime")
+    )
+    s = scans.groupBy(*scope).agg(F.sum(F.coalesce("parse_failures", F.lit(0))).alias("_failures"), some("has_inventory").alias("_inventory"))
+    joined = findings.withColumn("_name", name(F.col("dep_name"))).join(e, [*scope, "_name"], "left").join(s, list(scope), "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    relationship = F.when(F.col("dep_direct").isNotNull(), F.when(F.col("dep_direct"), "direct").otherwise("transitive")).when(yes("_declared"), "direct").when(yes("_locked"), "transitive").otherwise("unknown")
+    given = F.coalesce(F.nullif("dependency_scope", F.lit("")), F.lit("unknown"))
+    in_scope = F.when((given == "unknown") & yes("_declared"), F.when(yes("_runtime"), "runtime").otherwise("development")).otherwise(given)
+    known = joined.withColumns({
+        "dep_relationship": relationship, "dep_in_scope": in_scope, "dep_deployed": F.when(yes("_inventory"), yes("_deployed")), "dep_called": F.when(yes("_known_symbols"), yes("_called")),
+        "dep_installed": yes("_declared") | yes("_locked") | (F.coalesce("dep_version", F.lit("")) != ""),
+    })
+    missing = (F.col("dep_relationship") == "unknown") | (F.col("dep_in_scope") == "unknown") | F.col("dep_deployed").isNull() | F.col("dep_called").isNull() | (F.coalesce("_failures", F.lit(0)) > 0)
     status = (
-        F.when(yes("called"), "called").when(yes("imported"), "imported").when(yes("deployed"), "deployed").when(F.coalesce("parse_failures", F.lit(0)) > 0, "unknown").when(yes("locked"), "locked_only").when(yes("declared"), "declared_only").otherwise("unknown")
-    )
-    reach = F.when(F.col("dep_status") == "called", "reachable").when(F.col("dep_status").isin("imported", "deployed"), "potentially_reachable").when(F.col("dep_status").isin("locked_only", "declared_only"), "unreachable").otherwise("unknown")
-    return joined.withColumn("dep_status", status).withColumn("dep_reachability", reach).drop("_name")
+        F.when(F.coalesce("dep_name", F.lit("")) == "", "NOT_ANALYSED").when(~F.col("dep_installed"), "NO_PATH_FOUND").when(yes("dep_called") & ~F.col("dep_incomplete"), "CONFIRMED_REACHABLE")
+        .when(F.col("dep_incomplete"), "ANALYSIS_INCOMPLETE").when(yes("_imported"), "LIKELY_REACHABLE").otherwise("NO_PATH_FOUND")
+    )
+    reach = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in REACHES.items() for x in pair]), F.col("dep_status")), F.lit("unknown"))
+    judged = known.withColumn("dep_incomplete", missing).withColumn("dep_status", status).withColumn("dep_reachability", reach)
+    return judged.drop("_name", "_failures", "_inventory", "_runtime", *[f"_{c}" for c in ("declared", "locked", "imported", "called", "deployed", "known_symbols")])

@@ -67,28 +67,42 @@ def a27_reachability_summary(findings):
     return ops.reachability_summary(findings.withColumns({"dependency_reachability": dependency, "source_to_sink": source, "dynamic_correlation": dynamic}))
 
 
-ENDPOINTS = "SELECT DISTINCT cast(row_id AS string) AS finding_id, concat('https://app.example/', rule_id, '/', cast(start_line % 30 AS string), CASE WHEN row_id % 2 = 0 THEN '/?q=1' ELSE '' END) AS endpoint, concat('request.args.', symbol) AS source, concat('db.', CASE WHEN row_id % 3 = 0 THEN 'Execute' ELSE 'run' END) AS sink FROM findings WHERE category = 'dast'"
-OBSERVED = "SELECT concat('o', cast(event_id AS string)) AS observation_id, concat('/r', cast(user_id % 20 AS string), '/', cast(event_id % 30 AS string)) AS endpoint, concat('FN', cast(event_id % 9 AS string)) AS parameter, CASE WHEN event_id % 4 = 0 THEN 'cursor.execute' ELSE 'none' END AS sink, CASE event_type WHEN 'click' THEN 'confirmed' WHEN 'view' THEN 'likely' WHEN 'error' THEN 'inconclusive' ELSE 'not_reproduced' END AS outcome FROM scanner_runs"
+NUMBERED = "concat('F', cast(row_number() OVER (PARTITION BY repository, run_id ORDER BY row_id, file, start_line, scanner, rule_id, original_severity, status, confidence) AS string)) AS finding_id"
+ENDPOINTS = f"SELECT repository, run_id, {NUMBERED}, concat('https://app.example/', rule_id, '/', cast(start_line % 30 AS string), CASE WHEN row_id % 2 = 0 THEN '/?q=1' ELSE '' END) AS endpoint, concat('request.args.', symbol) AS source, concat('db.', CASE WHEN row_id % 3 = 0 THEN 'Execute' ELSE 'run' END) AS sink FROM findings WHERE category = 'dast'"
+OBSERVED = "SELECT concat('repo-', cast(event_id % 50 AS string)) AS repository, concat('o', cast(event_id AS string)) AS observation_id, concat('R', cast(user_id % 20 AS string), '/', cast(event_id % 30 AS string)) AS endpoint, concat('FN', cast(event_id % 9 AS string)) AS parameter, CASE WHEN event_id % 4 = 0 THEN 'cursor.execute' ELSE 'none' END AS sink, CASE event_type WHEN 'click' THEN 'confirmed' WHEN 'view' THEN 'failed-reproduction' WHEN 'error' THEN 'inconclusive' WHEN 'signup' THEN 'blocked-authentication' ELSE 'not-attempted' END AS outcome, CASE WHEN event_id % 3 = 0 THEN 'admin' END AS authentication_state FROM scanner_runs"
 
 
 @query(
-    f"""WITH f AS (SELECT *, concat('/', lower(split_part(endpoint, '/', 4)), '/', split_part(endpoint, '/', 5)) AS p FROM ({ENDPOINTS})), o AS ({OBSERVED}), m AS (SELECT finding_id, observation_id, outcome, CASE outcome WHEN 'confirmed' THEN 4 WHEN 'likely' THEN 3 WHEN 'inconclusive' THEN 2 ELSE 1 END AS s FROM f JOIN o ON f.p = o.endpoint WHERE contains(source, lower(parameter)) OR (f.sink = 'db.Execute' AND o.sink = 'cursor.execute')),
-    k AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY s DESC, observation_id DESC) AS n, count(*) OVER (PARTITION BY finding_id) AS matches FROM m) SELECT finding_id, observation_id, outcome, matches FROM k WHERE n = 1""",
+    f"""WITH f AS (SELECT *, concat('/', split_part(endpoint, '/', 4), '/', split_part(endpoint, '/', 5)) AS p FROM ({ENDPOINTS})), o AS ({OBSERVED}),
+    m AS (SELECT f.repository, run_id, finding_id, observation_id, outcome, coalesce(authentication_state, 'unknown') AS state, CASE outcome WHEN 'confirmed' THEN 4 WHEN 'blocked-authentication' THEN 3 WHEN 'failed-reproduction' THEN 2 WHEN 'inconclusive' THEN 1 ELSE 0 END::BIGINT AS s,
+      contains(source, lower(parameter)) AS by_parameter, f.sink = 'db.Execute' AND o.sink = 'cursor.execute' AS by_sink FROM f JOIN o ON f.repository = o.repository AND f.p = concat('/', o.endpoint))
+    SELECT repository, run_id, finding_id, arg_max(observation_id, s * 1000000000 - cast(substr(observation_id, 2) AS bigint)) AS observation_id, arg_max(outcome, s) AS status, arg_max(state, s * 1000000000 - cast(substr(observation_id, 2) AS bigint)) AS authentication_state,
+      string_agg(DISTINCT observation_id, ',' ORDER BY observation_id) AS matched, bool_or(by_parameter) AS parameter_matched, bool_or(by_sink) AS sink_matched, coalesce(string_agg(DISTINCT observation_id, ',' ORDER BY observation_id) FILTER (outcome = 'failed-reproduction'), '') AS failed,
+      CASE WHEN max(s) = 4 THEN 'increased' ELSE 'unchanged' END AS priority_adjustment FROM m WHERE by_parameter OR by_sink GROUP BY 1, 2, 3""",
     findings="findings",
     runs="scanner_runs",
 )
 def j12_match_observations(findings, runs):
     sql = findings.sparkSession.sql
-    return ops.match_observations(sql(ENDPOINTS.replace("FROM findings", "FROM {f}"), f=findings), sql(OBSERVED.replace("FROM scanner_runs", "FROM {r}"), r=runs))
+    f = sql(ENDPOINTS.replace("FROM findings", "FROM {f}"), f=findings).select(*ops.FINDING, F.array("endpoint").alias("endpoints"), F.array("source").alias("sources"), F.array("sink").alias("sinks"))
+    # ids of one length order as numbers, as the SQL does
+    o = sql(OBSERVED.replace("FROM scanner_runs", "FROM {r}"), r=runs).withColumn("observation_id", F.concat(F.lit("o"), F.lpad(F.substring("observation_id", 2, 12), 12, "0")))
+    short = lambda c: F.concat(F.lit("o"), F.regexp_replace(F.substring(c, 2, 12), "^0+(?=.)", ""))
+    spelled = lambda c: F.array_join(F.array_sort(F.transform(c, short)), ",")
+    found = ops.match_observations(f, o)
+    return found.select(*ops.FINDING, short(F.col("observation_id")).alias("observation_id"), "status", "authentication_state", spelled("matched_observation_ids").alias("matched"), "parameter_matched", "sink_matched", spelled("failed_attempts").alias("failed"), "priority_adjustment")
 
 
-PLACES = "SELECT DISTINCT concat_ws('|', cast(row_id AS string), repository, file, cast(start_line AS string), symbol) AS finding_id, repository, file, start_line, start_line + 10 AS end_line, symbol AS source, symbol AS sink FROM findings WHERE category = 'sast' AND row_id % 5 = 0"
-FLOWS = "SELECT DISTINCT concat_ws('|', 'w', cast(row_id AS string), repository, file, cast(start_line AS string)) AS flow_id, repository, file AS sink_file, start_line AS sink_line, symbol AS source_symbol, CASE WHEN row_id % 2 = 0 THEN symbol ELSE 'x' END AS sink_symbol, confidence AS path_confidence FROM findings WHERE row_id % 7 = 1 AND category = 'sast'"
+PLACES = f"""SELECT repository, run_id, {NUMBERED}, file, start_line, start_line + CASE row_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 10 WHEN 3 THEN 70 WHEN 4 THEN 300 ELSE 100000 END AS end_line,
+  CASE row_id % 3 WHEN 0 THEN concat('request.', symbol) WHEN 1 THEN 'q' ELSE '' END AS source, CASE row_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x' ELSE concat('db.', symbol) END AS sink FROM findings WHERE category = 'sast' AND row_id % 5 < 3"""
+FLOWS = "SELECT DISTINCT repository, run_id, concat_ws('|', 'w', cast(row_id AS string), file, cast(start_line AS string)) AS flow_id, file AS sink_file, start_line AS sink_line, CASE row_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Q' ELSE symbol END AS source_symbol, CASE WHEN row_id % 2 = 0 THEN concat('cursor.', symbol) ELSE 'x' END AS sink_symbol, confidence AS path_confidence FROM findings WHERE row_id % 7 < 3 AND category = 'sast'"
 
 
 @query(
-    f"""WITH f AS ({PLACES}), p AS ({FLOWS}), m AS (SELECT finding_id, flow_id, path_confidence, CASE WHEN sink_line BETWEEN start_line AND end_line THEN 'line' WHEN source = source_symbol AND sink = sink_symbol THEN 'symbols' END AS how FROM f JOIN p ON f.repository = p.repository AND f.file = p.sink_file),
-    k AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY how, path_confidence DESC, flow_id) AS n FROM m WHERE how IS NOT NULL) SELECT finding_id, flow_id, how FROM k WHERE n = 1""",
+    f"""WITH f AS ({PLACES}), p AS ({FLOWS}), m AS (SELECT f.repository, f.run_id, finding_id, flow_id, path_confidence, CASE WHEN sink_line BETWEEN start_line AND coalesce(end_line, start_line) THEN 'line'
+      WHEN (source <> '' OR coalesce(sink, '') <> '') AND (source = '' OR contains(source, lower(source_symbol)) OR contains(lower(source_symbol), source)) AND (coalesce(sink, '') = '' OR sink = sink_symbol OR string_split(sink, '.')[-1] = string_split(sink_symbol, '.')[-1]) THEN 'symbols' END AS how
+      FROM f JOIN p ON f.repository = p.repository AND f.run_id = p.run_id AND f.file = p.sink_file),
+    k AS (SELECT *, row_number() OVER (PARTITION BY repository, run_id, finding_id ORDER BY how, path_confidence DESC, flow_id) AS n FROM m WHERE how IS NOT NULL) SELECT repository, run_id, finding_id, flow_id, how FROM k WHERE n = 1""",
     findings="findings",
 )
 def j13_attach_flows(findings):
@@ -96,17 +110,25 @@ def j13_attach_flows(findings):
     return ops.attach_flows(sql(PLACES.replace("FROM findings", "FROM {f}"), f=findings), sql(FLOWS.replace("FROM findings", "FROM {f}"), f=findings))
 
 
-EVIDENCE = "SELECT repository, replace(p_name, ' ', '_') AS package, p_size % 2 = 0 AS declared, p_size % 3 = 0 AS locked, p_size % 11 = 0 AS imported, CASE WHEN p_size % 13 = 0 THEN true END AS called, p_size % 17 = 0 AS deployed, cast(CASE WHEN p_size % 19 = 0 THEN 1 END AS int) AS parse_failures FROM part JOIN (SELECT DISTINCT repository FROM findings) AS r ON p_partkey % 50 = cast(substr(repository, 6) AS int)"
+EVIDENCE = """SELECT repository, run_id, replace(p_name, ' ', '_') AS package, p_size % 2 = 0 AS declared, CASE WHEN p_size % 4 = 0 THEN 'runtime' ELSE 'development' END AS scope, p_size % 3 = 0 AS locked, p_size % 7 < 3 AS imported, CASE WHEN p_size % 5 < 2 THEN true END AS called, p_size % 11 < 6 AS deployed, p_size % 13 < 9 AS known_symbols
+  FROM part JOIN (SELECT DISTINCT repository, run_id FROM findings) AS r ON p_partkey % 7 = cast(substr(repository, 6) AS int) % 7"""
+SCANS = "SELECT DISTINCT repository, run_id, CASE WHEN repository LIKE '%3' THEN 2 END AS parse_failures, repository NOT LIKE '%4' AS has_inventory FROM findings"
+PACKAGES = f"SELECT row_id, repository, run_id, {NUMBERED}, replace(dep_name, ' ', '-') AS dep_name, CASE WHEN row_id % 5 = 0 THEN '1.0' END AS dep_version, CASE row_id % 6 WHEN 0 THEN true WHEN 1 THEN false END AS dep_direct, CASE WHEN row_id % 4 = 0 THEN 'runtime' WHEN row_id % 4 = 1 THEN 'unknown' END AS dependency_scope FROM findings"
 
 
 @query(
-    f"""WITH e AS (SELECT repository, regexp_replace(lower(package), '[-_.]+', '-', 'g') AS n, bool_or(declared) AS d, bool_or(locked) AS l, bool_or(imported) AS i, bool_or(called) AS c, bool_or(deployed) AS y, max(coalesce(parse_failures, 0)) AS f FROM ({EVIDENCE}) GROUP BY 1, 2),
-    j AS (SELECT row_id, CASE WHEN c THEN 'called' WHEN i THEN 'imported' WHEN y THEN 'deployed' WHEN f > 0 THEN 'unknown' WHEN l THEN 'locked_only' WHEN d THEN 'declared_only' ELSE 'unknown' END AS dep_status FROM findings LEFT JOIN e ON e.repository = findings.repository AND e.n = replace(dep_name, ' ', '-') WHERE dep_name IS NOT NULL)
-    SELECT row_id, dep_status, CASE WHEN dep_status = 'called' THEN 'reachable' WHEN dep_status IN ('imported', 'deployed') THEN 'potentially_reachable' WHEN dep_status IN ('locked_only', 'declared_only') THEN 'unreachable' ELSE 'unknown' END AS dep_reachability FROM j""",
+    f"""WITH f AS ({PACKAGES}), s AS ({SCANS}), e AS (SELECT repository, run_id, regexp_replace(lower(package), '[-_.]+', '-', 'g') AS n, bool_or(declared) AS d, bool_or(declared AND scope = 'runtime') AS rt, bool_or(locked) AS l, bool_or(imported) AS i, coalesce(bool_or(called), false) AS c, bool_or(deployed) AS y, bool_or(known_symbols) AS k FROM ({EVIDENCE}) GROUP BY 1, 2, 3),
+    j AS (SELECT f.*, coalesce(d, false) AS d, coalesce(rt, false) AS rt, coalesce(l, false) AS l, coalesce(i, false) AS i, CASE WHEN k THEN c END AS dep_called, CASE WHEN has_inventory THEN coalesce(y, false) END AS dep_deployed, coalesce(parse_failures, 0) AS bad
+      FROM f JOIN s USING (repository, run_id) LEFT JOIN e ON e.repository = f.repository AND e.run_id = f.run_id AND e.n = f.dep_name),
+    w AS (SELECT *, CASE WHEN dep_direct THEN 'direct' WHEN NOT dep_direct THEN 'transitive' WHEN d THEN 'direct' WHEN l THEN 'transitive' ELSE 'unknown' END AS dep_relationship, CASE WHEN coalesce(dependency_scope, 'unknown') = 'unknown' AND d THEN CASE WHEN rt THEN 'runtime' ELSE 'development' END ELSE coalesce(dependency_scope, 'unknown') END AS dep_in_scope, d OR l OR dep_version IS NOT NULL AS dep_installed FROM j),
+    x AS (SELECT *, dep_relationship = 'unknown' OR dep_in_scope = 'unknown' OR dep_deployed IS NULL OR dep_called IS NULL OR bad > 0 AS dep_incomplete FROM w),
+    z AS (SELECT *, CASE WHEN dep_name IS NULL THEN 'NOT_ANALYSED' WHEN NOT dep_installed THEN 'NO_PATH_FOUND' WHEN dep_called AND NOT dep_incomplete THEN 'CONFIRMED_REACHABLE' WHEN dep_incomplete THEN 'ANALYSIS_INCOMPLETE' WHEN i THEN 'LIKELY_REACHABLE' ELSE 'NO_PATH_FOUND' END AS dep_status FROM x)
+    SELECT repository, run_id, finding_id, dep_status, CASE dep_status WHEN 'CONFIRMED_REACHABLE' THEN 'reachable' WHEN 'LIKELY_REACHABLE' THEN 'potentially_reachable' ELSE 'unknown' END AS dep_reachability, dep_relationship, dep_in_scope, dep_deployed, dep_called, dep_installed, dep_incomplete FROM z""",
     findings="findings",
     part="part",
 )
 def j14_dependency_reachability(findings, part):
-    evidence = part.sparkSession.sql(EVIDENCE.replace("FROM part", "FROM {p}").replace("FROM findings", "FROM {f}"), p=part, f=findings)
-    named = findings.where("dep_name is not null").withColumn("dep_name", F.replace("dep_name", F.lit(" "), F.lit("-")))
-    return ops.dependency_reachability(named, evidence).select("row_id", "dep_status", "dep_reachability")
+    sql = findings.sparkSession.sql
+    evidence = sql(EVIDENCE.replace("FROM part", "FROM {p}").replace("FROM findings", "FROM {f}"), p=part, f=findings)
+    found = ops.dependency_reachability(sql(PACKAGES.replace("FROM findings", "FROM {f}"), f=findings), evidence, sql(SCANS.replace("FROM findings", "FROM {f}"), f=findings))
+    return found.select(*ops.FINDING, "dep_status", "dep_reachability", "dep_relationship", "dep_in_scope", "dep_deployed", "dep_called", "dep_installed", "dep_incomplete")
