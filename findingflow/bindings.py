@@ -63,7 +63,7 @@ BINDINGS = {
           CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS expires_at, o_orderpriority AS reason
         FROM {orders} WHERE o_orderkey % 10 = 0""",
     "history": """
-        SELECT concat('F', cast(user_id as string)) AS fingerprint, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) as int) AS sequence,
+        SELECT concat('repo-', cast(user_id % 7 as string)) AS repository, concat('F', cast(cast(floor(user_id / 7) as bigint) as string)) AS fingerprint, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) as int) AS sequence,
           CASE event_type WHEN 'click' THEN 'open' WHEN 'view' THEN 'acknowledged' WHEN 'purchase' THEN 'resolved' WHEN 'signup' THEN 'suppressed' ELSE 'false_positive' END AS to_state,
           ts AS changed_at, CASE WHEN event_id % 3 = 0 THEN value END AS expires_at, event_id % 4 = 0 AS approved
         FROM {events}""",

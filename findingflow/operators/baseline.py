@@ -51,11 +51,15 @@ def coverage_regressions(before: DataFrame, after: DataFrame, keys: tuple[str, .
     return b.join(a, [*keys, "scanner"], "left").where("healthy is null or not healthy").select(*keys, "scanner", "baseline_state", "current_state", reason.alias("reason"))
 
 
-def gate(changes: DataFrame, regressions: DataFrame, mode: str = "new", fail_on: str = "high", enforce_legacy: bool = False, policy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def gate(
+    changes: DataFrame, regressions: DataFrame, mode: str = "new", fail_on: str = "high", enforce_legacy: bool = False, policy: DataFrame | None = None, runs: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(blocked rows with their reasons, one row per repository with counts and whether it passed).
 
     Mode ``new`` looks at new findings, ``worsened`` and ``policy`` at everything that changed, ``all`` (or
-    ``enforce_legacy``) at all. Policy mode blocks by ``policy`` (key, outcome), the others by severity.
+    ``enforce_legacy``) at all. Policy mode blocks by ``policy`` (key, outcome), the others by severity. A repository
+    of ``changes``, ``regressions`` or ``runs`` (all that were scanned) has a row: without findings it passes only if
+    no coverage was lost.
     """
     reasons = F.array_compact(
         F.array(
@@ -63,20 +67,28 @@ def gate(changes: DataFrame, regressions: DataFrame, mode: str = "new", fail_on:
             F.when(F.col("newly_exploited"), "newly_exploited"), F.when(F.col("expired_suppression"), "expired_suppression"),
         )
     )
-    current = changes.where("presence <> 'removed'").withColumn("reasons", reasons)
-    if mode == "all" or enforce_legacy:
-        chosen = current.withColumn("reasons", F.when(F.size("reasons") == 0, F.array(F.lit("legacy"))).otherwise(F.col("reasons")))
-    else:
-        chosen = current.where(F.array_contains("reasons", "new") if mode == "new" else F.size("reasons") > 0)
+    whole = mode == "all" or enforce_legacy
+    legacy = F.when(F.size("reasons") == 0, F.array(F.lit("legacy"))).otherwise(F.col("reasons")) if whole else F.col("reasons")
+    candidate = F.array_contains("reasons", "new") if mode == "new" and not whole else F.size("reasons") > 0
+    judged = changes.withColumn("reasons", reasons).withColumn("reasons", legacy).withColumn("candidate", (F.col("presence") != "removed") & candidate)
     if mode == "policy":
-        blocked = chosen.join(policy.where(F.col("outcome").isin(*BLOCKING)), list(KEY)).withColumn("reasons", F.array_append("reasons", F.lit("policy")))
+        if policy is None:
+            raise ValueError("mode policy needs the outcomes of a policy")
+        stops = policy.where(F.col("outcome").isin(*BLOCKING)).select(*KEY).distinct().withColumn("stops", F.lit(True))
+        judged = judged.join(stops, list(KEY), "left").withColumn("reasons", F.array_append("reasons", F.lit("policy"))).withColumn("blocked", F.col("candidate") & F.coalesce("stops", F.lit(False)))
     else:
-        blocked = chosen.where(rank(F.col("severity")) >= THRESHOLD[fail_on])
-    blocked = blocked.select(*KEY, "severity", F.array_join("reasons", ",").alias("reasons"))
-    n = lambda df, name: df.groupBy("repository").agg(F.count("*").alias(name))
-    runs = n(changes, "all_findings").join(n(chosen, "candidates"), "repository", "left").join(n(blocked, "blocked"), "repository", "left").join(n(regressions, "regressions"), "repository", "left")
-    counted = runs.fillna(0, ["candidates", "blocked", "regressions"])
-    return blocked, counted.select("repository", "candidates", "blocked", "regressions", ((F.col("blocked") == 0) & (F.col("regressions") == 0)).alias("passed"))
+        judged = judged.withColumn("blocked", F.col("candidate") & (rank(F.col("severity")) >= THRESHOLD[fail_on]))
+    blocked = judged.where("blocked").select(*KEY, "severity", F.array_join("reasons", ",").alias("reasons"))
+    zero = F.lit(0)
+    parts = [judged.select("repository", F.col("candidate").cast("int").alias("candidates"), F.col("blocked").cast("int").alias("blocked"), zero.alias("regressions"))]
+    parts.append(regressions.select("repository", zero, zero, F.lit(1)))
+    if runs is not None:
+        parts.append(runs.select("repository", zero, zero, zero))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    counted = every.groupBy("repository").agg(*[F.sum(c).alias(c) for c in ("candidates", "blocked", "regressions")])
+    return blocked, counted.withColumn("passed", (F.col("blocked") == 0) & (F.col("regressions") == 0))
 
 
 def create_baselines(findings: DataFrame, runs: DataFrame, default_ref: str = "main") -> tuple[DataFrame, DataFrame]:

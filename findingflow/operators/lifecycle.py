@@ -12,17 +12,20 @@ FINDING_STATES = ("open", "acknowledged", "suppressed", "resolved", "false_posit
 APPROVAL_REQUIRED = ("suppressed", "accepted_risk", "false_positive")
 
 
+FINDING = ("repository", "fingerprint")
+
+
 def codes(*pairs: tuple[str, Column]) -> Column:
     """The codes whose condition holds, in order."""
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), code) for code, c in pairs]))
 
 
-def audit_history(history: DataFrame, status: DataFrame) -> DataFrame:
-    """(fingerprint, sequence, code) of every breach of the rules of a state history. ``status`` has each finding's current state."""
-    w = Window.partitionBy("fingerprint").orderBy("sequence")
+def audit_history(history: DataFrame, status: DataFrame, keys: tuple[str, ...] = FINDING) -> DataFrame:
+    """(keys, sequence, code) of every breach of the rules of a state history, read by sequence, then time and state. ``status`` has each finding's current state."""
+    w = Window.partitionBy(*keys).orderBy("sequence", "changed_at", "to_state")
     before = lambda c: F.lag(c).over(w)
     checked = history.withColumns({"_n": F.row_number().over(w), "_to": before("to_state"), "_at": before("changed_at"), "_last": F.lead("sequence").over(w).isNull()})
-    joined = checked.join(status, "fingerprint", "left")
+    joined = checked.join(status, list(keys), "left")
     found = codes(
         ("sequence", F.col("sequence") != F.col("_n")),
         ("transition", F.col("_to").isNotNull() & ~F.col("from_state").eqNullSafe(F.col("_to"))),
@@ -33,7 +36,7 @@ def audit_history(history: DataFrame, status: DataFrame) -> DataFrame:
         ("expiry", F.col("expires_at") <= F.col("changed_at")),
         ("status", F.col("_last") & ~F.col("status").eqNullSafe(F.col("to_state"))),
     )
-    return joined.select("fingerprint", "sequence", F.explode(found).alias("code"))
+    return joined.select(*keys, "sequence", F.explode(found).alias("code"))
 
 
 def lint_suppressions(suppressions: DataFrame, now: float, window: float = 7 * 86400.0) -> DataFrame:
@@ -77,15 +80,15 @@ def revalidate(findings: DataFrame, suppressions: DataFrame, now: float) -> Data
     return out.select("suppression_id", "repository", "fingerprint", F.array_join("reasons", ",").alias("reasons"), F.when(F.size("reasons") > 0, "open").otherwise("suppressed").alias("status"))
 
 
-def append_transitions(history: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def append_transitions(history: DataFrame, requests: DataFrame, keys: tuple[str, ...] = FINDING) -> tuple[DataFrame, DataFrame]:
     """(new history rows, rejects with a reason). Sequences go on from each finding's last; several requests of one finding follow by time.
 
     A rejected request changes nothing. All reasons but "already in this state" depend on the request alone, and after
     a request that is sound by itself the finding is in its state whether it was just put there or was there before.
     So the state before each request is the target of the last sound one: a running window, not a fold.
     """
-    last = history.groupBy("fingerprint").agg(F.max("sequence").alias("last"), F.max_by("to_state", "sequence").alias("state"))
-    w = Window.partitionBy("fingerprint").orderBy("changed_at", "request_id")
+    last = history.groupBy(*keys).agg(F.max("sequence").alias("last"), F.max_by("to_state", "sequence").alias("state"))
+    w = Window.partitionBy(*keys).orderBy("changed_at", "request_id")
     known, to = F.col("to_state").isin(*FINDING_STATES), F.col("to_state")
     unsound = (
         F.when(to.isin(*APPROVAL_REQUIRED) & F.col("approved_at").isNull(), "approval required")
@@ -97,18 +100,18 @@ def append_transitions(history: DataFrame, requests: DataFrame) -> tuple[DataFra
     checked = requests.withColumn("known", F.coalesce(known, F.lit(False))).withColumn("unsound", unsound)
     sound = F.when(F.col("known") & F.col("unsound").isNull(), to)
     before = F.last(sound, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    placed = checked.join(last, "fingerprint", "left").withColumn("from_state", F.coalesce(before, "state", F.lit("open")))
+    placed = checked.join(last, list(keys), "left").withColumn("from_state", F.coalesce(before, "state", F.lit("open")))
     reason = F.when(~F.col("known"), "unsupported state").when(F.col("from_state") == to, "already in this state").otherwise(F.col("unsound"))
     judged = placed.withColumn("reason", reason)
     ok = judged.where("reason is null").withColumn("sequence", F.coalesce("last", F.lit(0)) + F.row_number().over(w))
-    return ok.select("fingerprint", "sequence", "from_state", "to_state", "changed_at", "expires_at"), judged.where("reason is not null").select("fingerprint", "request_id", "reason")
+    return ok.select(*keys, "sequence", "from_state", "to_state", "changed_at", "expires_at"), judged.where("reason is not null").select(*keys, "request_id", "reason")
 
 
-def reopen_expired(history: DataFrame, now: float) -> DataFrame:
+def reopen_expired(history: DataFrame, now: float, keys: tuple[str, ...] = FINDING) -> DataFrame:
     """A new row back to open for every finding whose latest state has expired at or before now."""
-    latest = history.groupBy("fingerprint").agg(F.max("sequence").alias("sequence"), F.max_by(F.struct("to_state", "expires_at"), "sequence").alias("x"))
+    latest = history.groupBy(*keys).agg(F.max("sequence").alias("sequence"), F.max_by(F.struct("to_state", "expires_at"), "sequence").alias("x"))
     due = latest.where((F.col("x.to_state") != "open") & (F.col("x.expires_at") <= now))
-    return due.select("fingerprint", (F.col("sequence") + 1).alias("sequence"), F.col("x.to_state").alias("from_state"), F.lit("open").alias("to_state"))
+    return due.select(*keys, (F.col("sequence") + 1).alias("sequence"), F.col("x.to_state").alias("from_state"), F.lit("open").alias("to_state"))
 
 
 def append_once(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:

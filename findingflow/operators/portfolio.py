@@ -102,10 +102,10 @@ def suppression_expiry(suppressions: DataFrame, now: float) -> DataFrame:
 CLOSED, OPEN = ("resolved", "false_positive", "closed"), ("open", "acknowledged")
 
 
-def reopened_rate(history: DataFrame) -> DataFrame:
+def reopened_rate(history: DataFrame, keys: tuple[str, ...] = ("repository", "fingerprint")) -> DataFrame:
     """Findings that were ever closed, and those of them that were open again later."""
     state = F.lower("to_state")
-    per = history.groupBy("fingerprint").agg(F.min(F.when(state.isin(*CLOSED), F.col("sequence"))).alias("closed"), F.max(F.when(state.isin(*OPEN), F.col("sequence"))).alias("opened"))
+    per = history.groupBy(*keys).agg(F.min(F.when(state.isin(*CLOSED), F.col("sequence"))).alias("closed"), F.max(F.when(state.isin(*OPEN), F.col("sequence"))).alias("opened"))
     out = per.agg(F.count("closed").alias("resolved"), F.count_if(F.col("opened") > F.col("closed")).alias("reopened"))
     return out.withColumn("rate", share(F.col("reopened"), F.col("resolved")))
 

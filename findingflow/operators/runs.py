@@ -92,14 +92,16 @@ def check_counts(findings: DataFrame, changes: DataFrame, matched: DataFrame, bl
 
     ``matched`` and ``blocked`` (repository, fingerprint) are what the policy matched and the gate blocked; blocking
     counts findings of either, once. ``policy`` has each repository's outcome, ``gate`` whether it passed. FAIL if the
-    policy fails or errs or the gate did not pass, for lost coverage too; WARN if the policy warns; else PASS.
+    policy fails or errs or the gate did not pass, for lost coverage too; WARN if the policy warns; else PASS. Every
+    repository of ``findings``, ``policy`` or ``gate`` has a row, so a gate that failed without findings is seen.
     """
-    new = changes.where("presence = 'new'").groupBy("repository").agg(F.count("*").alias("new"))
+    new = changes.where("presence = 'new'").select("repository", "fingerprint").distinct().withColumn("is_new", F.lit(1))
     stops = matched.select("repository", "fingerprint").unionByName(blocked.select("repository", "fingerprint")).distinct().withColumn("stops", F.lit(1))
-    counted = findings.join(stops, ["repository", "fingerprint"], "left").groupBy("repository").agg(
-        F.count("*").alias("total"), F.count("stops").alias("blocking"), F.count_if(F.col("status") == "suppressed").alias("suppressed"), F.count_if(F.col("confidence").isNull()).alias("unscored")
+    marked = findings.join(stops, ["repository", "fingerprint"], "left").join(new, ["repository", "fingerprint"], "left")
+    counted = marked.groupBy("repository").agg(
+        F.count("*").alias("total"), F.count("is_new").alias("new"), F.count("stops").alias("blocking"), F.count_if(F.col("status") == "suppressed").alias("suppressed"), F.count_if(F.col("confidence").isNull()).alias("unscored")
     )
-    joined = counted.join(new, "repository", "left").fillna(0, ["new"]).join(policy.select("repository", "outcome"), "repository", "left").join(gate.select("repository", "passed"), "repository", "left")
+    joined = counted.join(policy.select("repository", "outcome"), "repository", "full_outer").join(gate.select("repository", "passed"), "repository", "full_outer").fillna(0, ["total", "new", "blocking", "suppressed", "unscored"])
     decision = F.when(F.col("outcome").isin("fail", "error") | ~F.coalesce("passed", F.lit(True)), "FAIL").when(F.col("outcome") == "warn", "WARN").otherwise("PASS")
     return joined.select("repository", "total", "new", "blocking", "suppressed", "unscored", decision.alias("decision"))
 

@@ -87,7 +87,7 @@ def a22_suppression_expiry(suppressions):
 
 
 @query(
-    """WITH p AS (SELECT fingerprint, min(CASE WHEN to_state IN ('resolved', 'false_positive', 'closed') THEN sequence END) AS c, max(CASE WHEN to_state IN ('open', 'acknowledged') THEN sequence END) AS o FROM history GROUP BY 1)
+    """WITH p AS (SELECT repository, fingerprint, min(CASE WHEN to_state IN ('resolved', 'false_positive', 'closed') THEN sequence END) AS c, max(CASE WHEN to_state IN ('open', 'acknowledged') THEN sequence END) AS o FROM history GROUP BY 1, 2)
     SELECT count(c) AS resolved, count(*) FILTER (o > c) AS reopened, round(count(*) FILTER (o > c) / count(c), 6) AS rate FROM p""",
     history="history",
 )

@@ -109,13 +109,13 @@ def j7_baseline_diff(findings):
     return changes(findings)
 
 
-REGRESSED = """latest AS (SELECT concat('repo-', cast(user_id % 50 AS string)) AS repository, scanner, event_id % 2 AS half, arg_max(state, event_id) AS state, arg_max(healthy, event_id) AS healthy FROM scanner_runs GROUP BY 1, 2, 3),
+REGRESSED = """latest AS (SELECT concat('repo-', cast(user_id % 60 AS string)) AS repository, scanner, event_id % 2 AS half, arg_max(state, event_id) AS state, arg_max(healthy, event_id) AS healthy FROM scanner_runs GROUP BY 1, 2, 3),
     regressions AS (SELECT b.repository, b.scanner, b.state AS baseline_state, a.state AS current_state, CASE WHEN a.healthy IS NULL THEN 'previously healthy scanner is missing' ELSE 'previously healthy scanner is now unhealthy' END AS reason
       FROM latest AS b LEFT JOIN latest AS a ON a.repository = b.repository AND a.scanner = b.scanner AND a.half = 1 WHERE b.half = 0 AND b.healthy AND (a.healthy IS NULL OR NOT a.healthy))"""
 
 
 def regressions(scanners: DataFrame) -> DataFrame:
-    latest = scanners.groupBy(F.expr("concat('repo-', cast(user_id % 50 AS string))").alias("repository"), "scanner", (F.col("event_id") % 2).alias("half")).agg(F.max_by("state", "event_id").alias("state"), F.max_by("healthy", "event_id").alias("healthy"))
+    latest = scanners.groupBy(F.expr("concat('repo-', cast(user_id % 60 AS string))").alias("repository"), "scanner", (F.col("event_id") % 2).alias("half")).agg(F.max_by("state", "event_id").alias("state"), F.max_by("healthy", "event_id").alias("healthy"))
     return baseline.coverage_regressions(latest.where("half = 0"), latest.where("half = 1"), ("repository",))
 
 
@@ -133,31 +133,36 @@ def g1_blocked_findings(findings, scanners):
     return baseline.gate(changes(findings), regressions(scanners), mode="worsened")[0]
 
 
-@query(
-    f"""WITH {BLOCKED}, {REGRESSED}, r AS (SELECT repository FROM changes GROUP BY 1), k AS (SELECT repository, count(*) AS candidates FROM chosen WHERE reasons <> '' GROUP BY 1),
-    x AS (SELECT repository, count(*) AS blocked FROM blocked GROUP BY 1), z AS (SELECT repository, count(*) AS regressions FROM regressions GROUP BY 1)
-    SELECT repository, coalesce(candidates, 0) AS candidates, coalesce(blocked, 0) AS blocked, coalesce(regressions, 0) AS regressions, coalesce(blocked, 0) = 0 AND coalesce(regressions, 0) = 0 AS passed
-    FROM r LEFT JOIN k USING (repository) LEFT JOIN x USING (repository) LEFT JOIN z USING (repository)""",
-    findings="findings",
-    scanners="scanner_runs",
-)
+GATED = f"""{BLOCKED}, {REGRESSED}, r AS (SELECT repository FROM changes UNION SELECT repository FROM regressions UNION SELECT concat('repo-', cast(user_id % 70 AS string)) FROM scanner_runs), k AS (SELECT repository, count(*) AS candidates FROM chosen WHERE reasons <> '' GROUP BY 1),
+    x AS (SELECT repository, count(*) AS blocked FROM blocked GROUP BY 1), z AS (SELECT repository, count(*) AS regressions FROM regressions GROUP BY 1),
+    gated AS (SELECT repository, coalesce(candidates, 0) AS candidates, coalesce(blocked, 0) AS blocked, coalesce(regressions, 0) AS regressions, coalesce(blocked, 0) = 0 AND coalesce(regressions, 0) = 0 AS passed
+    FROM r LEFT JOIN k USING (repository) LEFT JOIN x USING (repository) LEFT JOIN z USING (repository))"""
+
+
+def gated(findings: DataFrame, scanners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The gate over everything that changed; some repositories were scanned without any finding."""
+    scanned = scanners.select(F.expr("concat('repo-', cast(user_id % 70 AS string))").alias("repository")).distinct()
+    return baseline.gate(changes(findings), regressions(scanners), mode="worsened", runs=scanned)
+
+
+@query(f"WITH {GATED} SELECT * FROM gated", findings="findings", scanners="scanner_runs")
 def g1_gate(findings, scanners):
-    return baseline.gate(changes(findings), regressions(scanners), mode="worsened")[1]
+    return gated(findings, scanners)[1]
 
 
 @query(
-    f"""WITH {BLOCKED}, {REGRESSED}, f AS (SELECT * FROM y WHERE p = 1 AND run_year = {NOW_YEAR}), m AS (SELECT repository, fingerprint FROM f WHERE severity = 'critical' AND reachability = 'reachable'),
-    o AS (SELECT repository, CASE WHEN count(*) FILTER (severity = 'critical' AND reachability = 'reachable') > 4 THEN 'fail' WHEN count(*) FILTER (severity = 'critical' AND reachability = 'reachable') > 0 THEN 'warn' ELSE 'pass' END AS outcome FROM f GROUP BY 1)
-    SELECT f.repository, count(*) AS total, count(*) FILTER (presence = 'new') AS new, count(*) FILTER ((f.repository, f.fingerprint) IN (SELECT (repository, fingerprint) FROM m) OR (f.repository, f.fingerprint) IN (SELECT (repository, fingerprint) FROM blocked)) AS blocking,
-      count(*) FILTER (status = 'suppressed') AS suppressed, count(*) FILTER (row_id % 3 = 0) AS unscored,
-      CASE WHEN min(outcome) = 'fail' OR f.repository IN (SELECT repository FROM blocked) OR f.repository IN (SELECT repository FROM regressions) THEN 'FAIL' WHEN min(outcome) = 'warn' THEN 'WARN' ELSE 'PASS' END AS decision
-    FROM f JOIN changes USING (repository, fingerprint) JOIN o USING (repository) GROUP BY 1""",
+    f"""WITH {GATED}, f AS (SELECT * FROM y WHERE p = 1 AND run_year = {NOW_YEAR}), m AS (SELECT repository, fingerprint FROM f WHERE severity = 'critical' AND reachability = 'reachable'),
+    o AS (SELECT repository, CASE WHEN count(*) FILTER (severity = 'critical' AND reachability = 'reachable') > 4 THEN 'fail' WHEN count(*) FILTER (severity = 'critical' AND reachability = 'reachable') > 0 THEN 'warn' ELSE 'pass' END AS outcome FROM f GROUP BY 1),
+    n AS (SELECT f.repository, count(*) AS total, count(*) FILTER (presence = 'new') AS new, count(*) FILTER ((f.repository, f.fingerprint) IN (SELECT (repository, fingerprint) FROM m) OR (f.repository, f.fingerprint) IN (SELECT (repository, fingerprint) FROM blocked)) AS blocking,
+      count(*) FILTER (status = 'suppressed') AS suppressed, count(*) FILTER (row_id % 3 = 0) AS unscored FROM f JOIN changes USING (repository, fingerprint) GROUP BY 1)
+    SELECT repository, coalesce(total, 0) AS total, coalesce(new, 0) AS new, coalesce(blocking, 0) AS blocking, coalesce(suppressed, 0) AS suppressed, coalesce(unscored, 0) AS unscored, CASE WHEN outcome = 'fail' OR NOT passed THEN 'FAIL' WHEN outcome = 'warn' THEN 'WARN' ELSE 'PASS' END AS decision
+    FROM gated LEFT JOIN n USING (repository) LEFT JOIN o USING (repository)""",
     findings="findings",
     scanners="scanner_runs",
 )
 def a29_check_counts(findings, scanners):
     made, current = changes(findings), year(findings, NOW_YEAR).withColumn("confidence", F.when(F.col("row_id") % 3 > 0, 0.5))
-    blocked, passed = baseline.gate(made, regressions(scanners), mode="worsened")
+    blocked, passed = gated(findings, scanners)
     hit = (F.col("severity") == "critical") & (F.col("reachability") == "reachable")
     n = F.count_if(hit)
     policy = current.groupBy("repository").agg(F.when(n > 4, "fail").when(n > 0, "warn").otherwise("pass").alias("outcome"))

@@ -3,14 +3,17 @@
 from pyspark.sql import functions as F
 
 from findingflow.functions import redact
-from findingflow.operators import correlate, lifecycle, runs, supply
+from findingflow.operators import baseline, correlate, lifecycle, runs, supply
 
-HISTORY = "fingerprint string, sequence int, to_state string"
-REQUESTS = "fingerprint string, request_id string, to_state string, changed_at double, approved_at double, expires_at double, allow_permanent boolean"
+HISTORY = "repository string, fingerprint string, sequence int, to_state string"
+REQUESTS = "repository string, fingerprint string, request_id string, to_state string, changed_at double, approved_at double, expires_at double, allow_permanent boolean"
 
 
 def transitions(spark, history, requests):
-    new, rejected = lifecycle.append_transitions(spark.createDataFrame(history, HISTORY), spark.createDataFrame(requests, REQUESTS))
+    """The same cases in repository a; in b the same fingerprints have a history of their own, which must change nothing."""
+    both = [("a", *h) for h in history] + [("b", f, 7, "accepted_risk") for f in ("F1", "F2", "F3")]
+    new, rejected = lifecycle.append_transitions(spark.createDataFrame(both, HISTORY), spark.createDataFrame([("a", *r) for r in requests], REQUESTS))
+    assert {r.repository for r in new.collect()} | {r.repository for r in rejected.collect()} == {"a"}
     return sorted((r.fingerprint, r.sequence, r.from_state, r.to_state) for r in new.collect()), sorted((r.request_id, r.reason) for r in rejected.collect())
 
 
@@ -45,9 +48,39 @@ def test_check_decisions(spark):
     matched = spark.createDataFrame([("a", "f0")], "repository string, fingerprint string")
     blocked = spark.createDataFrame([("a", "f0"), ("b", "f1")], "repository string, fingerprint string")
     policy = spark.createDataFrame([("a", "pass"), ("b", "error"), ("c", "warn"), ("d", "warn"), ("e", "pass")], "repository string, outcome string")
-    gate = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "repository string, passed boolean")
+    gate = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False), ("lost", False), ("quiet", True)], "repository string, passed boolean")
     got = {r.repository: (r.total, r.new, r.blocking, r.suppressed, r.unscored, r.decision) for r in runs.check_counts(findings, changes, matched, blocked, policy, gate).collect()}
-    assert got == {"a": (2, 1, 1, 1, 1, "PASS"), "b": (2, 0, 1, 1, 1, "FAIL"), "c": (2, 0, 0, 1, 1, "WARN"), "d": (2, 0, 0, 1, 1, "FAIL"), "e": (2, 0, 0, 1, 1, "PASS")}
+    assert got == {"a": (2, 1, 1, 1, 1, "PASS"), "b": (2, 0, 1, 1, 1, "FAIL"), "c": (2, 0, 0, 1, 1, "WARN"), "d": (2, 0, 0, 1, 1, "FAIL"), "e": (2, 0, 0, 1, 1, "PASS"), "lost": (0, 0, 0, 0, 0, "FAIL"), "quiet": (0, 0, 0, 0, 0, "PASS")}
+
+
+def test_gate_fails_closed_without_findings(spark):
+    changes = spark.createDataFrame(
+        [("a", "f1", "new", False, "high"), ("a", "f2", "removed", False, "critical"), ("b", "f1", "persisting", True, "critical"), ("b", "f2", "new", False, "low"), ("c", "f1", "persisting", False, "critical")],
+        "repository string, fingerprint string, presence string, worsened boolean, severity string",
+    ).withColumns({c: F.lit(False) for c in ("newly_reachable", "newly_exploited", "expired_suppression")})
+    lost = spark.createDataFrame([("lost", "bandit"), ("c", "zap"), ("c", "trivy")], "repository string, scanner string")
+    scanned = spark.createDataFrame([(r,) for r in ("a", "b", "c", "lost", "quiet")], "repository string")
+    policy = spark.createDataFrame([("a", "f1", "MONITOR"), ("b", "f1", "BLOCK_IMMEDIATELY"), ("b", "f1", "BLOCK_IMMEDIATELY"), ("c", "f1", "BLOCK_IMMEDIATELY")], "repository string, fingerprint string, outcome string")
+
+    def judge(**settings):
+        blocked, runs_ = baseline.gate(changes, lost, policy=policy, runs=scanned, **settings)
+        return sorted((r.repository, r.fingerprint, r.reasons) for r in blocked.collect()), {r.repository: (r.candidates, r.blocked, r.regressions, r.passed) for r in runs_.collect()}
+
+    rest = {"lost": (0, 0, 1, False), "quiet": (0, 0, 0, True)}
+    assert judge() == ([("a", "f1", "new")], {"a": (1, 1, 0, False), "b": (1, 0, 0, True), "c": (0, 0, 2, False), **rest})
+    assert judge(mode="worsened")[0] == [("a", "f1", "new"), ("b", "f1", "worsened")]
+    assert judge(mode="policy") == ([("b", "f1", "worsened,policy")], {"a": (1, 0, 0, True), "b": (2, 1, 0, False), "c": (0, 0, 2, False), **rest})
+    assert judge(mode="all", fail_on="critical") == ([("b", "f1", "worsened"), ("c", "f1", "legacy")], {"a": (1, 0, 0, True), "b": (2, 1, 0, False), "c": (1, 1, 2, False), **rest})
+    assert judge(enforce_legacy=True, fail_on="none")[0] == []
+    assert {r.repository for r in baseline.gate(changes, lost)[1].collect()} == {"a", "b", "c", "lost"}
+
+
+def test_histories_of_two_repositories_stay_apart(spark):
+    rows = [("a", "F", 1, "open", "suppressed", 1.0, 1.0, 5.0), ("b", "F", 1, "open", "resolved", 1.0, None, None), ("b", "F", 2, "resolved", "open", 2.0, None, None), ("a", "G", 2, "open", "acknowledged", 3.0, None, None)]
+    history = spark.createDataFrame(rows, "repository string, fingerprint string, sequence int, from_state string, to_state string, changed_at double, approved_at double, expires_at double")
+    status = spark.createDataFrame([("a", "F", "suppressed"), ("b", "F", "open"), ("a", "G", "acknowledged")], "repository string, fingerprint string, status string")
+    assert [tuple(r) for r in lifecycle.audit_history(history, status).collect()] == [("a", "G", 2, "sequence")]
+    assert [tuple(r) for r in lifecycle.reopen_expired(history, 9.0).collect()] == [("a", "F", 2, "suppressed", "open")]
 
 
 def test_inventory(spark):
