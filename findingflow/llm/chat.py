@@ -71,7 +71,7 @@ def unescaped(formatted: str, mark: str, at: int) -> int:
 def sorted_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: a conversation in one partition, in order. Null texts and roles count as empty."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

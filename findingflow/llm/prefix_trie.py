@@ -211,7 +211,8 @@ def end_digests(members: DataFrame, turnless: DataFrame) -> DataFrame:
     counted = pieces.groupBy(*KEY).agg(F.count("*").alias("n"), F.any_value("ids").alias("ids"))
     single = counted.where("n = 1").select(*KEY, F.sha2("ids", 256).alias("ends_sha256"))
     several = pieces.join(counted.where("n > 1").select(*KEY), KEY, "left_semi")
-    ordered = several.select(*KEY, "piece", "ids").repartition(*KEY).sortWithinPartitions(*KEY, "piece")
+    # by a hash of the key: an exchange on the key itself would be left out after the join, which adaptive execution may undo later
+    ordered = several.select(*KEY, "piece", "ids").repartition(F.xxhash64(*KEY)).sortWithinPartitions(*KEY, "piece")
     return single.unionByName(map_batches(ordered, _digest, "depth bigint, a bigint, b bigint, ends_sha256 string"))
 
 
