@@ -1,4 +1,4 @@
-"""Rows for other systems: payloads, SARIF rules and results, VEX statements, cross-tabs, timelines, migrations, validation."""
+"""Rows for other systems: payloads, SARIF rules and results, cross-tabs, timelines, migrations, validation."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import clean, short_key
 from ..functions.severity import RANK, rank
 
+# Severities in event systems.
 CEF = {"critical": 10, "high": 7, "medium": 4, "low": 2, "info": 0}
 
 
@@ -40,23 +41,6 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.join(rules, ["run_id", "rule_id"]).select("run_id", "finding_id", "rule_id", "rule_index", level.alias("level"), partial.alias("partial_fingerprint"))
 
 
-VEX_STATES = {"not_affected": ("code_not_reachable", "code_not_present"), "affected": ("exploitable",), "fixed": ("resolved",), "under_investigation": ("in_triage",)}
-
-
-def vex_rows(analyses: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(statements, rejects with a reason): the finding exists and records the id, state fits status, and ``not_affected`` does not contradict reachability."""
-    joined = analyses.join(findings.select("repository", "fingerprint", "ids", "reachability"), ["repository", "fingerprint"], "left")
-    fits = F.lit(False)
-    for status, states in VEX_STATES.items():
-        fits = fits | ((F.col("status") == status) & F.col("analysis_state").isin(*states))
-    reason = (
-        F.when(F.col("ids").isNull(), "unknown finding").when(~F.array_contains("ids", F.col("vulnerability_id")), "id not recorded").when(~F.coalesce(fits, F.lit(False)), "state does not fit status")
-        .when((F.col("analysis_state") == "code_not_reachable") & (F.col("reachability") == "reachable"), "contradicts reachability")
-    )
-    judged = joined.withColumn("reason", reason).select("repository", "fingerprint", "vulnerability_id", "status", "analysis_state", "reason")
-    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
-
-
 def cross_tab(findings: DataFrame) -> DataFrame:
     """Findings by scanner and severity, with the share of low and info."""
     names = [s for s in RANK]
@@ -71,6 +55,7 @@ def timeline(fetches: DataFrame) -> DataFrame:
     return each.unionByName(each.groupBy("finding_id").agg(F.lit("(all)").alias("source"), F.max("fetched_at").alias("fetched_at")))
 
 
+# Categories of scanners that say none.
 CATEGORIES = {"pip-audit": "sca", "trivy": "sca", "osv-scanner": "sca", "grype": "sca", "gitleaks": "secret", "trufflehog": "secret", "checkov": "iac", "hadolint": "iac", "zap": "dast"}
 
 

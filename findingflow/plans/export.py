@@ -70,28 +70,6 @@ def w3_sarif_results(findings):
     return export.sarif_results(canonical(findings).withColumn("finding_id", F.col("row_id").cast("string")))
 
 
-ANALYSES = "SELECT DISTINCT CASE WHEN row_id % 11 = 0 THEN 'repo-0' ELSE repository END AS repository, concat('F', cast(row_id AS string)) AS fingerprint, CASE WHEN row_id % 3 = 0 THEN 'CVE-0' ELSE cve END AS vulnerability_id, CASE row_id % 4 WHEN 0 THEN 'affected' WHEN 1 THEN 'fixed' ELSE 'not_affected' END AS status, CASE row_id % 5 WHEN 0 THEN 'exploitable' WHEN 1 THEN 'resolved' ELSE 'code_not_reachable' END AS analysis_state FROM findings WHERE cve IS NOT NULL AND row_id % 7 < 4"
-HELD = "SELECT repository, concat('F', cast(row_id AS string)) AS fingerprint, min(cve) AS cve, min(reachability) AS reachability FROM findings WHERE cve IS NOT NULL AND row_id % 7 < 3 GROUP BY 1, 2"
-VEX = f"""a AS ({ANALYSES}), h AS ({HELD}), v AS (SELECT repository, fingerprint, vulnerability_id, status, analysis_state, CASE WHEN cve IS NULL THEN 'unknown finding' WHEN cve <> vulnerability_id THEN 'id not recorded' WHEN NOT ((status = 'affected' AND analysis_state = 'exploitable') OR (status = 'fixed' AND analysis_state = 'resolved') OR (status = 'not_affected' AND analysis_state = 'code_not_reachable')) THEN 'state does not fit status'
-    WHEN analysis_state = 'code_not_reachable' AND reachability = 'reachable' THEN 'contradicts reachability' END AS reason FROM a LEFT JOIN h USING (repository, fingerprint))"""
-
-
-def vex(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    sql = findings.sparkSession.sql
-    held = sql(HELD.replace("FROM findings", "FROM {f}"), f=findings).withColumn("ids", F.array("cve"))
-    return export.vex_rows(sql(ANALYSES.replace("FROM findings", "FROM {f}"), f=findings), held)
-
-
-@query(f"WITH {VEX} SELECT repository, fingerprint, vulnerability_id, status, analysis_state FROM v WHERE reason IS NULL", findings="findings")
-def j17_vex_statements(findings):
-    return vex(findings)[0]
-
-
-@query(f"WITH {VEX} SELECT * FROM v WHERE reason IS NOT NULL", findings="findings")
-def j17_vex_rejects(findings):
-    return vex(findings)[1]
-
-
 @query("SELECT scanner, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "info", "unknown")) + ", count(*) AS total, round(count(*) FILTER (severity IN ('low', 'info')) / count(*), 6) AS noise_share FROM findings GROUP BY 1", findings="findings")
 def a28_cross_tab(findings):
     return R6(export.cross_tab(findings), "noise_share")
