@@ -1,6 +1,7 @@
 """Known values and edge cases of single operators."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -31,6 +32,49 @@ def test_beta_at_large_counts():
     assert np.allclose(beta_cdf(q, a, b), 0.025, atol=1e-6)
 
 
+def plain_cdf(x, a, b, steps=200_000):
+    """The density integrated by the midpoint rule over 40 standard deviations, normalised by its own whole."""
+    mean, sd = a / (a + b), np.sqrt(a * b / (a + b + 1)) / (a + b)
+    low, high = max(0.0, mean - 20 * sd), min(1.0, mean + 20 * sd)
+    t = low + (high - low) * (np.arange(steps) + 0.5) / steps
+    with np.errstate(divide="ignore"):
+        f = np.exp((a - 1) * np.log1p((t - mean) / mean) + (b - 1) * np.log1p(-(t - mean) / (1 - mean)))
+    return f[t < x].sum() / f.sum()
+
+
+def test_beta_of_any_counts():
+    # one standard deviation below the mean the normal limit is 0.158655
+    for n in (1e6, 1e8, 1e9, 1e10, 1e11, 1e14):
+        a = np.array([n, n / 7, n])
+        b = np.array([n, n, n / 1000])
+        sd = np.sqrt(a * b / (a + b + 1)) / (a + b)
+        assert beta_cdf(a / (a + b) - sd, a, b) == pytest.approx([0.158655] * 3, abs=1.5e-2 / np.sqrt(n / 1e6))
+    for a, b in ((3.0, 1e10), (1e10, 3.0), (1.0, 1e6), (2999.0, 1e9), (3001.0, 3001.0), (2999.5, 3000.5), (50.0, 60.0), (1e5, 2e7), (1.0, 1.0), (0.5, 0.5), (3001.0, 1e10)):
+        for p in (0.001, 0.025, 0.5, 0.975, 0.999):
+            (x,) = beta_quantile(p, np.array([a]), np.array([b]))
+            assert beta_cdf(np.array([x]), np.array([a]), np.array([b]))[0] == pytest.approx(p, rel=1e-7 if a < 1e6 * b else 1e-3)  # so near 1, the quantile itself is rounded
+            if min(a, b) >= 50:
+                assert plain_cdf(x, a, b) == pytest.approx(p, abs=2e-4)
+    # closed forms: B(1, b) and B(a, 1)
+    assert beta_quantile(0.025, np.array([1.0, 1e9]), np.array([1e9, 1.0])) == pytest.approx([-np.expm1(np.log(0.975) / 1e9), np.exp(np.log(0.025) / 1e9)], rel=1e-9)
+    assert beta_cdf(np.array([0.0, 1.0, 0.3]), np.array([2.0, 2.0, 1.0]), np.array([2.0, 2.0, 1.0])) == pytest.approx([0, 1, 0.3])
+
+
+def test_both_ways_to_the_incomplete_beta_agree():
+    rng = np.random.default_rng(2)
+    a, b = rng.uniform(2000, 20_000, 300), rng.uniform(2000, 20_000, 300)
+    x = a / (a + b) + rng.uniform(-4, 4, 300) * np.sqrt(a * b / (a + b + 1)) / (a + b)
+    assert np.allclose(benchmark.integrated(x, a, b), benchmark.continued(x, a, b), atol=1e-11)
+
+
+def test_a_hundred_thousand_pairs_are_quick():
+    rng = np.random.default_rng(3)
+    a, b = np.floor(10 ** rng.uniform(0, 10, 100_000)), np.floor(10 ** rng.uniform(0, 10, 100_000))
+    began = time.process_time()
+    q = beta_quantile(0.025, a, b)
+    assert time.process_time() - began < 20 and (np.diff([q * 0, q, q * 0 + 1], axis=0) >= 0).all()
+
+
 def test_metrics(spark):
     r = benchmark.classification(spark.createDataFrame([(2, 1, 1)], "tp long, fp long, fn long")).first()
     assert (r.precision, r.recall, r.f1) == pytest.approx((2 / 3, 2 / 3, 2 / 3))
