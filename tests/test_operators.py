@@ -125,6 +125,7 @@ def issue(i, scanner, **more):
     return tuple({**fields, **more}.values())
 
 
+FIELDS = "repository run_id issue_id scanner file start_line end_line code_region_hash cwe cve symbol source sink dep_name dep_ecosystem infrastructure_resource secret_fingerprint".split()
 SCHEMA = "repository string, run_id string, issue_id string, scanner string, file string, start_line int, end_line int, code_region_hash string, cwe array<string>, cve array<string>, symbol string, source string, sink string, dep_name string, dep_ecosystem string, infrastructure_resource string, secret_fingerprint string"
 
 
@@ -143,6 +144,28 @@ def test_correlation(spark):
     assert got["b1"] == "a1" and got["b2"] == "b2" and got["h1"] == "h1" and len(got) == 10
 
 
+def test_pairs_by_ranges_of_any_length(spark):
+    """Against all pairs: one shared anchor and lines within five of each other qualify."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        start = rng.choice([None, 1, 7, 12, 40, 300, 305, 10**6, 2**31 - 2])
+        end = rng.choice([None, start, start + rng.choice([0, 3, 20, 300, 10**6])]) if start else None
+        end = min(end, 2**31 - 1) if end else end
+        rows.append(issue(f"{rng.choice('abc')}|{i:03d}", rng.choice("abc"), cwe=["CWE-1"], start_line=start, end_line=end, file=rng.choice(["x.py", "y.py"])))
+    rows += [issue("a|999", "a", cwe=["CWE-1"], start_line=1, end_line=2_000_000_000, file="z.py"), issue("b|999", "b", cwe=["CWE-1"], start_line=1_999_999_990, file="z.py"), issue("c|999", "c", cwe=["CWE-1"], start_line=2_000_000_006, file="z.py")]
+    want = set()
+    for x in rows:
+        for y in rows:
+            a, b = dict(zip(FIELDS, x, strict=True)), dict(zip(FIELDS, y, strict=True))
+            if a["issue_id"] < b["issue_id"] and a["scanner"] != b["scanner"] and a["file"] == b["file"] and a["start_line"] is not None and b["start_line"] is not None:
+                ends = [v["start_line"] if v["end_line"] is None else v["end_line"] for v in (a, b)]
+                if ends[0] + 5 >= b["start_line"] and ends[1] + 5 >= a["start_line"]:
+                    want.add((a["issue_id"], b["issue_id"]))
+    got = [(r.a_id, r.b_id) for r in correlate.candidate_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("a|999", "b|999") in want and ("a|999", "c|999") not in want
+
+
 def first_fit(ids, edges):
     """Each id, in order, joins the first cluster all of whose members it pairs with; a cluster is named by its first id."""
     lower, homes, sizes = {}, {}, {}
