@@ -142,6 +142,13 @@ def glob_regex(pattern: str) -> str:
 
 
 def glob_regex_column(pattern: Column) -> Column:
-    """``glob_regex`` for patterns with ``*`` and ``?`` that are data."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$+{}()|\[\]])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """``glob_regex`` for patterns that are data: each piece (a bracket expression, or one character) is translated by itself."""
+    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)\[.[^\]]*\]|."), F.lit(0))
+
+    def translated(piece: Column) -> Column:
+        held = F.replace(F.substring(piece, F.lit(2), F.length(piece) - 2), F.lit("\\"), F.lit("\\\\"))
+        negated = F.when(F.startswith(held, F.lit("!")), F.concat(F.lit("^"), F.substring(held, F.lit(2), F.length(held)))).otherwise(held)
+        quoted = F.when(F.rlike(piece, F.lit(r"^[\\.^$+{}()|\[\]]$")), F.concat(F.lit("\\"), piece)).otherwise(piece)
+        return F.when(piece == "*", ".*").when(piece == "?", ".").when(F.length(piece) > 1, F.concat(F.lit("["), negated, F.lit("]"))).otherwise(quoted)
+
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(pieces, translated), ""), F.lit("$"))

@@ -23,17 +23,22 @@ def normal(value: Column) -> Column:
     return F.nullif(F.lower(F.trim(value)), F.lit(""))
 
 
-def match_candidates(findings: DataFrame, truth: DataFrame) -> DataFrame:
-    """(finding_key, truth_id, score) of pairs whose identity signals qualify; a near line alone never does.
-
-    Pairs meet by file or by a truth id the finding names: two equi-joins. Every other rule that qualifies needs the
-    file. Findings bring finding_key, scanner, rule_id, file, symbol, cwe, source, sink, code_region_hash,
-    start_line and truth_ref; truth the like with truth_id, scanner_rule (``scanner:rule``) and line.
+def match_candidates(findings: DataFrame, truth: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, finding_key, truth_id, score) of pairs whose identity signals qualify; a near line alone never does.
+
+    A pair qualifies by the truth id that a finding names, or in one file by the rule, the code region's hash, source
+    and sink, or symbol and CWE. Each of these is one key, so a pair meets in an equi-join on what qualifies it and a
+    file with many findings and truths does not square; it is then scored once. ``scope`` names columns of both sides
+    that must agree, as the benchmark or the repository. Findings bring finding_key, scanner, rule_id, file, symbol,
+    cwe, source, sink, code_region_hash, start_line and truth_ref; truth the like with truth_id, scanner_rule
+    (``scanner:rule``) and line.
     """
     fields = ["file", "symbol", "cwe", "source", "sink", "code_region_hash"]
-    f = findings.select("finding_key", F.lower(F.concat_ws(":", "scanner", "rule_id")).alias("f_rule"), F.upper("truth_ref").alias("f_ref"), F.col("start_line").alias("f_line"), *[normal(repository_path(F.col(c)) if c == "file" else F.col(c)).alias(f"f_{c}") for c in fields])
-    t = truth.select("truth_id", F.upper("truth_id").alias("t_ref"), F.lower("scanner_rule").alias("t_rule"), F.col("line").alias("t_line"), *[normal(repository_path(F.col(c)) if c == "file" else F.col(c)).alias(f"t_{c}") for c in fields])
-    met = f.join(t, F.col("f_file") == F.col("t_file")).unionByName(f.join(t, F.col("f_ref") == F.col("t_ref")))
+    f = findings.select(*scope, "finding_key", F.lower(F.concat_ws(":", "scanner", "rule_id")).alias("f_rule"), F.upper("truth_ref").alias("f_ref"), F.col("start_line").alias("f_line"), *[normal(repository_path(F.col(c)) if c == "file" else F.col(c)).alias(f"f_{c}") for c in fields])
+    t = truth.select(*scope, "truth_id", F.upper("truth_id").alias("t_ref"), F.lower("scanner_rule").alias("t_rule"), F.col("line").alias("t_line"), *[normal(repository_path(F.col(c)) if c == "file" else F.col(c)).alias(f"t_{c}") for c in fields])
+    rules = (("ref",), ("file", "rule"), ("file", "code_region_hash"), ("file", "source", "sink"), ("file", "symbol", "cwe"))
+    keys = lambda side: F.array_compact(F.array(*[F.when(sum((F.col(f"{side}_{c}").isNull().cast("int") for c in rule), F.lit(0)) == 0, F.xxhash64(F.lit(n), *[f"{side}_{c}" for c in rule])) for n, rule in enumerate(rules)]))
+    met = f.withColumn("key", F.explode(keys("f"))).join(t.withColumn("key", F.explode(keys("t"))), [*scope, "key"])
     same = lambda c: F.coalesce(F.col(f"f_{c}") == F.col(f"t_{c}"), F.lit(False))
     file = same("file")
     signals = {
@@ -46,10 +51,10 @@ def match_candidates(findings: DataFrame, truth: DataFrame) -> DataFrame:
         "file": file,
         "line_proximity": file & F.coalesce(F.abs(F.col("f_line") - F.col("t_line")) <= NEAR_LINES, F.lit(False)),
     }
-    scored = met.select("finding_key", "truth_id", *[c.alias(n) for n, c in signals.items()])
+    scored = met.select(*scope, "finding_key", "truth_id", *[c.alias(n) for n, c in signals.items()])
     qualifies = F.col("vulnerability_id") | (F.col("scanner_rule") & F.col("file")) | F.col("code_region_hash") | F.col("source_sink") | (F.col("file") & F.col("symbol") & F.col("cwe"))
     score = sum((F.when(F.col(n), w).otherwise(0) for n, w in WEIGHTS.items()), F.lit(0))
-    return scored.where(qualifies).groupBy("finding_key", "truth_id").agg(F.max(score).alias("score"))
+    return scored.where(qualifies).groupBy(*scope, "finding_key", "truth_id").agg(F.max(score).alias("score"))
 
 
 def match_decisions(candidates: DataFrame) -> DataFrame:

@@ -35,6 +35,62 @@ def enrich(findings: DataFrame, records: DataFrame, kev_checked: bool) -> DataFr
     return sets.join(merged, "ids").drop("ids")
 
 
+def first_by(value: Column, *order: Column) -> Column:
+    """The value that comes first in ``order``, of rows whose value is not null."""
+    return F.min_by(value, F.when(value.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])))
+
+
+def best_fields() -> list[Column]:
+    """One aggregation that keeps, per field, the best record's value and its source: the greatest scores (then the least source), the earliest exploitation, all fixes and ids, the first publication and the last change.
+
+    It reads structs cvss, epss and kev, so what it gives can be aggregated by it again.
+    """
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>"))))))
+    return [
+        first_by(F.col("cvss"), -F.col("cvss.score"), F.col("cvss.source"), F.col("cvss.vector")).alias("cvss"),
+        first_by(F.col("epss"), -F.col("epss.probability"), F.col("epss.source"), F.col("epss.percentile")).alias("epss"),
+        first_by(F.col("kev"), F.col("kev.date").isNull(), F.col("kev.date"), F.col("kev.source"), F.col("kev.ransomware")).alias("kev"),
+        every(F.col("advisory_ids")).alias("advisory_ids"), every(F.col("fixed_versions")).alias("fixed_versions"), every(F.col("record_sources")).alias("record_sources"),
+        F.min("published").alias("published"), F.max("modified").alias("modified"), F.max("stamped").alias("stamped"),
+    ]
+
+
+def enrich_fields(findings: DataFrame, records: DataFrame, statuses: DataFrame, keys: tuple[str, ...] = FINDING) -> DataFrame:
+    """What all feeds say of each finding with identifiers, field by field, each with the source it comes from.
+
+    ``findings`` has keys and advisories; ``records`` the shape of ``sources.feeds``; ``statuses`` what was asked for a
+    finding: keys, source, status, fetched_at, stale and failure. kev_status is true if any record is on the list of
+    exploited ones, false only if that list was freshly checked for this finding, else null. Records are reduced per
+    advisory, then per distinct set of identifiers, so neither a popular advisory nor a repeated finding is joined twice.
+    """
+    some = lambda condition, *fields: F.when(condition, F.struct(*fields))
+    source = F.col("source").alias("source")
+    given = records.select(
+        F.explode(F.array_distinct("advisory_ids")).alias("advisory_id"), "advisory_ids", "fixed_versions", F.array("source").alias("record_sources"), "published", "modified", F.col("data_source_timestamp").alias("stamped"),
+        some(F.col("cvss_score").isNotNull(), F.col("cvss_score").alias("score"), F.col("cvss_vector").alias("vector"), source).alias("cvss"),
+        some(F.col("epss").isNotNull(), F.col("epss").alias("probability"), F.col("epss_percentile").alias("percentile"), source).alias("epss"),
+        some(F.coalesce("kev", F.lit(False)), F.col("known_exploitation_date").alias("date"), F.col("ransomware_association").alias("ransomware"), source).alias("kev"),
+    )
+    reduced = given.groupBy("advisory_id").agg(*best_fields())
+    sets = findings.select(*keys, F.array_sort(F.array_distinct(F.array_compact("advisories"))).alias("ids")).where(F.size("ids") > 0)
+    each = sets.select("ids").distinct().select("ids", F.explode("ids").alias("advisory_id"))
+    merged = each.join(reduced, "advisory_id", "left").groupBy("ids").agg(*best_fields())
+    fresh = (F.col("source") == "cisa-kev") & F.col("status").isin(*FRESH)
+    asked = statuses.groupBy(*keys).agg(
+        F.coalesce(F.max(fresh), F.lit(False)).alias("kev_checked"), F.coalesce(F.max("stale"), F.lit(False)).alias("stale"), F.max("fetched_at").alias("fetched_at"),
+        F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set(F.when(F.col("failure").isNotNull(), F.struct("source", "failure")))).alias("failures"),
+    )
+    joined = sets.join(merged, "ids").join(asked, list(keys), "left")
+    none = F.array().cast("array<string>")
+    return joined.select(
+        *keys, F.array_sort(F.array_union("ids", F.coalesce("advisory_ids", none))).alias("advisory_ids"),
+        F.col("cvss.score").alias("cvss_score"), F.col("cvss.vector").alias("cvss_vector"), F.col("cvss.source").alias("cvss_source"), F.col("epss.probability").alias("epss_probability"), F.col("epss.percentile").alias("epss_percentile"), F.col("epss.source").alias("epss_source"),
+        F.when(F.col("kev").isNotNull(), True).when(F.coalesce("kev_checked", F.lit(False)), False).alias("kev_status"), F.col("kev.date").alias("known_exploitation_date"), F.col("kev.ransomware").alias("ransomware_association"),
+        "fixed_versions", F.col("published").alias("published_date"), F.col("modified").alias("modified_date"), F.greatest("stamped", "fetched_at").alias("data_source_timestamp"), F.coalesce("stale", F.lit(False)).alias("stale"),
+        "record_sources", F.coalesce("sources", none).alias("sources"), F.coalesce("failures", F.array().cast("array<struct<source:string,failure:string>>")).alias("failures"),
+    )
+
+
 def cache_status(keys: DataFrame, cache: DataFrame, now: float) -> DataFrame:
     """fresh, stale (at or past expiry), miss or not-applicable per key and source; nvd is skipped once a CVSS score is known."""
     joined = keys.join(cache, ["source", "key"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import threat as ops
 from ._registry import query
 
+NUMBERED = "concat('F', cast(row_number() OVER (PARTITION BY repository, run_id ORDER BY row_id, file, start_line, scanner, rule_id, original_severity, status, confidence) AS string)) AS finding_id"
 ADVISED = "SELECT cast(row_id AS string) AS finding_id, run_id, cve, concat('CVE-2024-', cast(10000 + start_line % 300 AS string)) AS other FROM findings WHERE cve IS NOT NULL AND row_id % 2 = 1"
 
 
@@ -26,6 +27,35 @@ def j5_enrich(findings, records):
     return ops.enrich(advised(findings), records, kev_checked=True).withColumns({c: F.round(c, 6) for c in ("cvss_score", "epss")})
 
 
+FED = """SELECT source, advisory_id, cvss_score, CASE WHEN cvss_score IS NOT NULL THEN concat('V:', source) END AS cvss_vector, CASE WHEN source = 'epss' THEN epss END AS epss, CASE WHEN source = 'epss' THEN epss / 2 END AS epss_percentile, kev, CASE WHEN kev THEN concat('2024-0', cast(1 + length(advisory_id) % 9 AS string)) END AS known_exploitation_date,
+  CASE WHEN kev THEN CASE WHEN right(advisory_id, 1) = '5' THEN 'known' ELSE 'unknown' END END AS ransomware_association, CASE WHEN source = 'osv' THEN right(advisory_id, 2) END AS fixed_version, concat('20', right(advisory_id, 2)) AS published, concat('21', right(advisory_id, 2)) AS modified, CASE WHEN source <> 'osv' THEN concat('22', right(advisory_id, 2)) END AS data_source_timestamp FROM threat_records"""
+ASKED = """SELECT row_id, repository, run_id, finding_id, 'cisa-kev' AS source, CASE row_id % 4 WHEN 0 THEN 'fresh-cache' WHEN 1 THEN 'refreshed' WHEN 2 THEN 'stale-cache' ELSE 'failed' END AS status, CASE WHEN row_id % 4 < 2 THEN '2250' END AS fetched_at, row_id % 4 = 2 AS stale, CASE WHEN row_id % 4 = 3 THEN 'timeout' END AS failure FROM n WHERE row_id % 5 > 0
+  UNION ALL SELECT row_id, repository, run_id, finding_id, 'nvd', 'fresh-cache', '2201', false, NULL FROM n WHERE row_id % 3 = 0"""
+NAMED = f"SELECT row_id, repository, run_id, {NUMBERED}, cve, concat('CVE-2024-', cast(10000 + start_line % 300 AS string)) AS other FROM findings WHERE cve IS NOT NULL"
+
+
+@query(
+    f"""WITH n AS ({NAMED}), r AS ({FED}), s AS ({ASKED}), x AS (SELECT *, cve AS advisory_id FROM n UNION ALL SELECT *, other FROM n WHERE other <> cve), j AS (SELECT n.*, r.* EXCLUDE (advisory_id), r.advisory_id AS hit FROM x AS n LEFT JOIN r USING (advisory_id)),
+    m AS (SELECT repository, run_id, finding_id, cve, other, row_id, max(cvss_score) AS cvss_score, max(epss) AS epss_probability, bool_or(kev) AS k, string_agg(DISTINCT fixed_version, ',' ORDER BY fixed_version) AS fixed_versions, min(published) AS published_date, max(modified) AS modified_date, max(data_source_timestamp) AS stamped,
+      string_agg(DISTINCT source, ',' ORDER BY source) AS record_sources, min(known_exploitation_date) FILTER (kev) AS known_exploitation_date, min(known_exploitation_date || ransomware_association) FILTER (kev) AS ransom FROM j GROUP BY ALL),
+    c AS (SELECT repository, run_id, finding_id, min(source) AS cvss_source FROM j JOIN m USING (repository, run_id, finding_id) WHERE j.cvss_score = m.cvss_score GROUP BY ALL),
+    a AS (SELECT repository, run_id, finding_id, bool_or(source = 'cisa-kev' AND status IN ('fresh-cache', 'refreshed')) AS checked, bool_or(stale) AS stale, max(fetched_at) AS fetched_at, string_agg(source, ',' ORDER BY source) AS sources, coalesce(string_agg(concat(source, ':', failure), ',' ORDER BY source) FILTER (failure IS NOT NULL), '') AS failures FROM s GROUP BY 1, 2, 3)
+    SELECT repository, run_id, finding_id, concat_ws(',', least(cve, other), nullif(greatest(cve, other), least(cve, other))) AS advisory_ids, round(cvss_score, 6) AS cvss_score, 'V:' || cvss_source AS cvss_vector, cvss_source, round(epss_probability, 6) AS epss_probability, round(epss_probability / 2, 6) AS epss_percentile, CASE WHEN epss_probability IS NOT NULL THEN 'epss' END AS epss_source,
+      CASE WHEN k THEN true WHEN checked THEN false END AS kev_status, known_exploitation_date, substr(ransom, 8) AS ransomware_association, coalesce(fixed_versions, '') AS fixed_versions, published_date, modified_date, greatest(stamped, fetched_at) AS data_source_timestamp, coalesce(stale, false) AS stale, coalesce(record_sources, '') AS record_sources, coalesce(sources, '') AS sources, coalesce(failures, '') AS failures
+    FROM m LEFT JOIN c USING (repository, run_id, finding_id) LEFT JOIN a USING (repository, run_id, finding_id)""",
+    findings="findings",
+    records="threat_records",
+)
+def j5_enrich_fields(findings, records):
+    sql = findings.sparkSession.sql
+    n = sql(NAMED.replace("FROM findings", "FROM {f}"), f=findings)
+    fed = sql(FED.replace("FROM threat_records", "FROM {r}"), r=records).withColumns({"advisory_ids": F.array("advisory_id"), "fixed_versions": F.array_compact(F.array("fixed_version"))})
+    found = ops.enrich_fields(n.withColumn("advisories", F.array("cve", "other")), fed, sql(ASKED.replace("FROM n", "FROM {n}"), n=n))
+    listed = {c: F.array_join(c, ",") for c in ("advisory_ids", "fixed_versions", "record_sources", "sources")}
+    spelled = F.array_join(F.transform("failures", lambda x: F.concat_ws(":", x["source"], x["failure"])), ",")
+    return found.withColumns({**listed, "failures": spelled, **{c: F.round(c, 6) for c in ("cvss_score", "epss_probability", "epss_percentile")}})
+
+
 CACHE = "SELECT source, advisory_id AS key, cast(max(p) AS double) AS expires_at FROM (SELECT source, advisory_id, length(source) * 1000 + cast(right(advisory_id, 4) AS int) AS p FROM threat_records) AS t GROUP BY 1, 2"
 
 
@@ -67,7 +97,6 @@ def a27_reachability_summary(findings):
     return ops.reachability_summary(findings.withColumns({"dependency_reachability": dependency, "source_to_sink": source, "dynamic_correlation": dynamic}))
 
 
-NUMBERED = "concat('F', cast(row_number() OVER (PARTITION BY repository, run_id ORDER BY row_id, file, start_line, scanner, rule_id, original_severity, status, confidence) AS string)) AS finding_id"
 ENDPOINTS = f"SELECT repository, run_id, {NUMBERED}, concat('https://app.example/', rule_id, '/', cast(start_line % 30 AS string), CASE WHEN row_id % 2 = 0 THEN '/?q=1' ELSE '' END) AS endpoint, concat('request.args.', symbol) AS source, concat('db.', CASE WHEN row_id % 3 = 0 THEN 'Execute' ELSE 'run' END) AS sink FROM findings WHERE category = 'dast'"
 OBSERVED = "SELECT concat('repo-', cast(event_id % 50 AS string)) AS repository, concat('o', cast(event_id AS string)) AS observation_id, concat('R', cast(user_id % 20 AS string), '/', cast(event_id % 30 AS string)) AS endpoint, concat('FN', cast(event_id % 9 AS string)) AS parameter, CASE WHEN event_id % 4 = 0 THEN 'cursor.execute' ELSE 'none' END AS sink, CASE event_type WHEN 'click' THEN 'confirmed' WHEN 'view' THEN 'failed-reproduction' WHEN 'error' THEN 'inconclusive' WHEN 'signup' THEN 'blocked-authentication' ELSE 'not-attempted' END AS outcome, CASE WHEN event_id % 3 = 0 THEN 'admin' END AS authentication_state FROM scanner_runs"
 

@@ -224,3 +224,32 @@ def test_one_component_of_a_hundred_thousand_issues(spark):
     got = {r.issue_id: r.cluster_id for r in found.collect()}
     want = first_fit(list(got), [(r.a_id, r.b_id) for r in pairs.collect()])
     assert len(got) == 5 * n and got == want
+
+
+def test_globs_that_are_data_equal_those_that_are_not(spark):
+    patterns = ["src/[ab].py", "src/[!ab]*.py", "*", "a?c", "a.c", "[x", "a]b", "(a|b)+$", "src/**/x[0-9].py", "[]x]", "\\d", "[a\\]", "", "x^y{2}"]
+    names = ["src/a.py", "src/c.py", "src/cc.py", "abc", "a.c", "axc", "[x", "a]b", "(a|b)+$", "src/q/r/x7.py", "]", "\\d", "\\", "5", "", "x^y{2}", "a\nc"]
+    df = spark.createDataFrame([(p, n) for p in patterns for n in names], "p string, n string")
+    got = {(r.p, r.n): r.hit for r in df.select("p", "n", F.rlike("n", identity.glob_regex_column(F.col("p"))).alias("hit")).collect()}
+    for p in patterns:
+        want = {r.n: r.hit for r in df.where(F.col("p") == p).select("n", F.rlike("n", F.lit(identity.glob_regex(p))).alias("hit")).collect()}
+        assert {n: got[p, n] for n in names} == want, p
+    assert got["src/[ab].py", "src/a.py"] and not got["src/[ab].py", "src/c.py"] and got["src/[!ab]*.py", "src/cc.py"]
+
+
+TRUTH = "repository string, truth_id string, scanner_rule string, file string, symbol string, cwe string, source string, sink string, code_region_hash string, line int"
+FOUND = "repository string, finding_key string, scanner string, rule_id string, file string, symbol string, cwe string, source string, sink string, code_region_hash string, start_line int, truth_ref string"
+
+
+def test_truth_candidates_meet_by_what_qualifies_them(spark):
+    truth = [(r, f"T{i}", "bandit:R1" if i == 1 else None, "./Src/a.py", "f" if i < 4 else "g", "CWE-79", "q" if i == 5 else None, "s" if i == 5 else None, "h" if i == 6 else None, 10 * i) for r in "ab" for i in range(1, 7)]
+    found = [
+        ("a", "rule", "Bandit", "r1", "src/a.py", None, None, None, None, None, 12, None), ("a", "symbol", "x", "y", "SRC/a.py", "F", "cwe-79", None, None, None, 24, None), ("a", "flow", "x", "y", "src/a.py", None, None, "Q", " s ", None, None, None),
+        ("a", "hash", "x", "y", "src/a.py", None, None, None, None, "H", None, None), ("a", "named", "x", "y", "elsewhere.py", None, None, None, None, None, None, "t3"), ("b", "line", "x", "y", "src/a.py", None, None, None, None, None, 30, None),
+    ]
+    t, f = spark.createDataFrame(truth, TRUTH), spark.createDataFrame(found, FOUND)
+    got = {(r.repository, r.finding_key, r.truth_id): r.score for r in benchmark.match_candidates(f, t, ("repository",)).collect()}
+    assert got == {("a", "rule", "T1"): 71, ("a", "symbol", "T1"): 60, ("a", "symbol", "T2"): 61, ("a", "symbol", "T3"): 60, ("a", "flow", "T5"): 55, ("a", "hash", "T6"): 65, ("a", "named", "T3"): 100}
+    crowd = spark.range(3000).selectExpr("'a' AS repository", "concat('n', id) AS finding_key", "'x' AS scanner", "'y' AS rule_id", "'src/a.py' AS file", "concat('only', id) AS symbol", "'CWE-79' AS cwe", "cast(null AS string) AS source", "cast(null AS string) AS sink", "cast(null AS string) AS code_region_hash", "cast(id AS int) AS start_line", "cast(null AS string) AS truth_ref")
+    many = spark.range(3000).selectExpr("'a' AS repository", "concat('M', id) AS truth_id", "'z:z' AS scanner_rule", "'src/a.py' AS file", "concat('only', id) AS symbol", "'CWE-79' AS cwe", "cast(null AS string) AS source", "cast(null AS string) AS sink", "cast(null AS string) AS code_region_hash", "cast(id AS int) AS line")
+    assert benchmark.match_candidates(crowd, many, ("repository",)).where("score = 61").count() == 3000

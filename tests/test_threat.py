@@ -136,3 +136,29 @@ def test_dependency_status(spark, finding, evidence, scan, want):
     scans = spark.createDataFrame([("r", "1", *s.values())], "repository string, run_id string, parse_failures int, has_inventory boolean")
     got = {r.repository: (r.dep_status, r.dep_reachability, r.dep_incomplete) for r in threat.dependency_reachability(findings, proof, scans).collect()}
     assert got["r"] == want and got["other"][1] == "unknown"
+
+
+def test_feeds_are_merged_field_by_field_with_their_sources(spark):
+    record = lambda source, ids, **more: (source, ids, *({"cvss_score": None, "cvss_vector": None, "epss": None, "epss_percentile": None, "kev": None, "known_exploitation_date": None, "ransomware_association": None, "fixed_versions": [], "published": None, "modified": None, "data_source_timestamp": None} | more).values())
+    schema = "source string, advisory_ids array<string>, cvss_score double, cvss_vector string, epss double, epss_percentile double, kev boolean, known_exploitation_date string, ransomware_association string, fixed_versions array<string>, published string, modified string, data_source_timestamp string"
+    records = spark.createDataFrame(
+        [
+            record("nvd", ["CVE-1"], cvss_score=9.1, cvss_vector="N", published="2024-02", modified="2024-03", data_source_timestamp="2024-05"),
+            record("github-advisories", ["GHSA-1", "CVE-1"], cvss_score=9.1, cvss_vector="G", fixed_versions=["2.0", "1.5"], published="2024-01"),
+            record("osv", ["GHSA-1"], cvss_vector="O", fixed_versions=["2.0"], modified="2024-04"),
+            record("epss", ["CVE-1"], epss=0.2, epss_percentile=0.9), record("epss", ["CVE-2"], epss=0.7, epss_percentile=0.4),
+            record("cisa-kev", ["CVE-2"], kev=True, known_exploitation_date="2023-01", ransomware_association="known"), record("osv", ["CVE-3"], kev=False),
+        ],
+        schema,
+    )
+    findings = spark.createDataFrame([("a", "1", "f", ["CVE-1", "GHSA-1"]), ("b", "1", "f", ["CVE-1", "CVE-2", None]), ("a", "2", "f", ["CVE-3"]), ("a", "3", "f", ["CVE-3"]), ("a", "4", "f", ["CVE-9"]), ("a", "5", "f", [])], f"{KEYS}, advisories array<string>")
+    statuses = spark.createDataFrame([("a", "1", "f", "cisa-kev", "refreshed", "2024-06", False, None), ("a", "2", "f", "cisa-kev", "fresh-cache", None, False, None), ("a", "3", "f", "cisa-kev", "stale-cache", None, True, None), ("a", "3", "f", "nvd", "failed", None, None, "timeout")], f"{KEYS}, source string, status string, fetched_at string, stale boolean, failure string")
+    got = {(r.repository, r.run_id): r for r in threat.enrich_fields(findings, records, statuses).collect()}
+    r = got["a", "1"]
+    assert (r.cvss_score, r.cvss_vector, r.cvss_source, r.epss_probability, r.epss_percentile) == (9.1, "G", "github-advisories", 0.2, 0.9)
+    assert (r.kev_status, r.fixed_versions, r.published_date, r.modified_date, r.data_source_timestamp) == (False, ["1.5", "2.0"], "2024-01", "2024-04", "2024-06")
+    assert r.advisory_ids == ["CVE-1", "GHSA-1"] and r.record_sources == ["epss", "github-advisories", "nvd", "osv"] and r.sources == ["cisa-kev"]
+    r = got["b", "1"]
+    assert (r.kev_status, r.known_exploitation_date, r.ransomware_association, r.epss_probability, r.epss_percentile, r.advisory_ids) == (True, "2023-01", "known", 0.7, 0.4, ["CVE-1", "CVE-2", "GHSA-1"])
+    assert [got["a", n].kev_status for n in "2345" if ("a", n) in got] == [False, None, None] and got["a", "3"].stale and [tuple(x) for x in got["a", "3"].failures] == [("nvd", "timeout")]
+    assert got["a", "4"].advisory_ids == ["CVE-9"] and got["a", "4"].fixed_versions == [] and len(got) == 5
