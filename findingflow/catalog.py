@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import benchmark, documents, export, findings, lifecycle, policy, portfolio, runs, sources, threat  # noqa: F401
+from .plans import benchmark, documents, export, findings, lifecycle, policy, portfolio, runs, sources, stores, threat  # noqa: F401
 from .plans._registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
