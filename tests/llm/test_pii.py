@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from collections import defaultdict
@@ -68,6 +69,19 @@ def test_edges(spark):
     assert redact(frame(spark, rows)).count() == len(rows)
 
 
+def test_query_counts_each_kind_and_digests_all(spark, tmp_path):
+    texts = [*TEXTS, "000000000000.0.0.1 a@b.co", "+1 (504) 555-2652 or 4111 1111 1111 1111, 10.0.0.1 me@x.org", "\U0001f600 10.0.0.1 then 10.0.0.2 \U0001f600 me@x.org"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), "/root/testdata/sf0.01"):
+        want = {}
+        for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+            spans = plain(r.text or "")
+            digest = hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+            want[r.doc_id] = (*(sum(s[0] == k for s in spans) for k in range(4)), digest)
+        got = queries.op10_pii(spark, folder).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()
+        assert len(got) == len(want) and {r[0]: tuple(r[1:]) for r in got} == want
+
+
 def plain_graph(texts, rounds=3, min_known=5, min_score=0.8):
     """Found spans by plain rounds over all mentions."""
     seeds, loose = [], []
