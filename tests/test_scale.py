@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from findingflow.operators import lifecycle, threat
+from findingflow.operators import correlate, lifecycle, threat
 
 
 def most_rows(df):
@@ -54,3 +54,12 @@ def test_observations_meet_findings_that_look_alike_once(spark):
     o = spark.range(300).selectExpr("'r' AS repository", "concat('o', id) AS observation_id", "'/a/' AS endpoint", "if(id % 2 = 0, 'NAME', '') AS parameter", "if(id % 3 = 0, 'cursor.execute', '') AS sink", "if(id = 7, 'confirmed', 'failed-reproduction') AS outcome", "cast(null AS string) AS authentication_state")
     found = threat.match_observations(f, o).select("finding_id", "status", "observation_id", F.size("matched_observation_ids").alias("n"))
     assert {tuple(r)[1:] for r in found.collect()} == {("failed-reproduction", "o0", 200)} and found.count() == 2000 and most_rows(found) < 10_000
+
+
+def test_a_pair_of_issues_meets_once_and_is_not_made_distinct(spark):
+    """Two scanners with 150 issues each that share weakness, symbol, source, sink and lines: 22,500 pairs, no more rows on the way."""
+    none = F.lit(None).cast("string")
+    rest = {c: none for c in ("code_region_hash", "dep_name", "dep_ecosystem", "infrastructure_resource", "secret_fingerprint")}
+    issues = spark.range(300).selectExpr("'r' AS repository", "'1' AS run_id", "if(id % 2 = 0, 'a', 'b') AS scanner", "concat(if(id % 2 = 0, 'a|', 'b|'), id) AS issue_id", "'a.py' AS file", "1 AS start_line", "cast(null AS int) AS end_line", "array('CWE-1', 'CWE-2') AS cwe", "cast(array() AS array<string>) AS cve", "'f' AS symbol", "'in' AS source", "'out' AS sink").withColumns(rest)
+    counted = correlate.candidate_pairs(issues).groupBy("signals").count()
+    assert [r["count"] for r in counted.collect()] == [22_500] and most_rows(counted) <= 22_500
